@@ -27,7 +27,7 @@ NO_RANK = np.int32(2**31 - 1)
 #: Cells of a padded matrix, and the piece length from which a heap replaces the matrix (its rounds would be too many).
 MATRIX_CELLS, LONG_PIECE = 1 << 19, 256
 #: Remembered words in a task; the memory is emptied when full.
-MEMORY = 900_000
+MEMORY = 500_000
 #: White space other than a blank or a line feed, and runs of blanks where the pattern looks past the next character.
 _SIGNS = frozenset(",.;:!?")
 _RARE_SPACE = regex.compile(r"[^\S \n]")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillstream.llm.shared import exists, mapped, scratch_path, texts_of
 
 #: Remembered words in a task; the memory is emptied when full.
-MEMORY = 900_000
+MEMORY = 400_000
 _SIGNS = frozenset(",.;:!?")
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 
@@ -71,6 +71,16 @@ class WordCounter:
         return [sum([memory[w] for w in words]) for words in split]
 
 
+_counters: dict[tuple[str, str], WordCounter] = {}
+
+
+def counter_of(path: str, version: str) -> WordCounter:
+    """The counter of a file, built once in a process."""
+    if (path, version) not in _counters:
+        _counters[path, version] = WordCounter(path)
+    return _counters[path, version]
+
+
 def first_in_task(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, packed column) without the rows whose key the task has met before; texts are compressed for the shuffle."""
 
@@ -113,7 +123,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     def make():
         gc.disable()  # the memory holds no cycles
-        counter, met = WordCounter(tokenizer_path), set()
+        counter, met = counter_of(tokenizer_path, version), set()
         schema = pa.schema([("content", pa.string()), ("tokenizer", pa.string()), ("n_tokens", pa.int64())])
         opener = zstandard.ZstdDecompressor()
 
