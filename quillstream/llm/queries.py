@@ -6,13 +6,46 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bpe, token_counts
+from quillstream.llm import bpe, lattice, maxscore, minhash, mixing, pii, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: five words a shingle, similarity of 0.75."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest_columns(pii.detect(_table(spark, sf_dir, "documents")))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, through a ledger that starts empty."""
+    return secrets.digest_columns(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, one source each."""
+    return mixing.digest_columns(mixing.mix(_table(spark, sf_dir, "documents"), F.array("source")))
+
+
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every 50th vector."""
+    vectors = maxscore.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the 50k byte-level vocabulary, and digests of the round trip."""
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -24,5 +57,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors at a cosine of 0.95."""
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_pii": op2_pii,
+    "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
+    "op7_maxscore": op7_maxscore,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_token_counts": op9_token_counts,
+    "op10_lattice": op10_lattice,
+}
+ORACLE_SQL = {"op6_mixing": mixing.ORACLE, "op7_maxscore": maxscore.ORACLE}

@@ -132,12 +132,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power_cache["up"][:n], _power_cache["down"][:n]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word (A-Z lowered, cut at ASCII white space) and the rows' bounds in that list."""
+#: Blanks for words without signs: white space and ASCII punctuation.
+SIGNS_TOO = _SPACE.copy()
+SIGNS_TOO[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, blanks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word (A-Z lowered, cut at ``blanks``: ASCII white space) and the rows' bounds in that list."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    blank = _SPACE[data]
+    blank = blanks[data]
     head = ~blank
     start = head.copy()
     start[1:] &= blank[:-1]
