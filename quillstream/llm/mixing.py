@@ -155,6 +155,22 @@ def take_words(text: Column, n: Column) -> Column:
     return F.regexp_substr(text, F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*" + WORD + "){"), n.cast("string"), F.lit("}")))
 
 
+def mixed_documents(docs: DataFrame, sources: Column, **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; a last copy taken in part is cut after its last word taken.
+
+    n_chars follows the text. Documents without a doc_id or of which nothing is taken go.
+    """
+    taken = mix(docs, sources, **how).where("taken > 0").groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("taken").alias("of_words"), F.max("size").alias("of_size"))
+    joined = docs.join(taken, docs["doc_id"] == taken["of_doc"])
+    copies = F.ceil(F.col("of_words") / F.col("of_size")).cast("int")
+    joined = joined.withColumn("of_left", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.col("of_words") - k * F.col("of_size"))))
+    part = F.col("of_left") < F.col("of_size")
+    joined = joined.withColumn("text", F.when(part, take_words(F.col("text"), F.col("of_left"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return joined.select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS rank,
                   CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),

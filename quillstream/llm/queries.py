@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bpe, lattice, maxscore, minhash, mixing, pii, secrets, token_counts, toxicity
+from quillstream.llm import bpe, lattice, lines, maxscore, minhash, mixing, pii, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.detect(_table(spark, sf_dir, "documents")))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, with the first line that it repeats within two edits."""
+    return lines.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, through a ledger that starts empty."""
     return secrets.digest_columns(secrets.scan(_table(spark, sf_dir, "documents")))
@@ -65,6 +70,7 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_pii": op2_pii,
+    "op3_lines": op3_lines,
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
