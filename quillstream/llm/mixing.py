@@ -152,7 +152,8 @@ def digest_columns(mixed: DataFrame) -> DataFrame:
 
 def take_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word (n at least 1)."""
-    return F.regexp_substr(text, F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*" + WORD + "){"), n.cast("string"), F.lit("}")))
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    return F.array_join(F.slice(words, 1, n.cast("int")), "")
 
 
 def mixed_documents(docs: DataFrame, sources: Column, **how) -> DataFrame:
