@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillstream.plans import article_queries
+
+QUERIES = article_queries.QUERIES
+ORACLE_SQL = article_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the article plans are registered."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(10)
+    """The ranked transactions of the article stream."""
+    return article_queries.transaction_filter_topk(spark, sf_dir)
