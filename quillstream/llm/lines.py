@@ -29,9 +29,10 @@ EDITS, MIN_CHARS = 2, 20
 BROADCAST_NAMES = 1_000_000
 
 
-def normal(line: Column) -> Column:
-    """The form in which lines are compared."""
-    return F.lower(F.trim(F.regexp_replace(line, r"[\t\r\f\x0B]", " ")))
+def normal_lines(text: Column) -> Column:
+    """The lines of a text in the form in which they are compared: trimmed, lower case."""
+    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), "\t\r\f\x0b", "    "))
+    return F.transform(F.split(plain, "\n"), F.trim)
 
 
 def _segments(length: Column) -> list[tuple[Column, Column]]:
@@ -55,21 +56,47 @@ def probe_places() -> list[tuple[int, int, int]]:
     return out
 
 
-def join_keys(text: Column, length: Column) -> Column:
-    """Array of (key, own): the line's own segments, which are probes of its own length too, and its other probes."""
+def _key(text: Column, length: Column, start: Column, size: Column, segment: int, less: int) -> Column:
+    """Name of the substring as segment of a line of ``length - less`` characters; null where it doesn't fit."""
+    name = F.xxhash64((length - less).cast("int"), F.lit(segment), F.substring(text, start, size))
+    return F.when((start >= 1) & (start + size - 1 <= length), name)
+
+
+def own_keys(text: Column, length: Column) -> Column:
+    """Names of the line's own segments."""
+    return F.array(*(_key(text, length, start, size, i, 0) for i, (start, size) in enumerate(_segments(length))))
+
+
+def probe_keys(text: Column, length: Column) -> Column:
+    """Names of the substrings that can be segments of a line as long or up to EDITS shorter; some are null."""
     at = {less: _segments(length - less) for less in range(EDITS + 1)}
-    keys = []
-    for less, i, off in probe_places():
-        start, size = at[less][i]
-        inside = (start + off >= 1) & (start + off + size - 1 <= length)
-        key = F.xxhash64(F.concat((length - less).cast("string"), F.lit(f":{i}:"), F.substring(text, start + off, size)))
-        keys.append(F.struct(F.when(inside, key).alias("key"), F.lit(less == 0 and off == 0).alias("own")))
-    return F.filter(F.array(*keys), lambda x: x["key"].isNotNull())
+    return F.array(*(_key(text, length, at[less][i][0] + off, at[less][i][1], i, less) for less, i, off in probe_places()))
+
+
+def common_start(a: Column, b: Column) -> Column:
+    """Number of characters that a and b (not shorter than a) begin with alike, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+    grow = lambda n, step: F.when((n + step <= F.length(a)) & (F.substring(a, F.lit(1), n + step) == F.substring(b, F.lit(1), n + step)), n + step).otherwise(n)
+    return F.aggregate(steps, F.lit(0), grow)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Edit distance where it is at most EDITS, else something larger; a is not longer than b, by at most EDITS.
 
+    What both begin and end with changes no distance and is set aside; the rest goes through the band.
+    """
+    pad = F.lit("~" * (EDITS + 1))  # the band needs a pattern longer than EDITS; a like start changes no distance
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    cut = lambda x, n: F.substring(x, n + 1, F.length(x) - n)
+    ahead = let(F.struct(a.alias("a"), b.alias("b"), common_start(a, b).alias("n")), lambda s: F.struct(F.reverse(cut(s["a"], s["n"])).alias("a"), F.reverse(cut(s["b"], s["n"])).alias("b")))
+    both = let(ahead, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), common_start(s["a"], s["b"]).alias("n")))
+    rest = let(both, lambda s: F.struct(cut(s["a"], s["n"]).alias("a"), cut(s["b"], s["n"]).alias("b")))
+    return let(rest, lambda s: F.when(s["a"] == "", F.length(s["b"])).otherwise(_in_band(F.concat(pad, s["a"]), F.concat(pad, s["b"]))))
+
+
+def _in_band(a: Column, b: Column) -> Column:
+    """Edit distance where it is at most EDITS, else something larger; a is not empty, nor longer than b.
+
     Bit-parallel in a band of 2 * EDITS + 1 diagonals: bit k of a step stands for the character of ``b`` that lies
     k - EDITS places from the step's place in ``a``.
     """
@@ -128,8 +155,7 @@ def _advance(state: Column, match: Column, flat: Column, full: int, top: int) ->
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "line_no", normal(F.col("line")).alias("line"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(normal_lines(F.col("text"))).alias("line_no", "line"))
     return rows.select("doc_id", "line_no", "line", F.length("line").alias("chars"), F.xxhash64("line").alias("name"))
 
 
@@ -141,9 +167,10 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = saved(every.drop("line"), "lines")
     long_lines = lines.where(F.col("chars") >= MIN_CHARS)
     classes = saved(long_lines.groupBy("name").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("n_lines")), "line-classes")
-    keyed = every.where(F.col("chars") >= MIN_CHARS).select("name", "chars", F.inline(join_keys(F.col("line"), F.col("chars")))).distinct()
-    own = keyed.where("own").select("key", F.col("name").alias("a"), F.col("chars").alias("chars_a"))
-    probe = keyed.select("key", F.col("name").alias("b"), F.col("chars").alias("chars_b"))
+    text, chars = F.col("line"), F.col("chars")
+    keyed = lambda keys: every.where(chars >= MIN_CHARS).select("name", "chars", F.explode(keys(text, chars)).alias("key")).where("key is not null").distinct()
+    own = keyed(own_keys).select("key", F.col("name").alias("a"), F.col("chars").alias("chars_a"))
+    probe = keyed(probe_keys).select("key", F.col("name").alias("b"), F.col("chars").alias("chars_b"))
     met = own.join(probe, "key").where((F.col("chars_a") < F.col("chars_b")) | ((F.col("chars_a") == F.col("chars_b")) & (F.col("a") != F.col("b"))))
     met = met.select(F.when(F.col("chars_a") < F.col("chars_b"), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("chars_a") < F.col("chars_b"), F.col("b")).otherwise(F.greatest("a", "b")).alias("b"))
     pairs = saved(met.distinct(), "line-pairs")
