@@ -3,11 +3,11 @@
 Lines are trimmed and lower-cased. Equal lines are one class. Two classes link when their edit distance is at most
 EDITS: such a pair shares one of EDITS + 1 segments of the shorter line at a place that its length allows. Every line
 writes its own segments, keyed by length, segment number and content, and probes the substrings at the places that the
-length-aware windows leave for lines of its own length and of up to EDITS characters less. Lines that meet are verified
-by a banded bit-parallel edit distance over 2 * EDITS + 1 diagonals.
+length-aware windows leave for lines of its own length and of up to EDITS characters less. Lines that meet, and
+whose counts of letters differ by no more than the edits can move them, are verified by a banded bit-parallel edit distance over 2 * EDITS + 1 diagonals.
 
 Classes joined by links form components; the first line of a component (least doc_id, then line number) stays, the
-others are repeats. Only the two columns of names go through the join; texts are read again for the lines that met. Equal lines are
+others are repeats. Names, lengths and counts go through the join; texts are read again for the lines that met. Equal lines are
 pre-aggregated before any shuffle, so a line that holds a third of all rows is one row a task there.
 
 Defined cases: lines are what line feeds part; lines of fewer than MIN_CHARS characters after trimming, blank ones
@@ -25,13 +25,17 @@ from quillstream.llm.components import connected_components
 from quillstream.llm.shared import discard, saved
 
 EDITS, MIN_CHARS = 2, 20
+#: Letters whose counts are compared before a pair is made.
+LETTERS = "eairtnsoulcdmhgp"
 #: Names up to which a broadcast (8 bytes a name) picks the lines to read again; beyond it a shuffled join does.
 BROADCAST_NAMES = 1_000_000
 
 
 def normal_lines(text: Column) -> Column:
     """The lines of a text in the form in which they are compared: trimmed, lower case."""
-    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), "\t\r\f\x0b", "    "))
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for blank in "\t\r\f\x0b":
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
     return F.transform(F.split(plain, "\n"), F.trim)
 
 
@@ -56,21 +60,20 @@ def probe_places() -> list[tuple[int, int, int]]:
     return out
 
 
-def _key(text: Column, length: Column, start: Column, size: Column, segment: int, less: int) -> Column:
-    """Name of the substring as segment of a line of ``length - less`` characters; null where it doesn't fit."""
-    name = F.xxhash64((length - less).cast("int"), F.lit(segment), F.substring(text, start, size))
-    return F.when((start >= 1) & (start + size - 1 <= length), name)
+def _key(wide: Column, length: Column, start: Column, size: Column, segment: int, less: int) -> Column:
+    """Name of the substring as segment of a line of ``length - less`` characters; it always lies within the line."""
+    return F.xxhash64((length - less).cast("int"), F.lit(segment), F.substring(wide, start * 4 - 3, size * 4))
 
 
-def own_keys(text: Column, length: Column) -> Column:
-    """Names of the line's own segments."""
-    return F.array(*(_key(text, length, start, size, i, 0) for i, (start, size) in enumerate(_segments(length))))
+def own_keys(wide: Column, length: Column) -> Column:
+    """Names of the line's own segments; ``wide`` has four bytes a character, so that substrings need no count."""
+    return F.array(*(_key(wide, length, start, size, i, 0) for i, (start, size) in enumerate(_segments(length))))
 
 
-def probe_keys(text: Column, length: Column) -> Column:
-    """Names of the substrings that can be segments of a line as long or up to EDITS shorter; some are null."""
+def probe_keys(wide: Column, length: Column) -> Column:
+    """Names of the substrings that can be segments of a line as long or up to EDITS shorter."""
     at = {less: _segments(length - less) for less in range(EDITS + 1)}
-    return F.array(*(_key(text, length, at[less][i][0] + off, at[less][i][1], i, less) for less, i, off in probe_places()))
+    return F.array(*(_key(wide, length, at[less][i][0] + off, at[less][i][1], i, less) for less, i, off in probe_places()))
 
 
 def common_start(a: Column, b: Column) -> Column:
@@ -159,34 +162,59 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", "line", F.length("line").alias("chars"), F.xxhash64("line").alias("name"))
 
 
+def letter_counts(line: Column, chars: Column) -> Column:
+    """Counts of LETTERS in a line and of all that is left, each modulo 8, three bits a count."""
+    of = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS]
+    rest = chars - sum(of, F.lit(0))
+    return sum((F.shiftleft(n.bitwiseAND(F.lit(7)).cast("long"), 3 * k) for k, n in enumerate([*of, rest])), F.lit(0).cast("long"))
+
+
+def near_counts(a: Column, b: Column) -> Column:
+    """Whether two packed counts allow EDITS edits: one edit moves them by at most two, so no link is lost."""
+
+    def apart(k: int) -> Column:
+        d = (F.shiftright(a, 3 * k).bitwiseAND(F.lit(7)) - F.shiftright(b, 3 * k).bitwiseAND(F.lit(7))).bitwiseAND(F.lit(7))
+        return F.least(d, F.lit(8) - d)
+
+    return sum((apart(k) for k in range(1, len(LETTERS) + 1)), apart(0)) <= 2 * EDITS
+
+
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, classes). lines: doc_id, line_no, chars, name of every line; classes, of lines that are long enough: name,
     n_lines, n_links (other classes linked directly), first_doc, first_line (of the component).
     """
     every = _lines(docs)
     lines = saved(every.drop("line"), "lines")
-    long_lines = lines.where(F.col("chars") >= MIN_CHARS)
-    classes = saved(long_lines.groupBy("name").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("n_lines")), "line-classes")
-    text, chars = F.col("line"), F.col("chars")
-    keyed = lambda keys: every.where(chars >= MIN_CHARS).select("name", "chars", F.explode(keys(text, chars)).alias("key")).where("key is not null").distinct()
-    own = keyed(own_keys).select("key", F.col("name").alias("a"), F.col("chars").alias("chars_a"))
-    probe = keyed(probe_keys).select("key", F.col("name").alias("b"), F.col("chars").alias("chars_b"))
-    met = own.join(probe, "key").where((F.col("chars_a") < F.col("chars_b")) | ((F.col("chars_a") == F.col("chars_b")) & (F.col("a") != F.col("b"))))
-    met = met.select(F.when(F.col("chars_a") < F.col("chars_b"), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("chars_a") < F.col("chars_b"), F.col("b")).otherwise(F.greatest("a", "b")).alias("b"))
+    # the place in one number, so that the partial aggregation hashes and doesn't sort
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
+    distinct = every.where(F.col("chars") >= MIN_CHARS).groupBy("name", "line").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n_lines"))
+    chars = F.length("line")
+    classes = saved(distinct.withColumns({"chars": chars, "letters": letter_counts(F.col("line"), chars)}), "line-classes")
+    # the array is a column of its own: what its keys have in common is then computed once
+    keyed = lambda keys: classes.select("name", "chars", "letters", keys(F.encode("line", "UTF-32"), F.col("chars")).alias("keys")).select("name", "chars", "letters", F.explode("keys").alias("key"))
+    own = keyed(own_keys).select("key", F.col("name").alias("a"), F.col("chars").alias("chars_a"), F.col("letters").alias("letters_a"))
+    probe = keyed(probe_keys).select("key", F.col("name").alias("b"), F.col("chars").alias("chars_b"), F.col("letters").alias("letters_b"))
+    shorter = F.col("chars_a") < F.col("chars_b")
+    met = own.join(probe, "key").where((shorter | ((F.col("chars_a") == F.col("chars_b")) & (F.col("a") != F.col("b")))) & near_counts(F.col("letters_a"), F.col("letters_b")))
+    met = met.select(F.when(shorter, F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(shorter, F.col("b")).otherwise(F.greatest("a", "b")).alias("b"))
     pairs = saved(met.distinct(), "line-pairs")
     names = saved(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "line-names")
     few = names.count() <= BROADCAST_NAMES
-    again = every.where(F.col("chars") >= MIN_CHARS).select("name", "line").join(F.broadcast(names) if few else names, "name", "left_semi")
-    texts = saved(again.groupBy("name").agg(F.min("line").alias("line")), "line-texts")
+    texts = saved(classes.select("name", "line").join(F.broadcast(names) if few else names, "name", "left_semi"), "line-texts")
     both = pairs.join(texts.select(F.col("name").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("line").alias("line_b")), "b")
     links = saved(both.where(edit_distance(F.col("line_a"), F.col("line_b")) <= EDITS).select("a", "b"), "line-links")
     components = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    marked = classes.join(components.withColumnRenamed("node", "name"), "name", "left").join(degree.withColumnRenamed("node", "name"), "name", "left")
-    marked = saved(marked.select("name", "at", "n_lines", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "name").alias("component")), "line-marks")
+    marked = classes.drop("line").join(components.withColumnRenamed("node", "name"), "name", "left").join(degree.withColumnRenamed("node", "name"), "name", "left")
+    # lines whose names clash are one class; the rows of a name stand together already
+    marked = marked.groupBy("name", F.coalesce("component", "name").alias("component")).agg(F.min("at").alias("at"), F.sum("n_lines").alias("n_lines"), F.coalesce(F.max("n_links"), F.lit(0)).cast("long").alias("n_links"))
+    marked = saved(marked, "line-marks")
     first = marked.groupBy("component").agg(F.min("at").alias("first"))
     discard(pairs, names, texts, links, components, classes)
-    return lines, marked.join(first, "component").select("name", "n_lines", "n_links", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
+    base = F.lit(1 << 32).cast("decimal(10,0)")
+    row = F.pmod(F.col("first"), base)
+    first_doc = ((F.col("first") - row) / base).cast("decimal(20,0)").cast("long")
+    return lines, marked.join(first, "component").select("name", "n_lines", "n_links", first_doc.alias("first_doc"), row.cast("int").alias("first_line"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
