@@ -3,7 +3,9 @@
 Each distinct word sequence gets one signature: K minima over its 5-word shingles. Bands of full minima make the
 candidates; of every minimum only the low b bits are kept, packed into 64-bit words, and the similarity of a candidate
 is estimated from the number of agreeing b-bit fields, corrected for chance agreement. The estimate only sets aside
-pairs that lie five standard errors below the threshold; the others are confirmed on their full shingle sets.
+pairs that lie five standard errors below the threshold. Beside it a sketch of parities, one bit toggled a shingle, bounds
+what two sets differ by from below; pairs that it proves to be under the threshold go too. All others are confirmed on
+their full shingle sets.
 
 Inside a bucket of a band no group is expanded into all pairs: every member is compared with the bucket's least member,
 components are built, and only buckets that still hold two components are compared further, across components.
@@ -29,6 +31,8 @@ K = BANDS * ROWS
 #: Minima whose low bits are kept: 192 fields of 2 bits in 6 words.
 FIELDS = 192
 WORDS = FIELDS * BITS // 64
+#: 64-bit words of parities.
+ODD = 16
 _RNG = np.random.default_rng(2024)
 _FACTOR = (_RNG.integers(0, 2**31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _SALT = _RNG.integers(0, 2**32, K, dtype=np.uint32)[:, None]
@@ -61,6 +65,20 @@ def packed_bits(best: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << _SHIFT, axis=1).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """ODD 64-bit words: each shingle toggles one bit, so two sets differ by as many shingles as bits at least."""
+    odd = np.bincount((shingles & np.uint64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def can_reach(percent: int, sizes: tuple[Column, Column], a: list[Column], b: list[Column]) -> Column:
+    """Whether two sets can be so similar; never false for sets that are. With d shingles in one set only,
+    intersection and union are half of the sizes' sum less and plus d.
+    """
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return apart * (100 + percent) <= (sizes[0] + sizes[1]) * (100 - percent)
+
+
 def estimated_similarity(a: list[Column], b: list[Column]) -> Column:
     """Similarity by bit counts: agreeing fields, less those that agree by chance (1 in 2**b)."""
     field = F.lit(int("01" * (64 // BITS), 2) if BITS == 2 else -1)
@@ -98,7 +116,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     continue
                 met.add(name)
                 best = minima(shingles)
-                bits.append(packed_bits(best)), bands.append(band_keys(best))
+                bits.append(np.concatenate((packed_bits(best), parities(shingles)))), bands.append(band_keys(best))
             cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -142,13 +160,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = named.groupBy("words").agg(F.min("doc_id").alias("rep"))
     members = saved(signed.select("doc_id", "n_shingles", "words").join(classes, "words", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.col("words").isNotNull().alias("has")), "members")
     first = named.where(F.col("bands").isNotNull()).select("words", "n_shingles", "bits", "bands").join(classes, "words")
-    reps = saved(first.groupBy("rep").agg(F.min(F.struct("words", "n_shingles", "bits", "bands")).alias("x")).select("rep", "x.n_shingles", *(F.col("x.bits")[k].alias(f"s{k}") for k in range(WORDS)), "x.bands"), "representatives")
+    reps = saved(first.groupBy("rep").agg(F.min(F.struct("words", "n_shingles", "bits", "bands")).alias("x")).select("rep", "x.n_shingles", *(F.col("x.bits")[k].alias(f"s{k}") for k in range(WORDS + ODD)), "x.bands"), "representatives")
     discard(signed)
     bands = reps.select("rep", F.explode("bands").alias("key"))
     plain = reps.drop("bands")
-    side = lambda s: plain.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(f"s{k}").alias(f"s{k}_{s}") for k in range(WORDS)))
-    bits = lambda s: [F.col(f"s{k}_{s}") for k in range(WORDS)]
-    likely = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimated_similarity(bits("a"), bits("b")) >= lowest_estimate(threshold))
+    side = lambda s: plain.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(f"s{k}").alias(f"s{k}_{s}") for k in range(WORDS + ODD)))
+    bits = lambda s, at=range(WORDS): [F.col(f"s{k}_{s}") for k in at]
+    odd = range(WORDS, WORDS + ODD)
+    likely = can_reach(percent, (F.col("n_a"), F.col("n_b")), bits("a", odd), bits("b", odd)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimated_similarity(bits("a"), bits("b")) >= lowest_estimate(threshold))
 
     heads = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     tried = saved(bands.join(heads, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")

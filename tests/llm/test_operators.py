@@ -73,6 +73,23 @@ def test_minhash_estimate(spark):
     assert abs(got - 2400 / 3600) < 0.2
 
 
+def test_minhash_parities_lose_no_pair(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in (1, 7, 100, 900, 5000):
+        for share in (0.5, 0.7, 0.74, 0.75, 0.76, 0.9, 1.0):
+            both = round(2 * size * share / (1 + share))
+            x = mix(rng.integers(0, 2**62, 2 * size - both, dtype=np.uint64))
+            a, b = x[:size], x[size - both :]
+            similar = 100 * both >= 75 * (2 * size - both)
+            rows.append((size, len(b), minhash.parities(a).tolist(), minhash.parities(b).tolist(), similar, share))
+    df = spark.createDataFrame(rows, "n long, m long, a array<long>, b array<long>, similar boolean, share double")
+    bits = lambda s: [F.col(s)[k] for k in range(minhash.ODD)]
+    got = df.withColumn("can", minhash.can_reach(75, (F.col("n"), F.col("m")), bits("a"), bits("b"))).collect()
+    assert all(r.can for r in got if r.similar)
+    assert not any(r.can for r in got if r.n == 100 and r.share == 0.5)
+
+
 def brute_pii(t):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
