@@ -11,6 +11,12 @@ TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"), ("`", "&#96;"), ("/", "&#x2F;")]
 
 
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose word bounds count ASCII letters, digits and the underscore only; Java's count all letters."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
 def given(*cols: Column) -> Column:
     """The first of several strings that is neither null nor empty."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols))
