@@ -7,8 +7,8 @@ look-alikes. A text is read in overlapping windows; each is decoded by Viterbi,
 over the whole text: a span counts where its window sees it farthest from an edge, touching spans of a kind from two
 windows merge, and a span that overlaps a base span or an earlier added one is dropped.
 
-Every labelled form holds a digit or one of the marks in MARKS, so windows without any are known to be empty and are
-not decoded; this holds for every text and changes no result of the tagger's labels.
+Every window of every text is read. A window in which staying outside is best at each character, whatever the moves
+between tags add, has no span and needs no Viterbi.
 
 Defined cases: a null text is an empty one without spans; texts are read whole; repeated rows give repeated results;
 other columns are ignored.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.shared import mapped, raw_texts, texts_of
+from quillstream.llm.shared import mapped, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Window of characters and the step from one to the next.
@@ -85,11 +85,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 TAGS = 1 + 2 * len(KINDS)
 #: Characters by class: printable ASCII on its own, one class for other letters, one for the rest, one for padding.
 CLASSES, OTHER_LETTER, OTHER, PADDING = 98, 95, 96, 97
-#: A span of any labelled form holds a digit or one of these.
-MARKS = "@[("
-_HAS = np.zeros(256, bool)
-_HAS[[*b"0123456789@[(+"]] = True
+#: A mail address by its signs, in every spelling of the labelled forms.
+_SPELT = re.compile(r"[^\s@]+(?:\s?@\s?|\s?[\[(]at[\])]\s?|\sat\s)[^\s@]+?(?:(?:\.|\s\.\s|\s?[\[(]dot[\])]\s?|\sdot\s)[^\s@.]+)+", re.IGNORECASE)
 HIDDEN, EMBED = 16, 12
+#: Windows read at once.
+BLOCK = 1024
 
 
 def classes_of(text: str) -> np.ndarray:
@@ -112,8 +112,6 @@ def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
     def mail() -> str:
         at, dot = pick(["@", " at ", "[at]", " [at] ", "(at)", " (at) ", " @ "]), pick([".", " dot ", "[dot]", "(dot)", " . "])
-        if at == " at ":
-            dot = pick(["[dot]", "(dot)", " [dot] "])  # so that a mark is there
         return word() + pick(["", ".", "_"]) + word() + pick(["", digits(2)]) + at + word() + dot + pick(["com", "org", "net", "example", "info"])
 
     def ip() -> str:
@@ -130,7 +128,7 @@ def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         return pick(["+", "00", "", ""]) + pick([f"({digits(3)}) {digits(3)}-{digits(4)}", gap.join([digits(3), digits(3), digits(4)]), gap.join([digits(2), digits(3), digits(3), digits(2)])])
 
     def decoy() -> str:
-        return pick([lambda: digits(rng.integers(1, 8)), lambda: f"{digits(1)}.{digits(2)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"({word()})", lambda: f"[{digits(2)}]", lambda: f"{word()}@", lambda: "v" + digits(1) + "." + digits(1), lambda: f"${digits(3)},{digits(3)}", lambda: "".join(pick([*"0123456789abcdef"]) for _ in range(32))])()
+        return pick([lambda: digits(rng.integers(1, 8)), lambda: f"{digits(1)}.{digits(2)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"({word()})", lambda: f"[{digits(2)}]", lambda: f"{word()}@", lambda: f"{word()} at {word()}", lambda: f"{word()} dot {word()}", lambda: "v" + digits(1) + "." + digits(1), lambda: f"${digits(3)},{digits(3)}", lambda: "".join(pick([*"0123456789abcdef"]) for _ in range(32))])()
 
     x, y = np.full((n, WINDOW), PADDING, np.int16), np.zeros((n, WINDOW), np.int8)
     makers = (mail, ip, card, phone)
@@ -190,9 +188,40 @@ class Tagger:
                 tape.append((i, f, o, g, tc, last_c, last_s))
         return states, tape
 
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """The states of ``_lstm``, in memory taken once and by exp alone: tanh(x) is 2 / (1 + exp(-2x)) - 1."""
+        w, h = self.w, HIDDEN
+        minus = np.array([-1] * (3 * h) + [-2] * h, np.float32)
+        gates_in = ((w["embed"] @ w[f"in_{d}"] + w[f"bias_{d}"]) * minus).astype(np.float32)
+        re = w[f"re_{d}"] * minus
+        n = x.shape[1]
+        states, s, c = np.empty((len(x), n, h), np.float32), np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        z, fed, a = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32), np.empty((n, h), np.float32)
+        i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
+        with np.errstate(over="ignore"):
+            for t in range(len(x)):
+                np.take(gates_in, x[t], 0, out=z, mode="clip")
+                z += np.matmul(s, re, out=fed)
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                g *= 2
+                g -= 1
+                c *= f
+                c += np.multiply(i, g, out=a)
+                np.exp(np.multiply(c, -2, out=a), out=a)
+                a += 1
+                np.divide(2, a, out=a)
+                a -= 1
+                s = np.multiply(o, a, out=states[t])
+        return states
+
     def scores(self, x: np.ndarray, keep: bool = False):
         """Emission scores (time, rows, tags) for windows (rows, time)."""
         xt = np.ascontiguousarray(x.T)
+        if not keep:
+            both = np.concatenate([self._states(xt, "f"), self._states(xt[::-1], "b")[::-1]], 2)
+            return both @ self.w["out"] + self.w["out_bias"], None
         forward, tape_f = self._lstm(xt, "f", keep)
         backward, tape_b = self._lstm(xt[::-1], "b", keep)
         both = np.concatenate([forward, backward[::-1]], 2)
@@ -201,15 +230,29 @@ class Tagger:
     def viterbi(self, x: np.ndarray) -> np.ndarray:
         """Best tags (rows, time)."""
         emit, _ = self.scores(x)
-        best, back = emit[0], np.empty(emit.shape, np.int8)
+        gain = max(0.0, float(self.w["move"].max() - self.w["move"][0, 0]))  # the most that a move is better than staying outside
+        more = np.flatnonzero((emit[:, :, 1:].max(2) + gain >= emit[:, :, 0]).any(0))
+        tags = np.zeros(x.shape, np.int8)
+        if len(more):
+            tags[more] = self._best_paths(emit[:, more])
+        return tags
+
+    def _best_paths(self, emit: np.ndarray) -> np.ndarray:
+        emit = np.ascontiguousarray(emit.transpose(0, 2, 1))
+        move = self.w["move"][:, :, None]
+        best = np.empty_like(emit)
+        best[0] = emit[0]
+        total = np.empty(emit.shape[1:], np.float32)
         for t in range(1, len(emit)):
-            total = best[:, :, None] + self.w["move"]
-            back[t] = total.argmax(1)
-            best = np.take_along_axis(total, back[t][:, None, :].astype(np.int64), 1)[:, 0] + emit[t]
-        tags = np.empty(emit.shape[:2], np.int8)
-        tags[-1] = best.argmax(1)
+            into = best[t]
+            np.add(best[t - 1][0], move[0], out=into)
+            for k in range(1, TAGS):
+                np.maximum(into, np.add(best[t - 1][k], move[k], out=total), out=into)
+            into += emit[t]
+        tags = np.empty((len(emit), emit.shape[2]), np.int8)
+        tags[-1] = best[-1].argmax(0)
         for t in range(len(emit) - 1, 0, -1):
-            tags[t - 1] = np.take_along_axis(back[t], tags[t][:, None].astype(np.int64), 1)[:, 0]
+            tags[t - 1] = (best[t - 1] + self.w["move"][:, tags[t]]).argmax(0)
         return tags.T
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -278,12 +321,12 @@ def train(windows: int = 2400, epochs: int = 5, seed: int = 5) -> Tagger:
 
 def _runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind, start, stop) of the tagged runs in one window."""
-    out, t = [], 0
+    out, t, tags = [], 0, tags.tolist()
     while t < len(tags):
         if tags[t] == 0:
             t += 1
             continue
-        kind, start = (int(tags[t]) - 1) // 2, t
+        kind, start = (tags[t] - 1) // 2, t
         t += 1
         while t < len(tags) and tags[t] == 2 + 2 * kind:
             t += 1
@@ -291,23 +334,38 @@ def _runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def _checked(kind: int, start: int, piece: str) -> list[tuple[int, int, int]]:
+    """The spans of a kind that a tagged piece holds: a mail address has both its signs in some spelling."""
+    if kind == 0:
+        return [(0, start + m.start(), start + m.end()) for m in _SPELT.finditer(piece)]
+    return [(kind, start, start + len(piece))] if sum("0" <= c <= "9" for c in piece) >= LEAST_DIGITS[kind] else []
+
+
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
     """Spans by the tagger in each text, reconciled over all of its windows."""
-    blocks, where = [], []
-    for row, text in enumerate(texts):
-        code = classes_of(text)
-        live = (code >= 16) & (code <= 25) | np.isin(code, [ord(c) - 32 for c in MARKS])
-        hits = np.flatnonzero(live)
-        if not len(hits):
-            continue
-        firsts = np.unique(np.concatenate([np.maximum(0, (hits - WINDOW) // STEP + 1), hits // STEP]))
-        for k in firsts.tolist():
-            blocks.append(np.pad(code[k * STEP : k * STEP + WINDOW], (0, max(0, WINDOW - (len(code) - k * STEP))), constant_values=PADDING))
-            where.append((row, k * STEP))
+    counts = np.array([-(-len(text) // STEP) for text in texts], np.int64)
+    windows, at = np.full((int(counts.sum()), WINDOW), PADDING, np.int16), 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        if n:
+            code = np.full((n - 1) * STEP + WINDOW, PADDING, np.int16)
+            code[: len(text)] = classes_of(text)
+            windows[at : at + n] = np.lib.stride_tricks.sliding_window_view(code, WINDOW)[::STEP]
+            at += n
+    rows = np.repeat(np.arange(len(texts)), counts)
+    offs = (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)) * STEP
     raw: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for at in range(0, len(blocks), 2048):
-        for (row, off), tags in zip(where[at : at + 2048], model.viterbi(np.stack(blocks[at : at + 2048])), strict=True):
-            for kind, s, e in _runs(tags) if tags.any() else ():
+    # equal windows are decoded once
+    met: dict[bytes, int] = {}
+    same = np.array([met.setdefault(w.tobytes(), len(met)) for w in windows], np.int64)
+    firsts = np.unique(same, return_index=True)[1]
+    runs: list[list[tuple[int, int, int]]] = []
+    for at in range(0, len(firsts), BLOCK):
+        block = model.viterbi(windows[firsts[at : at + BLOCK]])
+        some = block.any(1).tolist()
+        runs += [_runs(tags) if any_ else [] for tags, any_ in zip(block, some, strict=True)]
+    for row, off, k in zip(rows.tolist(), offs.tolist(), same.tolist(), strict=True):
+        if runs[k]:
+            for kind, s, e in runs[k]:
                 # in the overlap, the half nearer to a window's edge is the other window's
                 low = (WINDOW - STEP) // 2 if off else 0
                 high = WINDOW - (WINDOW - STEP) // 2
@@ -315,17 +373,17 @@ def tagged_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, i
                     raw[row].append((kind, off + s, min(off + e, len(texts[row]))))
     out = []
     for text, spans in zip(texts, raw, strict=True):
-        merged: list[list[int]] = []
-        for kind, s, e in sorted(spans, key=lambda x: (x[1], x[2], x[0])):
-            if merged and merged[-1][0] == kind and s <= merged[-1][2]:
-                merged[-1][2] = max(merged[-1][2], e)
-            elif not merged or s >= merged[-1][2]:
-                merged.append([kind, s, e])
-        good = []
-        for kind, s, e in merged:
-            piece = text[s:e]
-            if sum("0" <= c <= "9" for c in piece) >= LEAST_DIGITS[kind] and (kind or (any(c in MARKS for c in piece) and len(piece) >= 6)):
-                good.append((kind, s, e))
+        good: list[tuple[int, int, int]] = []
+        for of in range(len(KINDS)):
+            merged: list[list[int]] = []
+            for _, s, e in sorted(x for x in spans if x[0] == of):
+                if merged and s <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], e)
+                else:
+                    merged.append([s, e])
+            good += (x for s, e in merged for x in _checked(of, s, text[s:e]))
+        good.sort(key=lambda x: (x[1], x[2], x[0]))
+        good = [x for k, x in enumerate(good) if all(x[1] >= y[2] for y in good[:k])] if len(good) > 1 else good
         out.append(good)
     return out
 
@@ -357,13 +415,7 @@ def detect(docs: DataFrame, windows: int = 2400) -> DataFrame:
         as_rows = lambda spans: [{"kind": k, "start": s, "stop": e} for k, s, e in spans]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data, bounds = raw_texts(batch.column(1))
-            counts = np.concatenate([[0], np.cumsum(_HAS[data])])
-            has = counts[bounds[1:]] > counts[bounds[:-1]]
-            found: list = [((), ())] * batch.num_rows
-            rows = np.flatnonzero(has)
-            for r, x in zip(rows.tolist(), find(texts_of(batch.column(1).take(pa.array(rows))), model), strict=True):
-                found[r] = x
+            found = find(texts_of(batch.column(1)), model)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([as_rows(b) for b, _ in found], pa.list_(kind)), pa.array([as_rows(a) for _, a in found], pa.list_(kind))], schema=schema)
 
         return step

@@ -129,6 +129,41 @@ def test_pii_held_out_accuracy():
     assert (pii.train().viterbi(x) == y).mean() > 0.9
 
 
+def test_pii_spelt_out_addresses_without_marks(spark):
+    address = "jane.doe at example dot org"
+    cases = [f"please write to {address} for news", "ask jane at example . com today about it", "word " * 18 + address + " word" * 30, "look at the gate. nothing is there, on the dot or at noon"]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: {cases[r.doc_id][x.start : x.stop] for x in r.added if x.kind == 0} for r in pii.detect(df).collect()}
+    assert got == {0: {address}, 1: {"jane at example . com"}, 2: {address}, 3: set()}
+
+
+def test_pii_every_window_is_decoded():
+    class Asked(pii.Tagger):
+        def viterbi(self, x):
+            self.rows = len(x)
+            return super().viterbi(x)
+
+    model = Asked(pii.train().w)
+    text = "".join(chr(97 + k % 23) + " " * (k % 7 == 0) for k in range(1000))
+    pii.tagged_spans([text], model)
+    assert model.rows == -(-len(text) // pii.STEP)
+
+
+def test_pii_best_paths():
+    rng = np.random.default_rng(4)
+    model = pii.train()
+    x = rng.integers(0, pii.CLASSES, (3, 12)).astype(np.int16)
+    emit, move = model.scores(x)[0], model.w["move"]
+    full = model.scores(x, keep=True)[0]
+    assert np.allclose(emit, full, atol=1e-4)
+    for row, tags in enumerate(model.viterbi(x)):
+        score = lambda y, row=row: emit[np.arange(len(y)), row, y].sum() + move[y[:-1], y[1:]].sum()
+        best = emit[0, row]
+        for t in range(1, 12):
+            best = (best[:, None] + move).max(0) + emit[t, row]
+        assert abs(score(tags) - best.max()) < 1e-3
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
