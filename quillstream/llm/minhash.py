@@ -105,13 +105,14 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 met.clear()
             hashes, bounds = word_hashes(*raw_texts(batch.column(1)))
             sizes, names, bits, bands = [], [], [], []
-            for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            known = batch.column(0).is_valid().to_pylist()  # a signature on a row without doc_id would be lost
+            for at, to, has_id in zip(bounds[:-1].tolist(), bounds[1:].tolist(), known, strict=True):
                 words = hashes[at:to]
                 shingles = np.unique(shingle_hashes(words, SHINGLE))
                 sizes.append(len(shingles))
                 name = xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None
                 names.append(name)
-                if name is None or name in met:
+                if name is None or not has_id or name in met:
                     bits.append(None), bands.append(None)
                     continue
                 met.add(name)

@@ -65,6 +65,15 @@ def test_minhash(spark, docs, texts):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_minhash_row_without_doc_id_first(spark):
+    a = prose(60)
+    rows = [(None, a), (5, a), (6, a), (9, a + " tail"), (None, a + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id or 0, r.component_id or 0, bool(r.kept)) for r in minhash.near_duplicates(docs).collect())
+    assert [x for x in got if x[0]] == [(5, 5, True), (6, 5, False), (9, 5, False)]
+    assert len(got) == 5
+
+
 def test_minhash_estimate(spark):
     a, b = np.arange(3000, dtype=np.uint64), np.arange(600, 3600, dtype=np.uint64)
     bits = [minhash.packed_bits(minhash.minima(mix(x))).tolist() for x in (a, b)]
