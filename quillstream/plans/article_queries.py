@@ -144,10 +144,16 @@ def og_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(coalesce(substr(html, 1, 200), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '`', '&#96;'), '/', '&#x2F;') AS escaped, CASE WHEN regexp_matches(trim(url), '(?i)^https?://[^/\\s]') THEN trim(url) ELSE '#' END AS safe FROM pages")
 def html_escaping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Escaped excerpts and safe addresses."""
+    """Escaped excerpts and safe addresses; ``html_escaping_whole`` has whole pages."""
     return _read(spark, sf_dir, "pages").select("page_id", text.escaped_html(F.substring("html", 1, 200)).alias("escaped"), text.safe_url(F.col("url")).alias("safe"))
 
 
+@_query("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '`', '&#96;'), '/', '&#x2F;') AS escaped, CASE WHEN regexp_matches(trim(url), '(?i)^https?://[^/\\s]') THEN trim(url) ELSE '#' END AS safe FROM pages")
+def html_escaping_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole page escaped, and safe addresses."""
+    return _read(spark, sf_dir, "pages").select("page_id", text.escaped_html(F.col("html")).alias("escaped"), text.safe_url(F.col("url")).alias("safe"))
+
+
 _WORDS_SQL = "list_distinct(list_filter(string_split({0}, ' '), lambda w: length(w) > 3))"
 _FIRST_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(split_part(text, chr(10), 1), '')), '\s+[-–—]\s+[^-–—]*$', ''), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
 

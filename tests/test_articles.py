@@ -121,3 +121,14 @@ def test_queries_match_sql(spark):
         want = db.execute(f"select {', '.join(cols)} from ({sql})").fetchall()
         assert sorted(tuple(map(spell, r)) for r in got.select(cols).collect()) == sorted(tuple(map(spell, r)) for r in want), name
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_whole_pages_and_texts(spark, tmp_path):
+    from quillstream.plans import catalog
+
+    html = "<p>" + "word " * 100 + "</p>"
+    spark.createDataFrame([(1, " https://a.org ", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "A sentence that\nruns on. Then another.\nThird.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    page = catalog.QUERIES["html_escaping_whole"](spark, str(tmp_path)).first()
+    assert page.escaped == "&lt;p&gt;" + "word " * 100 + "&lt;&#x2F;p&gt;" and page.safe == "https://a.org"
+    assert catalog.QUERIES["excerpts_whole"](spark, str(tmp_path)).first().excerpt == "A sentence that runs on. Then another."
