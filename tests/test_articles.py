@@ -132,3 +132,22 @@ def test_whole_pages_and_texts(spark, tmp_path):
     page = catalog.QUERIES["html_escaping_whole"](spark, str(tmp_path)).first()
     assert page.escaped == "&lt;p&gt;" + "word " * 100 + "&lt;&#x2F;p&gt;" and page.safe == "https://a.org"
     assert catalog.QUERIES["excerpts_whole"](spark, str(tmp_path)).first().excerpt == "A sentence that runs on. Then another."
+
+
+def test_every_brand_is_excluded(spark, tmp_path):
+    from quillstream.plans import catalog
+
+    for name in os.listdir(SF):
+        if not name.startswith("part."):
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+    titles = {r.id: r.title for r in articles.synthetic(spark, SF).select("id", "title").collect()}
+    brand = sorted(titles.values())[0][:6]
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    part.withColumn("p_brand", F.when(F.col("p_partkey") == part.agg(F.max("p_partkey")).first()[0], brand).otherwise(F.col("p_brand"))).write.parquet(str(tmp_path / "part.parquet"))
+    before = {r.id for r in catalog.QUERIES["exclude_contains"](spark, SF).collect()}
+    after = {r.id for r in catalog.QUERIES["exclude_contains"](spark, str(tmp_path)).collect()}
+    assert after == {k for k in before if brand not in titles[k]} != before
+    kept = {r.doc_id for r in catalog.QUERIES["exclude_contains_documents"](spark, SF).collect()}
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text or "") > 3]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert kept == {r.doc_id for r in docs if not any(x in (r.text or "") for x in items)} and len(kept) < len(docs)
