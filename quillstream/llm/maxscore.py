@@ -2,8 +2,8 @@
 
 Vectors become integer rows; a dimension is a query term and its postings are the rows' components in it. Per shard the
 largest and least component of every dimension bound what a term can add. For a query the terms are ordered by bound
-and split at the current k-th best score: rows are scored on the essential terms, and only those that could still reach
-the k-th best with the bounds of the non-essential terms are probed in them, term group by term group, while they stay
+and split at a fixed quarter, 8 at least: rows are scored on the first terms, and only those that could still reach
+the k-th best with the bounds of the other terms are probed in them, term group by term group, while they stay
 competitive. Shards keep their own top k, which are merged.
 
 Queries are packed in blocks and rows in shards of bounded size; each pair of a query block and a shard is one unit of
@@ -83,7 +83,7 @@ def shard_top_k(query: np.ndarray, own: int, rows: np.ndarray, ids: np.ndarray,
     live = other[SEED_ROWS:]
     partial, at, dim = np.zeros(len(live)), 0, len(query)
     while len(live) and at < dim:
-        # essential terms first; then the non-essential ones, a few at a time, for what is still competitive
+        # the first quarter of the terms first; then the others, a few at a time, for what is still competitive
         to = min(dim, max(at + 8, dim // 4 if at == 0 else 0))
         terms = order[at:to]
         partial += query[terms] @ (rows[np.ix_(terms, live)] if len(live) < rows.shape[1] // 2 else rows[terms][:, live])
