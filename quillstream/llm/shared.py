@@ -1,14 +1,15 @@
 """What several operators need: shared scratch tables, Arrow batches in bounded pieces, text hashing.
 
 Scratch tables stand in ``spark.checkpoint.dir``, which every executor reaches, so a lost executor costs only the
-tasks that it ran. Where the session has no such setting (tests in one process), a folder of this process serves.
+tasks that it ran. Where a local session has no such setting (tests in one process), a folder of this process serves;
+a session on a cluster without it gets an error.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     global _own_folder
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if _own_folder is None:
             _own_folder = tempfile.mkdtemp(prefix="quillstream-")
         root = f"file://{_own_folder}"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """``name``, or with underscores after it, as no column is called, whatever the case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a scratch table and read it again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
