@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import bpe, lines, minhash, mixing, toxicity
-from quillstream.llm.shared import saved
+from quillstream.llm.shared import free_name, saved
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; learnt from the labels outside the held-out fold."""
     weights = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, weights, keep=tuple(docs.columns))
-    return scored.where("score < 0.5").select(*docs.columns)
+    name = free_name("score", docs.columns)
+    scored = toxicity.score(docs, weights, keep=tuple(docs.columns), name=name)
+    return scored.where(F.col(name) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
