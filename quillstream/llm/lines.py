@@ -1,34 +1,45 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions alone.
 
-Lines are trimmed and lower-cased. Equal lines are one class. Two classes link when their edit distance is at most
-EDITS: such a pair shares one of EDITS + 1 segments of the shorter line at a place that its length allows. Every line
-writes its own segments, keyed by length, segment number and content, and probes the substrings at the places that the
-length-aware windows leave for lines of its own length and of up to EDITS characters less. Lines that meet, and
-whose counts of letters differ by no more than the edits can move them, are verified by a banded bit-parallel edit distance over 2 * EDITS + 1 diagonals.
+Lines are trimmed and lower-cased. Equal lines are one class, whatever their length. Two classes of LEAST_CHARS
+characters or more link when their edit distance is at most EDITS: such a pair shares one of EDITS + 1 segments of the
+shorter line at a place that its length allows. Every line writes its own segments, keyed by length, segment number and
+content, and probes the substrings at the places that the length-aware windows leave for lines of its own length and of
+up to EDITS characters less. Only keys and class numbers are shuffled. Lines that meet are read again; those whose
+counts of letters the edits can explain are verified by a banded bit-parallel edit distance over 2 * EDITS + 1 diagonals.
+
+A segment that more than HOT lines own (boilerplate with a number in it) isn't paired as it stands: what its lines hold
+beside the segment is parted into segments once more, and so on up to DEPTH times, so a pair is made only where a second
+and a third place agree too. A near pair agrees there by the same argument, so none is lost.
 
 Classes joined by links form components; the first line of a component (least doc_id, then line number) stays, the
-others are repeats. Names, lengths and counts go through the join; texts are read again for the lines that met. Equal lines are
-pre-aggregated before any shuffle, so a line that holds a third of all rows is one row a task there.
+others are repeats. Equal lines are pre-aggregated before any shuffle, so a line that holds a third of all rows is one
+row a task there; in the last join its rows are many, which Spark's skew handling splits.
 
-Defined cases: lines are what line feeds part; lines of fewer than MIN_CHARS characters after trimming, blank ones
-included, are never repeats and link with nothing; a null text has one blank line; rows that repeat a doc_id are one
-document; a row without doc_id has no lines here. Lines are named by 64 bits of their hash: n lines hold n*n/2**65
-clashes. Other columns are ignored.
+Defined cases: lines are what line feeds part; blank lines are never repeats; a null text has one blank line; repeated
+rows give repeated results; rows that share a doc_id but not the text are read as one document's lines, by line number;
+a row without doc_id has no lines here and loses none. Classes are numbered, not hashed; the rows of a class are found by
+128 bits of the line's hash. Other columns are ignored, or passed on by :func:`without_repeats`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.components import connected_components
-from quillstream.llm.shared import discard, saved
-
-EDITS, MIN_CHARS = 2, 20
-#: Letters whose counts are compared before a pair is made.
+from quillstream.llm.shared import discard, free_name, saved
+
+EDITS = 2
+#: Shorter lines have no near repeats, only exact ones.
+LEAST_CHARS = 20
+#: Lines that may own a segment before it is parted further, and how often that is done.
+HOT, DEPTH = 64, 3
+#: Letters whose counts are compared before a pair is verified.
 LETTERS = "eairtnsoulcdmhgp"
-#: Names up to which a broadcast (8 bytes a name) picks the lines to read again; beyond it a shuffled join does.
-BROADCAST_NAMES = 1_000_000
+#: Class numbers or keys up to which a broadcast (8 bytes each) picks the rows that hold them; beyond it a shuffled join.
+BROADCAST_ROWS = 1_000_000
 
 
 def normal_lines(text: Column) -> Column:
@@ -36,7 +47,7 @@ def normal_lines(text: Column) -> Column:
     plain = F.lower(F.coalesce(text, F.lit("")))
     for blank in "\t\r\f\x0b":
         plain = F.replace(plain, F.lit(blank), F.lit(" "))
-    return F.transform(F.split(plain, "\n"), F.trim)
+    return F.transform(F.split(plain, "\n"), lambda x: F.trim(x))  # trim itself would take the place in the list as a second argument
 
 
 def _segments(length: Column) -> list[tuple[Column, Column]]:
@@ -60,20 +71,30 @@ def probe_places() -> list[tuple[int, int, int]]:
     return out
 
 
-def _key(wide: Column, length: Column, start: Column, size: Column, segment: int, less: int) -> Column:
+def _key(prefix: tuple[Column, ...], wide: Column, length: Column, start: Column, size: Column, segment: int, less: int) -> Column:
     """Name of the substring as segment of a line of ``length - less`` characters; it always lies within the line."""
-    return F.xxhash64((length - less).cast("int"), F.lit(segment), F.substring(wide, start * 4 - 3, size * 4))
+    return F.xxhash64(*prefix, (length - less).cast("int"), F.lit(segment), F.substring(wide, start * 4 - 3, size * 4))
+
+
+def _own_places(length: Column) -> list[tuple[Column, Column, int, int]]:
+    """(start, size, segment, length difference) of a line's own segments."""
+    return [(start, size, i, 0) for i, (start, size) in enumerate(_segments(length))]
+
+
+def _probed_places(length: Column, which: list[tuple[int, int, int]]) -> list[tuple[Column, Column, int, int]]:
+    """(start, size, segment, length difference) of the substrings that can be segments of a line as long or shorter."""
+    at = {less: _segments(length - less) for less in {x[0] for x in which}}
+    return [(at[less][i][0] + off, at[less][i][1], i, less) for less, i, off in which]
 
 
-def own_keys(wide: Column, length: Column) -> Column:
-    """Names of the line's own segments; ``wide`` has four bytes a character, so that substrings need no count."""
-    return F.array(*(_key(wide, length, start, size, i, 0) for i, (start, size) in enumerate(_segments(length))))
+def _keys(wide: Column, length: Column, places: list, prefix: tuple[Column, ...] = ()) -> Column:
+    """Names of the substrings; ``wide`` has four bytes a character, so that they need no count of characters."""
+    return F.array(*(_key(prefix, wide, length, start, size, i, less) for start, size, i, less in places))
 
 
-def probe_keys(wide: Column, length: Column) -> Column:
-    """Names of the substrings that can be segments of a line as long or up to EDITS shorter."""
-    at = {less: _segments(length - less) for less in range(EDITS + 1)}
-    return F.array(*(_key(wide, length, at[less][i][0] + off, at[less][i][1], i, less) for less, i, off in probe_places()))
+def _without(wide: Column, start: Column, size: Column) -> Column:
+    """What a line holds beside a substring."""
+    return F.concat(F.substring(wide, F.lit(1), (start - 1) * 4), F.substring(wide, (start + size) * 4 - 3, F.lit(1 << 30)))
 
 
 def common_start(a: Column, b: Column) -> Column:
@@ -158,8 +179,9 @@ def _advance(state: Column, match: Column, flat: Column, full: int, top: int) ->
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(normal_lines(F.col("text"))).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", "line", F.length("line").alias("chars"), F.xxhash64("line").alias("name"))
+    """doc_id, copy (names the text among rows that share the id), line_no, line."""
+    rows = docs.where(F.col("doc_id").isNotNull())
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.posexplode(normal_lines(F.col("text"))).alias("line_no", "line"))
 
 
 def letter_counts(line: Column, chars: Column) -> Column:
@@ -179,62 +201,128 @@ def near_counts(a: Column, b: Column) -> Column:
     return sum((apart(k) for k in range(1, len(LETTERS) + 1)), apart(0)) <= 2 * EDITS
 
 
-def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes). lines: doc_id, line_no, chars, name of every line; classes, of lines that are long enough: name,
-    n_lines, n_links (other classes linked directly), first_doc, first_line (of the component).
+def _picked(df: DataFrame, keys: DataFrame, few: bool, column: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is among ``keys``, or is not; ``few``: keys are BROADCAST_ROWS at most."""
+    return df.join(F.broadcast(keys) if few else keys, column, how)
+
+
+def _hot_keys(own: DataFrame) -> tuple[DataFrame, int]:
+    """Keys that more than HOT lines own, and their number."""
+    hot = saved(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot-segments")
+    return hot, hot.count()
+
+
+def candidate_pairs(lines: DataFrame) -> DataFrame:
+    """(a, b): numbers of lines that share a segment where a near pair must; ``lines``: id, line, chars."""
+    # explode_outer: arrays of keys are never empty, and Spark then leaves the keys outside the generator's own method, which
+    # they would make too long to be compiled (83 microseconds a line instead of 7)
+    either = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    wide, length = F.encode("line", "UTF-32"), F.col("chars")
+    every = probe_places()
+    moved = [x for x in every if x[0] or x[2]]  # at the same place of a line as long, both own the segment
+    keyed = lambda places: lines.select("id", _keys(wide, length, places).alias("keys")).select("id", F.explode_outer("keys").alias("key"))
+    own, probe = keyed(_own_places(length)), keyed(_probed_places(length, moved)).withColumnRenamed("id", "of")
+    hot, n_hot = _hot_keys(own)
+    cold = _picked(own, hot, n_hot <= BROADCAST_ROWS, "key", "left_anti") if n_hot else own
+    same = cold.join(cold.withColumnRenamed("id", "of"), "key").where(F.col("id") < F.col("of")).select(*either("id", "of"))
+    pairs = same.unionByName(cold.join(probe, "key").where(F.col("id") != F.col("of")).select(*either("id", "of")))
+    return pairs.unionByName(_refined(lines, hot, n_hot)) if n_hot else pairs
+
+
+def _refined(lines: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
+    """The pairs under hot keys, by further segments of what stands beside them."""
+    length, every = F.col("chars"), probe_places()
+
+    def under(df: DataFrame, places: list, hot: DataFrame, n: int, prefix: tuple[Column, ...] = (), wide: Column = F.col("rest")) -> DataFrame:
+        """df's rows with "key" and "at", its place; only those under hot keys if there are any."""
+        rows = df.select("*", _keys(wide, F.col("chars"), places, prefix).alias("names")).select(*(c for c in df.columns if c != "key"), F.posexplode_outer("names").alias("at", "key"))
+        return _picked(rows, hot, n <= BROADCAST_ROWS, "key") if n else rows
+
+    def beside(df: DataFrame, places: list) -> DataFrame:
+        rest, less = (F.element_at(F.array(*x), F.col("at") + 1) for x in ([_without(F.col("rest"), start, size) for start, size, _, _ in places], [F.lit(less) for _, _, _, less in places]))
+        out = df.select("key", "id", "letters", rest.alias("rest"), less.alias("less"))
+        return out.withColumn("chars", (F.octet_length("rest") / 4).cast("int"))
+
+    own, probe = _own_places(length), _probed_places(length, every)
+    # letters and what stands beside the key are made for the rows under hot keys alone
+    begun = lambda places: beside(under(lines, places, hot, n_hot, wide=F.encode("line", "UTF-32")).withColumns({"rest": F.encode("line", "UTF-32"), "letters": letter_counts(F.col("line"), length)}), places)
+    held, asked = saved(begun(own).drop("less"), "hot-own"), saved(begun(probe), "hot-probes")
+    pairs = None
+    for level in range(1, DEPTH + 1):
+        prefix = (F.col("key"),)
+        mine = under(held, own, hot, 0, prefix)
+        # a probe looks for lines that are shorter by as much as its whole line was
+        by_less = [under(asked.where(F.col("less") == k), _probed_places(length, [x for x in every if x[0] == k]), hot, 0, prefix) for k in range(EDITS + 1)]
+        hot, n_hot = _hot_keys(mine) if level < DEPTH else (hot, 0)
+        cold = _picked(mine, hot, n_hot <= BROADCAST_ROWS, "key", "left_anti") if n_hot else mine
+        theirs = reduce(DataFrame.unionByName, by_less)
+        met = cold.select("key", "id", "letters").join(theirs.select("key", F.col("id").alias("of"), F.col("letters").alias("of_letters")), "key")
+        met = met.where((F.col("id") != F.col("of")) & near_counts(F.col("letters"), F.col("of_letters"))).select(F.least("id", "of").alias("a"), F.greatest("id", "of").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+        if not n_hot:
+            break
+        held = saved(beside(_picked(mine, hot, n_hot <= BROADCAST_ROWS, "key"), own).drop("less"), "hot-own")
+        parts = [beside(_picked(x, hot, n_hot <= BROADCAST_ROWS, "key"), _probed_places(length, [p for p in every if p[0] == k])) for k, x in enumerate(by_less)]
+        asked = saved(reduce(DataFrame.unionByName, parts), "hot-probes")
+    return pairs
+
+
+def line_classes(docs: DataFrame) -> DataFrame:
+    """Classes that another line repeats or is near to: h1, h2 (128 bits of the line's hash), n_lines, n_links (other classes
+    linked directly), first_doc, first_line (of the component).
     """
-    every = _lines(docs)
-    lines = saved(every.drop("line"), "lines")
     # the place in one number, so that the partial aggregation hashes and doesn't sort
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
-    distinct = every.where(F.col("chars") >= MIN_CHARS).groupBy("name", "line").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n_lines"))
-    chars = F.length("line")
-    classes = saved(distinct.withColumns({"chars": chars, "letters": letter_counts(F.col("line"), chars)}), "line-classes")
-    # the array is a column of its own: what its keys have in common is then computed once
-    keyed = lambda keys: classes.select("name", "chars", "letters", keys(F.encode("line", "UTF-32"), F.col("chars")).alias("keys")).select("name", "chars", "letters", F.explode("keys").alias("key"))
-    own = keyed(own_keys).select("key", F.col("name").alias("a"), F.col("chars").alias("chars_a"), F.col("letters").alias("letters_a"))
-    probe = keyed(probe_keys).select("key", F.col("name").alias("b"), F.col("chars").alias("chars_b"), F.col("letters").alias("letters_b"))
-    shorter = F.col("chars_a") < F.col("chars_b")
-    met = own.join(probe, "key").where((shorter | ((F.col("chars_a") == F.col("chars_b")) & (F.col("a") != F.col("b")))) & near_counts(F.col("letters_a"), F.col("letters_b")))
-    met = met.select(F.when(shorter, F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(shorter, F.col("b")).otherwise(F.greatest("a", "b")).alias("b"))
-    pairs = saved(met.distinct(), "line-pairs")
-    names = saved(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "line-names")
-    few = names.count() <= BROADCAST_NAMES
-    texts = saved(classes.select("name", "line").join(F.broadcast(names) if few else names, "name", "left_semi"), "line-texts")
-    both = pairs.join(texts.select(F.col("name").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("name").alias("b"), F.col("line").alias("line_b")), "b")
-    links = saved(both.where(edit_distance(F.col("line_a"), F.col("line_b")) <= EDITS).select("a", "b"), "line-links")
+    base = F.lit(1 << 32).cast("decimal(10,0)")
+    place = F.col("doc_id").cast("decimal(20,0)") * base + F.col("line_no").cast("decimal(10,0)")
+    distinct = _lines(docs).where(F.col("line") != "").groupBy("line").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n_lines"))
+    classes = saved(distinct.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("chars"), "at", "n_lines"), "line-classes")
+    long_lines = classes.where(F.col("chars") >= LEAST_CHARS).select("id", "line", "chars")
+    pairs = saved(candidate_pairs(long_lines).distinct(), "line-pairs")
+    met = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "lines-met")
+    few = met.count() <= BROADCAST_ROWS
+    texts = saved(_picked(long_lines, met, few, "id").withColumn("letters", letter_counts(F.col("line"), F.col("chars"))), "line-texts")
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("letters").alias(f"letters_{s}"), F.struct("chars", "line").alias(f"line_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(near_counts(F.col("letters_a"), F.col("letters_b")))
+    both = both.select("a", "b", F.least("line_a", "line_b")["line"].alias("x"), F.greatest("line_a", "line_b")["line"].alias("y"))
+    links = saved(both.where(edit_distance(F.col("x"), F.col("y")) <= EDITS).select("a", "b"), "line-links")
     components = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    marked = classes.drop("line").join(components.withColumnRenamed("node", "name"), "name", "left").join(degree.withColumnRenamed("node", "name"), "name", "left")
-    # lines whose names clash are one class; the rows of a name stand together already
-    marked = marked.groupBy("name", F.coalesce("component", "name").alias("component")).agg(F.min("at").alias("at"), F.sum("n_lines").alias("n_lines"), F.coalesce(F.max("n_links"), F.lit(0)).cast("long").alias("n_links"))
+    linked = components.join(degree, "node").withColumnRenamed("node", "id")
+    named = classes.select("id", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "at", "n_lines")
+    marked = named.join(F.broadcast(linked) if few else linked, "id", "left").where((F.col("n_lines") > 1) | F.col("n_links").isNotNull())
     marked = saved(marked, "line-marks")
-    first = marked.groupBy("component").agg(F.min("at").alias("first"))
-    discard(pairs, names, texts, links, components, classes)
-    base = F.lit(1 << 32).cast("decimal(10,0)")
+    discard(pairs, met, texts, links, components, classes)
+    near = marked.where(F.col("n_links").isNotNull())
+    first = near.groupBy("component").agg(F.min("at").alias("first"))
+    alone = marked.where(F.col("n_links").isNull()).withColumn("first", F.col("at"))
+    out = near.join(first, "component").unionByName(alone)
     row = F.pmod(F.col("first"), base)
     first_doc = ((F.col("first") - row) / base).cast("decimal(20,0)").cast("long")
-    return lines, marked.join(first, "component").select("name", "n_lines", "n_links", first_doc.alias("first_doc"), row.cast("int").alias("first_line"))
+    return out.select("h1", "h2", "n_lines", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first_doc.alias("first_doc"), row.cast("int").alias("first_line"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """Every line: doc_id, copy, line_no, n_links, first_doc, first_line, kept."""
+    lines = _lines(docs).select("doc_id", "copy", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    out = lines.join(line_classes(docs), ["h1", "h2"], "left")
+    first_doc, first_line = F.coalesce("first_doc", "doc_id"), F.coalesce("first_line", "line_no")
+    kept = (first_doc == F.col("doc_id")) & (first_line == F.col("line_no"))
+    return out.select("doc_id", "copy", F.col("line_no").cast("long").alias("line_no"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), first_doc.alias("first_doc"), first_line.cast("long").alias("first_line"), kept.alias("kept"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """Every line: doc_id, line_no (from 0), n_links, first_doc, first_line (of its component), kept."""
-    lines, classes = line_classes(docs)
-    out = lines.join(classes, "name", "left")
-    first_doc, first_line = F.coalesce("first_doc", "doc_id"), F.coalesce("first_line", "line_no")
-    return out.select(
-        "doc_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        first_doc.alias("first_doc"), first_line.cast("long").alias("first_line"), ((first_doc == F.col("doc_id")) & (first_line == F.col("line_no"))).alias("kept"),
-    )
+    return _judged(docs).drop("copy")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated lines, n_chars following the text. A document of which nothing but blanks is left goes."""
-    dropped = repeated_lines(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set("line_no").alias("gone"))
-    joined = docs.join(dropped, docs["doc_id"] == dropped["of_doc"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.col("gone"), k.cast("long"))), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text).where(F.col("gone").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    of_doc, of_copy, gone = (free_name(x, docs.columns) for x in ("of_doc", "of_copy", "gone"))
+    dropped = _judged(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias(of_doc), F.col("copy").alias(of_copy)).agg(F.collect_set("line_no").alias(gone))
+    joined = docs.join(dropped, (docs["doc_id"].cast("long") == dropped[of_doc]) & (F.xxhash64(docs["text"]) == dropped[of_copy]), "left")
+    changed = F.col(gone).isNotNull()
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(F.col(gone), k.cast("long"))), "\n")
+    out = joined.withColumn("text", F.when(changed, kept).otherwise(F.col("text"))).where(~changed | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

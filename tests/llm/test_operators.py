@@ -207,32 +207,59 @@ def test_edit_distance(spark):
     assert all(r.d == edits(r.a, r.b) if edits(r.a, r.b) <= lines.EDITS else r.d > lines.EDITS for r in got)
 
 
-def test_lines(spark):
-    base = ["".join(RNG.choice("abcé") for _ in range(RNG.randint(20, 30))) for _ in range(15)]
-    rows = [(k, "\n".join(changed(RNG.choice(base), RNG.randint(0, 2)) for _ in range(3)) + "\n short", "x") for k in range(20)] + [(20, None, "x"), (21, "", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(3)
-    every = {(d, k): x.strip().lower() for d, t, _ in rows for k, x in enumerate((t or "").split("\n"))}
+def check_lines(spark, rows):
+    """Every line and every text against brute force; no two rows share a doc_id here."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, of_doc int, n_chars long").repartition(3)
+    every = {(d, k): x.strip().lower() for d, t, *_ in rows for k, x in enumerate((t or "").split("\n"))}
     first = {}
     for at in sorted(every):
         first.setdefault(every[at], at)
-    kinds = [x for x in first if len(x) >= lines.MIN_CHARS]
-    links = [(a, b) for a, b in combinations(kinds, 2) if edits(a, b) <= lines.EDITS]
+    kinds = [x for x in first if len(x) >= lines.LEAST_CHARS]
+    links = [(a, b) for a, b in combinations(kinds, 2) if abs(len(a) - len(b)) <= lines.EDITS and edits(a, b) <= lines.EDITS]
     low = parts([first[x] for x in kinds], [(first[a], first[b]) for a, b in links])
     got = {(r.doc_id, r.line_no): r for r in lines.repeated_lines(docs).collect()}
     assert set(got) == set(every)
     for at, x in every.items():
-        where = low[first[x]] if x in kinds else at
+        where = low[first[x]] if x in kinds else first[x] if x else at
         assert ((got[at].first_doc, got[at].first_line), got[at].n_links) == (where, sum(x in p for p in links))
-    left = {r.doc_id: r.text for r in lines.without_repeats(docs).collect()}
-    for d, t, _ in rows:
-        kept = [x for k, x in enumerate((t or "").split("\n")) if got[d, k].kept]
-        if len(kept) == len((t or "").split("\n")):
-            assert left[d] == t
+    out = lines.without_repeats(docs)
+    assert out.columns == docs.columns
+    left = {r.doc_id: r for r in out.collect()}
+    for d, t, *_ in rows:
+        whole = (t or "").split("\n")
+        kept = [x for k, x in enumerate(whole) if got[d, k].kept]
+        if len(kept) == len(whole):
+            assert left[d].text == t
         elif "".join(kept).strip():
-            assert left[d] == "\n".join(kept)
+            assert left[d].text == "\n".join(kept) and left[d].n_chars == len(left[d].text)
         else:
             assert d not in left
-    assert lines.repeated_lines(empty(spark)).count() == 0
+    return links
+
+
+def test_lines(spark):
+    base = ["".join(RNG.choice("abcé") for _ in range(RNG.randint(20, 30))) for _ in range(15)]
+    texts = ["\n".join(changed(RNG.choice(base), RNG.randint(0, 2)) for _ in range(3)) + "\n short" for _ in range(20)]
+    texts += [None, "", "a" * 60_000 + "\n" + "b " * 900, "b " * 900 + "c", "short\n\n"]
+    assert check_lines(spark, [(k, t, "x", 1, len(t or "")) for k, t in enumerate(texts)])
+    none = spark.createDataFrame([], DOCS)
+    assert lines.repeated_lines(none).count() == 0 and lines.without_repeats(none).count() == 0
+
+
+def test_lines_hot_segments(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 4)
+    for depth in (1, 3):
+        monkeypatch.setattr(lines, "DEPTH", depth)
+        numbered = [f"printed on page {RNG.randint(0, 10**5):06d} of the whole record {RNG.choice('xyz')}" for _ in range(60)]
+        numbered += [changed(RNG.choice(numbered), RNG.randint(0, 2)) for _ in range(40)] + ["=" * n for n in range(20, 32)]
+        assert len(check_lines(spark, [(k, t, "x", 1, len(t)) for k, t in enumerate(numbered)])) > 40
+
+
+def test_lines_of_repeated_and_missing_ids(spark):
+    rows = [(5, "only here once\nsaid by both"), (5, "said by both\nonly there, too"), (6, "said by both\nlast"), (None, "said by both"), (6, "said by both\nlast")]
+    left = sorted((str(r.doc_id), r.text) for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # the class begins at line 0 of a row of 5; both rows of 6 are the same lines of one document
+    assert left == [("5", "only here once"), ("5", "said by both\nonly there, too"), ("6", "last"), ("6", "last"), ("None", "said by both")]
 
 
 def test_secrets_and_ledger(spark, tmp_path):
