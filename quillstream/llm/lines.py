@@ -35,7 +35,7 @@ EDITS = 2
 #: Shorter lines have no near repeats, only exact ones.
 LEAST_CHARS = 20
 #: Lines that may own a segment before it is parted further, and how often that is done.
-HOT, DEPTH = 64, 3
+HOT, DEPTH = 32, 3
 #: Letters whose counts are compared before a pair is verified.
 LETTERS = "eairtnsoulcdmhgp"
 #: Class numbers or keys up to which a broadcast (8 bytes each) picks the rows that hold them; beyond it a shuffled join.
