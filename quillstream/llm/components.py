@@ -12,7 +12,7 @@ def _least(edges: DataFrame, node: str, other: str) -> DataFrame:
     return edges.groupBy(F.col(node).alias("u")).agg(F.min(other).alias("m"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of ``edges`` (two long columns a, b); the component is its smallest node.
 
     Each round sends every node's larger neighbours, then its smaller ones, to the least of them; edges never multiply,
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and joined, so no task holds a node's neighbours. Null ends and loops are ignored; repeated edges count once.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v > u").distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = _least(both, "u", "v").select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).distinct()
@@ -34,8 +34,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = after
         if same:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     labels = now.select(F.col("v").alias("node"), F.col("u").alias("component"))
     out = labels.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
     out._scratch_path = now._scratch_path  # type: ignore[attr-defined]

@@ -14,8 +14,9 @@ The tables, probes and scale are chosen for recall of at least 0.9 of pairs at t
 Chance meetings of unrelated vectors grow with the number of vectors; a larger ``scale`` with more tables thins them.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing and are
-their own component; vectors of different lengths never link. Repeated vec_ids are separate rows of one node. Other
-columns are ignored.
+their own component; vectors of different lengths never link. Rows that repeat a vec_id are rows of one node, each with
+its own vector and links; what one of them links to, all reach. A row without vec_id links with nothing and has a null
+component. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.components import connected_components
@@ -96,10 +97,13 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     return out
 
 
+def _good(v: Column) -> Column:
+    return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
 def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col)
-    good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(good).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"))
+    return df.where(_good(v)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"))
 
 
 def _matrix(array: pa.Array, dim: int) -> np.ndarray:
@@ -148,11 +152,13 @@ def _local_components(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) ->
 def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
     """Per row: vec_id, n_links, component_id (smallest vec_id reachable), kept (it is that vector)."""
     all_rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vector"))
-    usable = _usable(df, id_col, vec_col).where(F.col("vec_id").isNotNull())
+    usable = _usable(all_rows, "vec_id", "vector").where(F.col("vec_id").isNotNull())
+    # a class, the rows of one vector, has a number; rep: its least vec_id, which it has in the graph
     keyed = usable.select("vec_id", "vector", F.sha2(F.to_json("vector"), 256).alias("content"))
-    classes = saved(keyed.groupBy("content").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    members = saved(keyed.select("vec_id", "content").join(classes, "content").select("vec_id", "rep", "copies"), "members")
-    reps = saved(usable.join(classes.select(F.col("rep").alias("vec_id"), "copies"), "vec_id").dropDuplicates(["vec_id"]), "vectors")
+    grouped = keyed.groupBy("content").agg(F.first("vector").alias("vector"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = saved(grouped.withColumn("of", F.monotonically_increasing_id()), "classes")
+    members = saved(keyed.select("vec_id", "content").join(classes.drop("vector"), "content").select("vec_id", "of", "rep", "copies"), "members")
+    reps = classes.select(F.col("of").alias("vec_id"), "rep", "copies", "vector")
 
     def name_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -171,7 +177,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     own = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int")
     spread = busy.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select("vec_id", "cell", "home", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    blocks = spread.join(reps, "vec_id").select("cell", "p", "q", "own", "home", "vec_id", "copies", "vector")
+    blocks = spread.join(reps, "vec_id").select("cell", "p", "q", "own", "home", "vec_id", "rep", "copies", "vector")
     blocks = blocks.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +200,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
         for batch in _by_length(frame, frame.schema.get_field_index("vector")):
             col = lambda k, b=batch: np.asarray(b.column(b.schema.get_field_index(k)))
             vectors = batch.column(batch.schema.get_field_index("vector"))
-            ids, cell, p, q, own, home, copies = (col(k) for k in ("vec_id", "cell", "p", "q", "own", "home", "copies"))
+            ids, cell, p, q, own, home, copies, rep = (col(k) for k in ("vec_id", "cell", "p", "q", "own", "home", "copies", "rep"))
             x = _unit(_matrix(vectors, len(vectors[0])))
             change = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
             ends = np.append(change[1:], len(ids))
@@ -226,15 +232,21 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
                 new = ~_met_before(names[a[sl]], names[b[sl]], cell[i[sl]])
                 np.add.at(count, a[sl][new], copies[j[sl]][new])
                 np.add.at(count, b[sl][new], copies[i[sl]][new])
-            low = _local_components(len(used), a, b, ids[used])
-            frame_out = pd.DataFrame({"vec_id": ids[used], "low": low, "links": count}).groupby(["vec_id", "low"], as_index=False)["links"].sum()
+            low = _local_components(len(used), a, b, rep[used])
+            frame_out = pd.DataFrame({"of": ids[used], "rep": rep[used], "low": low, "links": count}).groupby(["of", "rep", "low"], as_index=False)["links"].sum()
             yield pa.RecordBatch.from_pandas(frame_out, preserve_index=False)
 
-    partial = saved(blocks.mapInArrow(link, "vec_id long, low long, links long"), "links")
-    counts = partial.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("others"))
-    components = connected_components(partial.select(F.col("vec_id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
-    per_vector = members.join(counts, "rep", "left").join(components, "rep", "left").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    partial = saved(blocks.mapInArrow(link, "of long, rep long, low long, links long"), "links")
+    counts = partial.groupBy("of").agg(F.sum("links").alias("others"))
+    # an id with several vectors holds their classes together
+    several = members.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a != high").drop("high")
+    edges = partial.select(F.col("rep").alias("a"), F.col("low").alias("b")).unionByName(members.join(several, "vec_id").select("a", F.col("rep").alias("b")))
+    components = connected_components(edges).withColumnRenamed("node", "rep")
+    per_vector = members.join(counts, "of", "left").join(components, "rep", "left").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     discard(places, classes)
-    rest = all_rows.select("vec_id").join(per_vector.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    # rows without a usable vector stay alone, or with their id's other rows
+    unused = all_rows.where(~F.coalesce(_good(F.col("vector")), F.lit(False)) | F.col("vec_id").isNull()).select("vec_id")
+    known = per_vector.select("vec_id", "component_id").join(unused.select("vec_id").distinct(), "vec_id", "left_semi").distinct()
+    rest = unused.join(known, "vec_id", "left").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     out = per_vector.unionByName(rest)
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -11,8 +11,9 @@ Inside a bucket of a band no group is expanded into all pairs: every member is c
 components are built, and only buckets that still hold two components are compared further, across components.
 
 Defined cases: words are lower-cased (A-Z) and cut at ASCII white space; a text of fewer words than a shingle is one
-shingle; a null or blank text has none and links with nothing. Rows that repeat a doc_id are one node; a row without
-doc_id links with nothing and has a null component. Other columns are ignored.
+shingle; a null or blank text has none and links with nothing. Rows that repeat a doc_id are one node with all their
+texts: what any of them links to, all of them reach. A row without doc_id links with nothing and has a null component.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,11 +128,14 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity; each pair's two texts meet by two joins."""
-    texts = docs
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) whose full shingle sets reach the similarity, where an id has several texts, of any two of them.
+
+    b's text is joined first: a is the head of many pairs at times, and its text then goes to them in the last join,
+    whose large partitions Spark splits, instead of being written once a pair.
+    """
+    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def make():
@@ -161,7 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = named.groupBy("words").agg(F.min("doc_id").alias("rep"))
     members = saved(signed.select("doc_id", "n_shingles", "words").join(classes, "words", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.col("words").isNotNull().alias("has")), "members")
     first = named.where(F.col("bands").isNotNull()).select("words", "n_shingles", "bits", "bands").join(classes, "words")
-    reps = saved(first.groupBy("rep").agg(F.min(F.struct("words", "n_shingles", "bits", "bands")).alias("x")).select("rep", "x.n_shingles", *(F.col("x.bits")[k].alias(f"s{k}") for k in range(WORDS + ODD)), "x.bands"), "representatives")
+    reps = saved(first.groupBy("rep", "words").agg(F.min(F.struct("n_shingles", "bits", "bands")).alias("x")).select("rep", "x.n_shingles", *(F.col("x.bits")[k].alias(f"s{k}") for k in range(WORDS + ODD)), "x.bands"), "representatives")
     discard(signed)
     bands = reps.select("rep", F.explode("bands").alias("key"))
     plain = reps.drop("bands")
@@ -172,7 +176,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     heads = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     tried = saved(bands.join(heads, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links = saved(_confirmed(tried.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b"), docs, percent), "links")
+    sure = saved(_confirmed(tried.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b").distinct(), docs, percent).distinct(), "links")
+    # an id with several texts holds their classes together
+    several = members.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a != high").drop("high")
+    links = sure.unionByName(members.join(several, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct())
     found = connected_components(links)
 
     # buckets that still hold two components: compare across them what the heads have not settled
@@ -182,9 +189,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     x = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("of_a")).join(side("a"), "a")
     y = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("of_b")).join(side("b"), "b")
     across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & likely).select("a", "b").distinct()
-    more = saved(_confirmed(across.join(tried, ["a", "b"], "left_anti"), docs, percent), "links")
+    more = saved(_confirmed(across.join(tried, ["a", "b"], "left_anti"), docs, percent).distinct(), "links")
     components = connected_components(links.unionByName(more))
-    discard(tried, rest, found, links, more, reps)
+    discard(tried, rest, found, sure, more, reps)
     out = members.join(components.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -5,12 +5,13 @@ quotas of its sources, the first copy of a word at no cost, each further copy at
 so a word is repeated only where no fresh one fits. The flow of a pattern is then laid over its documents in a seeded
 order: a whole copy of all of them, then of the first ones, the last of these in part, so quotas are met to the word.
 
-Only sums by pattern reach the driver (at most MOST_PATTERNS, or ValueError); the seeded order is found from sums of
-4,096 hash buckets a pattern, and single documents are ordered only in the one bucket a pattern that the quota cuts.
+Only sums by pattern reach the driver (at most MOST_PATTERNS, or ValueError); patterns that share no source, directly or
+through others, are separate flows there. The seeded order is found from sums of hash buckets, 4,096 a pattern, then 4,096
+more in the bucket that the quota cuts; single documents are ordered only in one of these a pattern.
 
 Defined cases: a null or blank text has no words, and nothing is taken of it; a null source is a source of its own,
-ordered last; repeated rows are separate documents; a row without doc_id is ordered by its null name. Other columns are
-ignored.
+ordered last; repeated rows are separate documents, as are rows that share a doc_id; a row without doc_id is a document
+like others, ordered by its text. Other columns are passed on by :func:`mixed_documents`, else ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from quillstream.llm.shared import saved
 
 MOST_PATTERNS = 100_000
+#: Hexadecimal digits of a bucket's name: 4,096 buckets, and as many in one of them.
+DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,12 +57,8 @@ class _Arc:
     back: int
 
 
-def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], copies: int) -> list[dict[int, int]]:
-    """Words that each pattern gives each source: as many as fit, at the least repetition cost.
-
-    capacity: words of a pattern; members: its sources; quota: words that a source takes; copies: times a word may be
-    taken. The n-th copy of a word costs n - 1. Shortest augmenting paths with Bellman-Ford over the small graph.
-    """
+def _flow(capacity: list[int], members: list[list[int]], quota: list[int], copies: int) -> list[dict[int, int]]:
+    """The flow of patterns that hang together, by shortest augmenting paths with Bellman-Ford."""
     n, m = len(capacity), len(quota)
     start, end = n + m, n + m + 1
     graph: list[list[_Arc]] = [[] for _ in range(n + m + 2)]
@@ -100,29 +99,72 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
     return [{e.to - n: graph[e.to][e.back].room for e in graph[p] if n <= e.to < n + m and graph[e.to][e.back].room > 0} for p in range(n)]
 
 
+def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], copies: int) -> list[dict[int, int]]:
+    """Words that each pattern gives each source: as many as fit, at the least repetition cost.
+
+    capacity: words of a pattern; members: its sources; quota: words that a source takes; copies: times a word may be
+    taken. The n-th copy of a word costs n - 1. Patterns are solved by the groups that shared sources make of them.
+    """
+    head = list(range(len(quota)))
+
+    def find(s: int) -> int:
+        while head[s] != s:
+            head[s] = head[head[s]]
+            s = head[s]
+        return s
+
+    for own in members:
+        for s in own[1:]:
+            head[find(s)] = find(own[0])
+    groups: dict[int, list[int]] = {}
+    for p, own in enumerate(members):
+        if own:
+            groups.setdefault(find(own[0]), []).append(p)
+    out: list[dict[int, int]] = [{} for _ in capacity]
+    for patterns in groups.values():
+        sources = sorted({s for p in patterns for s in members[p]})
+        if len(patterns) == len(sources) == 1:
+            given = min(quota[sources[0]], copies * capacity[patterns[0]])
+            out[patterns[0]] = {sources[0]: given} if given else {}
+            continue
+        place = {s: k for k, s in enumerate(sources)}
+        found = _flow([capacity[p] for p in patterns], [[place[s] for s in members[p]] for p in patterns], [quota[s] for s in sources], copies)
+        for p, given in zip(patterns, found, strict=True):
+            out[p] = {sources[s]: n for s, n in given.items()}
+    return out
+
+
 def words_in(text: Column) -> Column:
     """Number of words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
-    """(doc_id, pattern, size, pattern_words, taken, targets, source_words) of every row.
+def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: str = "mix", with_row: bool = False) -> DataFrame:
+    """(doc_id, pattern, size, pattern_words, taken, targets, source_words) of every row, with ``with_row`` its row too.
 
     ``sources``: the row's sources, an array of strings (nulls allowed). Sources take ``weights`` in turn, by code point,
     null last. ``taken``: words that the mix takes, repeats counted. ``targets`` and ``source_words`` are aligned with
     ``pattern``.
     """
-    sized = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("pattern"), words_in(F.col("text")).alias("size")), "sizes")
-    rank = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = sized.withColumn("rank", rank).withColumn("bucket", F.substring("rank", 1, 3))
-    buckets = saved(sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []
+    sized = saved(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("pattern"), words_in(F.col("text")).alias("size"),
+            F.md5(F.concat(F.lit(seed), name)).alias("rank"), F.xxhash64("text").alias("tie"), *row,
+        ), "sizes",
+    )
+    buckets = saved(sized.groupBy("pattern", F.substring("rank", 1, DIGITS).alias("bucket")).agg(F.sum("size").alias("words")), "buckets")
     sums = buckets.groupBy("pattern").agg(F.sum("words").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     names = sorted({s for r in sums for s in r.pattern}, key=lambda s: (s is None, s or ""))
     place = {s: k for k, s in enumerate(names)}
     sums.sort(key=lambda r: [place[s] for s in r.pattern])
-    of_source = [sum(r.words for r in sums if s in r.pattern) for s in names]
+    of_source = [0] * len(names)
+    for r in sums:
+        for s in r.pattern:
+            of_source[place[s]] += r.words
     targets = water_fill(of_source, [weights[k % len(weights)] for k in range(len(names))], share, most)
     flow = min_cost_flow([r.words for r in sums], [[place[s] for s in r.pattern] for r in sums], [math.floor(t) for t in targets], most)
     rows = []
@@ -132,17 +174,27 @@ def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = (5.0, 2.0
         rows.append((r.pattern, r.words, full, part, [targets[place[s]] for s in r.pattern], [of_source[place[s]] for s in r.pattern]))
     plan = docs.sparkSession.createDataFrame(rows, "key array<string>, pattern_words long, full long, part long, targets array<double>, source_words array<long>")
     same = lambda df: df.join(F.broadcast(plan), df["pattern"] == plan["key"]).drop("key")  # noqa: E731  at most MOST_PATTERNS rows
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = same(buckets).withColumn("before", before).where((F.col("before") <= F.col("part")) & (F.col("part") < F.col("before") + F.col("words")))
-    cut = cut.select(F.col("pattern").alias("cut_pattern"), F.col("bucket").alias("cut_bucket"), "before")  # a row a pattern at most
-    placed = same(sized).join(F.broadcast(cut), F.col("pattern") == F.col("cut_pattern"), "left")
-    in_order = Window.partitionBy("pattern").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+
+    def cut(sums: DataFrame) -> DataFrame:
+        """The bucket of each pattern that its part ends in, and the words of the buckets before; a row a pattern at most."""
+        ahead = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        found = same(sums).withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+        found = found.where((F.col("before") <= F.col("part")) & (F.col("part") < F.col("before") + F.col("words")))
+        return found.select(F.col("pattern").alias("cut_pattern"), F.col("bucket").alias("cut_bucket"), "before")
+
+    narrow = sized.drop("row")
+    first = cut(buckets.withColumn("start", F.lit(0).cast("long")))
+    finer = narrow.join(F.broadcast(first), (F.col("pattern") == F.col("cut_pattern")) & (F.substring("rank", 1, DIGITS) == F.col("cut_bucket")))
+    finer = finer.groupBy("pattern", F.substring("rank", 1, 2 * DIGITS).alias("bucket")).agg(F.sum("size").alias("words"), F.max("before").alias("start"))
+    ends = saved(cut(finer), "cuts")
+    placed = same(sized.withColumn("bucket", F.substring("rank", 1, 2 * DIGITS))).join(F.broadcast(ends), F.col("pattern") == F.col("cut_pattern"), "left")
+    in_order = Window.partitionBy("pattern").orderBy("rank", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.where(F.col("bucket") == F.col("cut_bucket")).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
     inside = inside.withColumn("extra", F.least(F.col("size"), F.greatest(F.col("part") - F.col("ahead"), F.lit(0)))).drop("ahead")
     outside = placed.where(F.col("cut_bucket").isNull() | (F.col("bucket") != F.col("cut_bucket")))
     outside = outside.withColumn("extra", F.when(F.col("bucket") < F.col("cut_bucket"), F.col("size")).otherwise(F.lit(0)))
     out = inside.unionByName(outside)
-    return out.select("doc_id", "pattern", "size", "pattern_words", (F.col("full") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "targets", "source_words")
+    return out.select("doc_id", "pattern", "size", "pattern_words", (F.col("full") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "targets", "source_words", *(["row"] if with_row else []))
 
 
 def digest_columns(mixed: DataFrame) -> DataFrame:
@@ -159,21 +211,20 @@ def take_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, sources: Column, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; a last copy taken in part is cut after its last word taken.
 
-    n_chars follows the text. Documents without a doc_id or of which nothing is taken go.
+    n_chars follows the text. Documents of which nothing is taken go; rows without a doc_id are taken like others.
     """
-    taken = mix(docs, sources, **how).where("taken > 0").groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("taken").alias("of_words"), F.max("size").alias("of_size"))
-    joined = docs.join(taken, docs["doc_id"] == taken["of_doc"])
-    copies = F.ceil(F.col("of_words") / F.col("of_size")).cast("int")
-    joined = joined.withColumn("of_left", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.col("of_words") - k * F.col("of_size"))))
-    part = F.col("of_left") < F.col("of_size")
-    joined = joined.withColumn("text", F.when(part, take_words(F.col("text"), F.col("of_left"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    taken = mix(docs, sources, with_row=True, **how).where("taken > 0")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    each = taken.select("row", "size", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.col("taken") - k * F.col("size"))).alias("left"))
+    part = F.col("left") < F.col("size")
+    text = F.when(part, take_words(F.col("row")["text"], F.col("left"))).otherwise(F.col("row")["text"])
+    each = each.select("row", part.alias("part"), text.alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("part"), F.length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return each.select(*((made[c] if c in made else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS rank,
+WITH d AS (SELECT doc_id, source, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS rank,
                   CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, sum(words) OVER () AS total FROM s),

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from quillstream.llm.shared import mapped, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Window of characters and the step from one to the next.
-WINDOW, STEP = 96, 64
+#: Window of characters in which texts are read, the step from one to the next, and the window of the training.
+WINDOW, STEP, LEARNT = 256, 224, 80
 #: Least number of digits that an added span of a kind has (a mail address: none).
 LEAST_DIGITS = (0, 4, 15, 8)
 
@@ -87,9 +87,11 @@ TAGS = 1 + 2 * len(KINDS)
 CLASSES, OTHER_LETTER, OTHER, PADDING = 98, 95, 96, 97
 #: A mail address by its signs, in every spelling of the labelled forms.
 _SPELT = re.compile(r"[^\s@]+(?:\s?@\s?|\s?[\[(]at[\])]\s?|\sat\s)[^\s@]+?(?:(?:\.|\s\.\s|\s?[\[(]dot[\])]\s?|\sdot\s)[^\s@.]+)+", re.IGNORECASE)
-HIDDEN, EMBED = 16, 12
+HIDDEN, EMBED = 12, 10
+#: Labelled windows that the tagger is fitted on.
+TRAINED = 6000
 #: Windows read at once.
-BLOCK = 1024
+BLOCK = 512
 
 
 def classes_of(text: str) -> np.ndarray:
@@ -108,7 +110,9 @@ def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     pick = lambda xs: xs[rng.integers(len(xs))]
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     syllables = ["an", "er", "the", "in", "on", "ti", "re", "ed", "nd", "ha", "at", "en", "es", "of", "or", "it", "is", "he", "to", "ou", "ea", "ung", "sch", "que", "é", "ä", "os"]
-    word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 4)))
+    letters, vowels = [*"bcdfghjklmnpqrstvwxyz"], [*"aeiouy"]
+    sound = lambda: pick(syllables) if rng.random() < 0.5 else pick(letters) + pick(vowels) + pick(["", pick(letters)])
+    word = lambda: "".join(sound() for _ in range(rng.integers(1, 4)))
 
     def mail() -> str:
         at, dot = pick(["@", " at ", "[at]", " [at] ", "(at)", " (at) ", " @ "]), pick([".", " dot ", "[dot]", "(dot)", " . "])
@@ -130,19 +134,19 @@ def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     def decoy() -> str:
         return pick([lambda: digits(rng.integers(1, 8)), lambda: f"{digits(1)}.{digits(2)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"({word()})", lambda: f"[{digits(2)}]", lambda: f"{word()}@", lambda: f"{word()} at {word()}", lambda: f"{word()} dot {word()}", lambda: "v" + digits(1) + "." + digits(1), lambda: f"${digits(3)},{digits(3)}", lambda: "".join(pick([*"0123456789abcdef"]) for _ in range(32))])()
 
-    x, y = np.full((n, WINDOW), PADDING, np.int16), np.zeros((n, WINDOW), np.int8)
+    x, y = np.full((n, LEARNT), PADDING, np.int16), np.zeros((n, LEARNT), np.int8)
     makers = (mail, ip, card, phone)
     for row in range(n):
-        text, tags = "", []
-        while len(text) < WINDOW + 40:
-            kind = rng.integers(0, 14)
-            piece = makers[kind]() if kind < 4 else decoy() if kind < 7 else word().capitalize() if kind == 7 else word()
+        text, tags, kinds = "", [], pick([14, 14, 100])  # every third window is nearly plain prose
+        while len(text) < LEARNT + 40:
+            kind = rng.integers(0, kinds)
+            piece = makers[kind]() if kind < 4 else decoy() if kind < 7 else word().capitalize() if kind % 7 == 0 else word()
             tags += ([1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1) if kind < 4 else [0] * len(piece)) + [0]
             gap = pick([" ", " ", " ", ", ", ". "])
             tags += [0] * (len(gap) - 1)
             text += piece + gap
         cut = rng.integers(0, 40)
-        x[row], y[row] = classes_of(text)[cut : cut + WINDOW], tags[cut : cut + WINDOW]
+        x[row], y[row] = classes_of(text)[cut : cut + LEARNT], tags[cut : cut + LEARNT]
     return x, y
 
 
@@ -161,47 +165,51 @@ class Tagger:
         rng = np.random.default_rng(seed)
         scale = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
         w = {"embed": scale(CLASSES, EMBED) * 3}
-        for d in "fb":
-            w |= {f"in_{d}": scale(EMBED, 4 * HIDDEN), f"re_{d}": scale(HIDDEN, 4 * HIDDEN), f"bias_{d}": np.zeros(4 * HIDDEN, np.float32)}
-            w[f"bias_{d}"][HIDDEN : 2 * HIDDEN] = 1
+        # the two directions lie side by side, so that a step takes both
+        w |= {"in": np.stack([scale(EMBED, 4 * HIDDEN) for _ in "fb"]), "re": np.stack([scale(HIDDEN, 4 * HIDDEN) for _ in "fb"]), "bias": np.zeros((2, 4 * HIDDEN), np.float32)}
+        w["bias"][:, HIDDEN : 2 * HIDDEN] = 1
         w |= {"out": scale(2 * HIDDEN, TAGS), "out_bias": np.zeros(TAGS, np.float32), "move": np.zeros((TAGS, TAGS), np.float32)}
         return cls(w)
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool):
-        """x: (time, rows) of classes, in reading order. States, and what the backward pass needs."""
+    def _lstm(self, x: np.ndarray):
+        """x: (time, direction, rows) of classes, in reading order. States, and what the backward pass needs."""
         w, h = self.w, HIDDEN
-        gates_in = (self.w["embed"] @ w[f"in_{d}"] + w[f"bias_{d}"]).astype(np.float32)
-        n = x.shape[1]
-        s, c = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        states, tape = np.empty((len(x), n, h), np.float32), []
+        gates_in = (w["embed"] @ w["in"] + w["bias"][:, None]).reshape(2 * CLASSES, 4 * h)
+        place = x.astype(np.int64) + np.array([[0], [CLASSES]])
+        n = x.shape[2]
+        s, c = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        states, tape = np.empty((len(x), 2, n, h), np.float32), []
         for t in range(len(x)):
-            z = gates_in[x[t]] + s @ w[f"re_{d}"]
-            i_f_o = _sigmoid(z[:, : 3 * h])
-            g = np.tanh(z[:, 3 * h :])
-            i, f, o = i_f_o[:, :h], i_f_o[:, h : 2 * h], i_f_o[:, 2 * h :]
+            z = gates_in[place[t]]
+            z += s @ w["re"]
+            i_f_o = _sigmoid(z[:, :, : 3 * h])
+            g = np.tanh(z[:, :, 3 * h :])
+            i, f, o = i_f_o[:, :, :h], i_f_o[:, :, h : 2 * h], i_f_o[:, :, 2 * h :]
             last_c, last_s = c, s
             c = f * c + i * g
             tc = np.tanh(c)
-            s = o * tc
-            states[t] = s
-            if keep:
-                tape.append((i, f, o, g, tc, last_c, last_s))
+            s = states[t] = o * tc
+            tape.append((i, f, o, g, tc, last_c, last_s))
         return states, tape
 
-    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """The states of ``_lstm``, in memory taken once and by exp alone: tanh(x) is 2 / (1 + exp(-2x)) - 1."""
+    def _states(self, x: np.ndarray, d: int) -> np.ndarray:
+        """The states of ``_lstm`` as (time, feature, row): gates lie apart in memory taken once, by exp alone.
+
+        tanh(x) is 2 / (1 + exp(-2x)) - 1. One product a step takes the last state, the character and the bias.
+        """
         w, h = self.w, HIDDEN
         minus = np.array([-1] * (3 * h) + [-2] * h, np.float32)
-        gates_in = ((w["embed"] @ w[f"in_{d}"] + w[f"bias_{d}"]) * minus).astype(np.float32)
-        re = w[f"re_{d}"] * minus
+        all_in = np.ascontiguousarray((np.concatenate([w["re"][d], w["in"][d], w["bias"][d][None]]) * minus).T)
+        letters = np.ascontiguousarray(w["embed"].T)
         n = x.shape[1]
-        states, s, c = np.empty((len(x), n, h), np.float32), np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        z, fed, a = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32), np.empty((n, h), np.float32)
-        i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
+        fed, z = np.ones((h + EMBED + 1, n), np.float32), np.empty((4 * h, n), np.float32)
+        states, c, a = np.empty((len(x), h, n), np.float32), np.zeros((h, n), np.float32), np.empty((h, n), np.float32)
+        fed[:h] = 0
+        i, f, o, g = (z[k * h : (k + 1) * h] for k in range(4))
         with np.errstate(over="ignore"):
             for t in range(len(x)):
-                np.take(gates_in, x[t], 0, out=z, mode="clip")
-                z += np.matmul(s, re, out=fed)
+                np.take(letters, x[t], 1, out=fed[h : h + EMBED], mode="clip")
+                np.matmul(all_in, fed, out=z)
                 np.exp(z, out=z)
                 z += 1
                 np.reciprocal(z, out=z)
@@ -213,32 +221,36 @@ class Tagger:
                 a += 1
                 np.divide(2, a, out=a)
                 a -= 1
-                s = np.multiply(o, a, out=states[t])
+                fed[:h] = np.multiply(o, a, out=states[t])
         return states
 
-    def scores(self, x: np.ndarray, keep: bool = False):
-        """Emission scores (time, rows, tags) for windows (rows, time)."""
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Emission scores (time, tag, row) of windows (rows, time), without what the backward pass needs."""
         xt = np.ascontiguousarray(x.T)
-        if not keep:
-            both = np.concatenate([self._states(xt, "f"), self._states(xt[::-1], "b")[::-1]], 2)
-            return both @ self.w["out"] + self.w["out_bias"], None
-        forward, tape_f = self._lstm(xt, "f", keep)
-        backward, tape_b = self._lstm(xt[::-1], "b", keep)
-        both = np.concatenate([forward, backward[::-1]], 2)
-        return both @ self.w["out"] + self.w["out_bias"], (both, tape_f, tape_b, xt)
+        out = np.ascontiguousarray(self.w["out"].T)
+        emit = np.matmul(out[:, :HIDDEN], self._states(xt, 0))
+        emit += np.matmul(out[:, HIDDEN:], self._states(xt[::-1], 1))[::-1]
+        emit += self.w["out_bias"][:, None]
+        return emit
+
+    def scores(self, x: np.ndarray):
+        """Emission scores (time, row, tag) of windows (rows, time), and what the backward pass needs."""
+        xs = np.stack([x.T, x.T[::-1]], 1)
+        states, tape = self._lstm(xs)
+        both = np.concatenate([states[:, 0], states[::-1, 1]], 2)
+        return both @ self.w["out"] + self.w["out_bias"], (both, tape, xs)
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
         """Best tags (rows, time)."""
-        emit, _ = self.scores(x)
+        emit = self.emissions(x)
         gain = max(0.0, float(self.w["move"].max() - self.w["move"][0, 0]))  # the most that a move is better than staying outside
-        more = np.flatnonzero((emit[:, :, 1:].max(2) + gain >= emit[:, :, 0]).any(0))
+        more = np.flatnonzero((emit[:, 1:].max(1) + gain >= emit[:, 0]).any(0))
         tags = np.zeros(x.shape, np.int8)
         if len(more):
-            tags[more] = self._best_paths(emit[:, more])
+            tags[more] = self._best_paths(np.ascontiguousarray(emit[:, :, more]))
         return tags
 
     def _best_paths(self, emit: np.ndarray) -> np.ndarray:
-        emit = np.ascontiguousarray(emit.transpose(0, 2, 1))
         move = self.w["move"][:, :, None]
         best = np.empty_like(emit)
         best[0] = emit[0]
@@ -257,53 +269,57 @@ class Tagger:
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood a character, and its gradients."""
-        emit, (both, tape_f, tape_b, xt) = self.scores(x, True)
+        emit, (both, tape, xs) = self.scores(x)
         steps, n, _ = emit.shape
         move, yt, rows = self.w["move"], y.T.astype(np.int64), np.arange(n)
-        alpha, beta = np.empty_like(emit), np.zeros_like(emit)
-        sums = lambda z, axis: (m := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - m).sum(axis))
-        alpha[0] = emit[0]
-        for t in range(1, steps):
-            alpha[t] = sums(alpha[t - 1][:, :, None] + move, 1) + emit[t]
+        # forward and backward sums of the chain, each step scaled to one
+        peak, top = emit.max(2, keepdims=True), move.max()
+        near, go = np.exp(emit - peak), np.exp(move - top)
+        alpha, beta, total = np.empty_like(emit), np.ones_like(emit), np.empty((steps, n, 1), np.float32)
+        for t in range(steps):
+            alpha[t] = (alpha[t - 1] @ go) * near[t] if t else near[0]
+            total[t] = alpha[t].sum(1, keepdims=True)
+            alpha[t] /= total[t]
         for t in range(steps - 2, -1, -1):
-            beta[t] = sums((beta[t + 1] + emit[t + 1])[:, None, :] + move, 2)
-        log_z = sums(alpha[-1], 1)
+            beta[t] = (beta[t + 1] * near[t + 1] / total[t + 1]) @ go.T
+        log_z = np.log(total).sum((0, 2)) + peak.sum((0, 2)) + (steps - 1) * top
         gold = emit[np.arange(steps)[:, None], rows, yt].sum(0) + move[yt[:-1], yt[1:]].sum(0)
         scale = 1.0 / (n * steps)
-        d_emit = np.exp(alpha + beta - log_z[:, None])
+        d_emit = alpha * beta
         d_emit[np.arange(steps)[:, None], rows, yt] -= 1
         d_emit *= scale
-        d_move = np.zeros_like(move)
-        for t in range(1, steps):
-            d_move += np.exp(alpha[t - 1][:, :, None] + move + (emit[t] + beta[t])[:, None, :] - log_z[:, None, None]).sum(0)
+        d_move = go * (alpha[:-1].reshape(-1, TAGS).T @ (near * beta / total)[1:].reshape(-1, TAGS))
         np.add.at(d_move, (yt[:-1].ravel(), yt[1:].ravel()), -1)
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
         g["move"] = d_move * scale
-        g["out"], g["out_bias"] = np.einsum("tnh,tnk->hk", both, d_emit), d_emit.sum((0, 1))
+        g["out"], g["out_bias"] = both.reshape(-1, 2 * HIDDEN).T @ d_emit.reshape(-1, TAGS), d_emit.sum((0, 1))
         d_both = d_emit @ self.w["out"].T
-        for d, tape, xs, ds in (("f", tape_f, xt, d_both[:, :, :HIDDEN]), ("b", tape_b, xt[::-1], d_both[::-1, :, HIDDEN:])):
-            d_gates_in = np.zeros((CLASSES, 4 * HIDDEN), np.float32)
-            ds_next, dc = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-            for t in range(steps - 1, -1, -1):
-                i, f, o, gg, tc, last_c, last_s = tape[t]
-                s_bar = ds[t] + ds_next
-                dc = dc + s_bar * o * (1 - tc * tc)
-                dz = np.concatenate([dc * gg * i * (1 - i), dc * last_c * f * (1 - f), s_bar * tc * o * (1 - o), dc * i * (1 - gg * gg)], 1)
-                g[f"re_{d}"] += last_s.T @ dz
-                np.add.at(d_gates_in, xs[t], dz)
-                ds_next, dc = dz @ self.w[f"re_{d}"].T, dc * f
-            g[f"bias_{d}"] = d_gates_in.sum(0)
-            g[f"in_{d}"] = self.w["embed"].T @ d_gates_in
-            g["embed"] += d_gates_in @ self.w[f"in_{d}"].T
+        ds = np.stack([d_both[:, :, :HIDDEN], d_both[::-1, :, HIDDEN:]], 1)
+        dz, last = np.empty((steps, 2, n, 4 * HIDDEN), np.float32), np.stack([x[6] for x in tape])
+        ds_next, dc = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+        back = np.ascontiguousarray(self.w["re"].transpose(0, 2, 1))
+        for t in range(steps - 1, -1, -1):
+            i, f, o, gg, tc, last_c, _ = tape[t]
+            s_bar = ds[t] + ds_next
+            dc = dc + s_bar * o * (1 - tc * tc)
+            np.concatenate([dc * gg * i * (1 - i), dc * last_c * f * (1 - f), s_bar * tc * o * (1 - o), dc * i * (1 - gg * gg)], 2, out=dz[t])
+            ds_next, dc = dz[t] @ back, dc * f
+        for d in range(2):
+            own = dz[:, d].reshape(-1, 4 * HIDDEN)
+            d_gates_in = (xs[:, d].reshape(-1, 1) == np.arange(CLASSES)).astype(np.float32).T @ own
+            g["re"][d] = last[:, d].reshape(-1, HIDDEN).T @ own
+            g["bias"][d] = d_gates_in.sum(0)
+            g["in"][d] = self.w["embed"].T @ d_gates_in
+            g["embed"] += d_gates_in @ self.w["in"][d].T
         return float((log_z - gold).sum() * scale), g
 
 
 @lru_cache(maxsize=2)
-def train(windows: int = 2400, epochs: int = 5, seed: int = 5) -> Tagger:
+def train(windows: int = TRAINED, epochs: int = 12, seed: int = 5, batch: int = 96, rate: float = 0.03) -> Tagger:
     """Fit by Adam on ``windows`` labelled windows; the same arguments give the same weights."""
     x, y = labelled_windows(windows)
     model, rng = Tagger.fresh(seed), np.random.default_rng(seed)
-    m, v, step, batch = {k: 0.0 for k in model.w}, {k: 0.0 for k in model.w}, 0, 48
+    m, v, step = {k: 0.0 for k in model.w}, {k: 0.0 for k in model.w}, 0
     total = epochs * (windows // batch)
     for _ in range(epochs):
         order = rng.permutation(windows)
@@ -311,26 +327,27 @@ def train(windows: int = 2400, epochs: int = 5, seed: int = 5) -> Tagger:
             _, g = model.gradients(x[order[at : at + batch]], y[order[at : at + batch]])
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             step += 1
-            rate = 0.02 * min(1.0, step / 20) * (1 - 0.9 * step / total)
+            now = rate * min(1.0, step / 20) * (1 - 0.95 * step / total)
             for k, a in g.items():
                 a = a * min(1.0, 1.0 / max(norm, 1e-9))
                 m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.99 * v[k] + 0.01 * a * a
-                model.w[k] = (model.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                model.w[k] = (model.w[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return model
 
 
-def _runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """(kind, start, stop) of the tagged runs in one window."""
-    out, t, tags = [], 0, tags.tolist()
-    while t < len(tags):
-        if tags[t] == 0:
-            t += 1
-            continue
-        kind, start = (tags[t] - 1) // 2, t
-        t += 1
-        while t < len(tags) and tags[t] == 2 + 2 * kind:
-            t += 1
-        out.append((kind, start, t))
+def _runs(tags: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """(kind, start, stop) of the tagged runs in each window (rows, time); a run goes on over its kind's second tag."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in tags]
+    kind = (tags - 1) // 2
+    goes_on = np.zeros(tags.shape, bool)
+    goes_on[:, 1:] = (tags[:, 1:] > 0) & (tags[:, 1:] % 2 == 0) & (tags[:, :-1] > 0) & (kind[:, 1:] == kind[:, :-1])
+    inside = tags > 0
+    ends = inside.copy()
+    ends[:, :-1] &= ~goes_on[:, 1:]
+    rows, starts = np.nonzero(inside & ~goes_on)
+    stops = np.nonzero(ends)[1] + 1
+    for row, k, s, e in zip(rows.tolist(), kind[rows, starts].tolist(), starts.tolist(), stops.tolist(), strict=True):
+        out[row].append((k, s, e))
     return out
 
 
@@ -360,9 +377,7 @@ def tagged_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, i
     firsts = np.unique(same, return_index=True)[1]
     runs: list[list[tuple[int, int, int]]] = []
     for at in range(0, len(firsts), BLOCK):
-        block = model.viterbi(windows[firsts[at : at + BLOCK]])
-        some = block.any(1).tolist()
-        runs += [_runs(tags) if any_ else [] for tags, any_ in zip(block, some, strict=True)]
+        runs += _runs(model.viterbi(windows[firsts[at : at + BLOCK]]))
     for row, off, k in zip(rows.tolist(), offs.tolist(), same.tolist(), strict=True):
         if runs[k]:
             for kind, s, e in runs[k]:
@@ -400,7 +415,7 @@ def find(texts: list[str], model: Tagger) -> list[tuple[list[tuple[int, int, int
     return out
 
 
-def detect(docs: DataFrame, windows: int = 2400) -> DataFrame:
+def detect(docs: DataFrame, windows: int = TRAINED) -> DataFrame:
     """Spans of every whole text: doc_id, base and added as arrays of (kind, start, stop) in code points, stop exclusive.
 
     ``windows`` bounds the labelled windows that the tagger is fitted on, once, by the driver; its weights (some 20 KB)

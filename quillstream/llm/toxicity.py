@@ -84,7 +84,8 @@ def fit(examples: list[np.ndarray], labels: list[int], epochs: int = 3, seed: in
     for e in examples:
         held[e] += 1
     able = held * epochs > model.l1
-    examples = [e[able[e]] for e in examples]
+    for k, e in enumerate(examples):  # one at a time, so that the whole is never held twice
+        examples[k] = e[able[e]]
     for _ in range(epochs):
         for k in rng.permutation(len(examples)).tolist():
             model.learn(np.append(examples[k].astype(np.int64), bias), labels[k])
@@ -116,10 +117,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         marks: list[int] = []
         room = slots
         for batch in batches:
-            for mark, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                room -= len(held) // 4
+            data, bounds = raw_texts(batch.column(2))
+            held, bounds = data.view(np.uint32).copy(), bounds // 4  # one block a batch, the batch itself goes
+            for mark, s, e in zip(batch.column(1).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                room -= e - s
                 if room >= 0:
-                    examples.append(np.frombuffer(held, np.uint32)), marks.append(mark)
+                    examples.append(held[s:e]), marks.append(mark)
         if len(set(marks)) == 2:
             live, weights, bias = fit(examples, marks)
             yield pa.RecordBatch.from_arrays([pa.array([*live.tolist(), 1 << SLOT_BITS], pa.int32()), pa.array([*weights.tolist(), bias], pa.float64())], names=["slot", "weight"])

@@ -1,12 +1,16 @@
 """Each operator against a brute-force version on small rows, with nulls, empty texts, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +78,15 @@ def test_minhash_row_without_doc_id_first(spark):
     assert len(got) == 5
 
 
+def test_minhash_of_repeated_ids(spark):
+    x, y = prose(40), prose(40)
+    rows = [(5, x + " east"), (5, y + " west"), (7, x), (9, y), (8, None), (5, None), (None, y), (None, x), (11, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect() if r.doc_id is not None)
+    assert got == [(5, 5), (5, 5), (5, 5), (7, 5), (8, 8), (9, 5), (11, 11)]
+    assert minhash.near_duplicates(empty(spark)).count() == 0
+
+
 def test_minhash_estimate(spark):
     a, b = np.arange(3000, dtype=np.uint64), np.arange(600, 3600, dtype=np.uint64)
     bits = [minhash.packed_bits(minhash.minima(mix(x))).tolist() for x in (a, b)]
@@ -123,7 +136,7 @@ def test_pii_gradients():
     model = pii.Tagger.fresh(3)
     x, y = pii.labelled_windows(3)
     _, g = model.gradients(x, y)
-    for name in ("embed", "in_f", "re_b", "out", "move"):
+    for name in ("embed", "in", "re", "out", "move"):
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         losses = []
         for step in (0.01, -0.01):
@@ -134,8 +147,17 @@ def test_pii_gradients():
 
 
 def test_pii_held_out_accuracy():
-    x, y = pii.labelled_windows(200, seed=99)
-    assert (pii.train().viterbi(x) == y).mean() > 0.9
+    x, y = pii.labelled_windows(400, seed=99)
+    tags = pii.train().viterbi(x)
+    assert (tags == y).mean() > 0.98
+    found, told = ({(row, *x) for row, runs in enumerate(pii._runs(t)) for x in runs} for t in (tags, y))
+    whole = lambda spans: {x for x in spans if x[2] > 0 and x[3] < pii.LEARNT}  # noqa: E731  spans that a window's edge cuts can't be told
+    assert len(whole(found) & told) >= 0.95 * len(whole(found)) and len(whole(told) & found) >= 0.95 * len(whole(told))
+
+
+def test_pii_runs():
+    tags = np.array([[0, 1, 2, 2, 1, 2, 0, 3, 4, 6], [2, 2, 0, 0, 0, 0, 0, 0, 8, 7]], np.int8)
+    assert pii._runs(tags) == [[(0, 1, 4), (0, 4, 6), (1, 7, 9), (2, 9, 10)], [(0, 0, 2), (3, 8, 9), (3, 9, 10)]]
 
 
 def test_pii_spelt_out_addresses_without_marks(spark):
@@ -163,8 +185,7 @@ def test_pii_best_paths():
     model = pii.train()
     x = rng.integers(0, pii.CLASSES, (3, 12)).astype(np.int16)
     emit, move = model.scores(x)[0], model.w["move"]
-    full = model.scores(x, keep=True)[0]
-    assert np.allclose(emit, full, atol=1e-4)
+    assert np.allclose(emit, model.emissions(x).transpose(0, 2, 1), atol=1e-4)
     for row, tags in enumerate(model.viterbi(x)):
         score = lambda y, row=row: emit[np.arange(len(y)), row, y].sum() + move[y[:-1], y[1:]].sum()
         best = emit[0, row]
@@ -284,16 +305,45 @@ def test_secrets_and_ledger(spark, tmp_path):
     assert one[900].spans == "" and one[902].spans == one[5].spans
 
 
+def plain_ftrl(texts, labels, epochs=3, seed=3, alpha=0.5, beta=1.0, l1=8.0, l2=0.5):
+    """The method coordinate by coordinate."""
+    z, n = {}, {}
+
+    def weight(i):
+        x = z.get(i, 0.0)
+        bound = 0.0 if i == "bias" else l1
+        return 0.0 if abs(x) <= bound else -(x - math.copysign(bound, x)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    cut = [[*toxicity.slots_of(pa.array([t]))[0].tolist(), "bias"] for t in texts]
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in rng.permutation(len(texts)).tolist():
+            w = {i: weight(i) for i in cut[k]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i in cut[k]:
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(old)) / alpha * w[i]
+    return {i: weight(i) for i in z if weight(i)}
+
+
 def test_toxicity(spark):
     rows = [(k, prose(30) + (" scum idiot" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(400)]
-    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(5000, 1), (1, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(900, None), (901, ""), (902, "scum idiot " * 20_000), (None, "scum")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(5000, 1), (1, None), (None, 1)], "doc_id long, toxic int")
     weights = toxicity.train(docs, labels)
     got = {r.doc_id: r.score for r in toxicity.score(docs, weights).collect()}
-    assert len(got) == 402 and all((got[k] >= 0.5) == bool(y) for k, _, y in rows) and got[900] == got[901] < 0.5
+    assert len(got) == 404 and all((got[k] >= 0.5) == bool(y) for k, _, y in rows) and got[900] == got[901] < 0.5 <= got[902]
     assert len(weights[0]) < 200
-    assert toxicity.train(docs, labels.where("toxic = 0")) is None
-    assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
+    sample = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 5), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+    want = plain_ftrl([t for _, t, _ in sample], [y for *_, y in sample])
+    assert weights[2] == pytest.approx(want.pop("bias")) and dict(zip(weights[0].tolist(), weights[1].tolist(), strict=True)) == pytest.approx(want)
+    for k, t, _ in rows[:40]:
+        total = sum(want.get(i, 0.0) for i in toxicity.slots_of(pa.array([t]))[0].tolist()) + weights[2]
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-5)
+    assert toxicity.train(docs, labels.where("toxic = 0")) is None and toxicity.train(empty(spark), labels) is None
+    assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0} and toxicity.score(empty(spark), weights).count() == 0
+    assert [r.h for r in docs.where("doc_id is null").select(toxicity.held_out(F.col("doc_id")).alias("h")).collect()] == [True]
 
 
 def test_mixing(spark, docs, texts):
@@ -310,7 +360,20 @@ def test_mixing(spark, docs, texts):
     rows = mixing.mixed_documents(docs, F.array("source"))
     assert rows.columns == docs.columns
     assert sum(len((r.text or "").split()) for r in rows.collect()) == sum(r.taken for r in got)
-    assert mixing.mix(empty(spark), F.array("source")).count() == 0
+    assert mixing.mix(empty(spark), F.array("source")).count() == 0 and mixing.mixed_documents(empty(spark), F.array("source")).count() == 0
+
+
+def test_mixing_carries_rows(spark):
+    schema = "doc_id long, text string, source string, n_chars long, of_doc int, of_words string, row string, size int, bucket string"
+    rows = [(5 if k % 2 else None, f"{prose(k % 7)} end{k}", "ab"[k % 3 > 0], 0, k, "w", "r", 1, "b") for k in range(60)] + [(5, None, "a", 0, 99, "w", "r", 1, "b")]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    given = {r.row.of_doc: r.taken for r in mixing.mix(docs, F.array("source"), with_row=True).collect()}
+    got: dict = {}
+    for r in mixing.mixed_documents(docs, F.array("source")).collect():
+        assert (r.of_words, r.row, r.size, r.bucket) == ("w", "r", 1, "b") and r.text.split() == rows[r.of_doc][1].split()[: len(r.text.split())]
+        got[r.of_doc] = got.get(r.of_doc, 0) + len(r.text.split())
+    assert got == {k: n for k, n in given.items() if n}  # rows of one id, or of none, keep their own shares
+    assert {r.row.of_doc: r.taken for r in mixing.mix(docs.repartition(5), F.array("source"), with_row=True).collect()} == given
 
 
 def test_flow_prefers_fresh_words():
@@ -347,6 +410,51 @@ def test_maxscore(spark):
     assert [tuple(r) for r in got] == want
 
 
+def brute_top(whole, ids, queries, k=5):
+    out = []
+    for q in queries:
+        held = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+        scores = [(held(sum(int(a) * int(b) for a, b in zip(whole[q], row, strict=True))), i) for row, i in zip(whole, ids, strict=True) if i != ids[q]]
+        out += [(ids[q], n + 1, i, s) for n, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k])]
+    return out
+
+
+def test_maxscore_sparse_ties_and_wide(spark):
+    rng = np.random.default_rng(3)
+    sparse = (rng.integers(-3, 9, (600, 12)) * (rng.random((600, 12)) < 0.2)).tolist()  # few distinct scores: ties
+    wide = [[int(x) << s for x in row] for row, s in zip(rng.integers(-9, 9, (120, 5)).tolist(), RNG.choices([0, 20, 40, 58], k=120), strict=True)]
+    wide += [[2**63 - 1, -(2**63), 1, 2, 3]]
+    for terms in (sparse, wide):
+        ids = [50 * k if k < 6 else 1000 + k for k in range(len(terms))] if terms is wide else list(range(len(terms)))
+        df = spark.createDataFrame(list(zip(ids, terms, strict=True)), "vec_id long, terms array<long>").repartition(3)
+        got = maxscore.top_k(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+        assert [tuple(r) for r in got] == brute_top(terms, ids, [k for k, i in enumerate(ids) if i % 50 == 0])
+    huge = spark.createDataFrame([(0, [1e12, -1e300]), (1, [1e12, 5.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    ints = maxscore.integer_vectors(huge)
+    assert [(r.vec_id, r.score) for r in maxscore.top_k(ints, ints.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, 0)]
+    none = ints.where("vec_id < 0")
+    assert maxscore.top_k(none, none).count() == 0 and maxscore.top_k(ints, none).count() == 0
+
+
+def test_maxscore_split_moves_with_the_kth_best():
+    rest = np.array([9.0, 5.0, 2.0, 0.0])
+    assert [maxscore._split(rest, x) for x in (-np.inf, 0.0, 1.0, 3.0, 6.0, 10.0)] == [3, 3, 3, 2, 1, 0]
+    rows = np.zeros((4, 600))
+    rows[0, :100], rows[3, 100:] = 50, 1  # rows that hold only the weak term can't compete
+    shard, asked = maxscore.Shard(rows, np.arange(600)), np.array([1.0, 0, 0, 1.0])
+    shard.posted[3, 100:] = True
+    assert shard.top_k(asked, -1, 3)[1].tolist() == [0, 1, 2]
+
+
+def test_lattice_of_repeated_and_missing_ids(spark):
+    east, north, near = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.01, 1.0, 0.0, 0.0]
+    rows = [(1, east), (1, north), (3, near), (4, east), (5, None), (1, None), (None, north), (3, near)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (1, 2, 1), (3, 2, 1), (3, 2, 1), (4, 1, 1), (5, 0, 5)]
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert lattice.near_duplicates(none).count() == 0
+
+
 def test_lattice(spark):
     x = vectors(900, 32)
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
@@ -396,14 +504,63 @@ def test_token_counts(spark, tmp_path):
     assert spark.read.parquet(cache).count() == len(cases) - 1
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against a brute-force version on what the stage before kept; further columns have the stages' own names."""
     import corpus_pipeline
+    import tiktoken
 
-    rows = [(k, prose(40) + f"\n{prose(12)} line {k}", "en", "ab"[k % 2], 0) for k in range(30)]
-    rows += [(30, rows[3][1], "en", "a", 0), (31, None, "en", None, 0), (32, rows[4][1] + " tail", "en", "a", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    rows = [(k, prose(40) + f"\n{prose(12)} line {k}" + ("\nscum idiot" if k % 4 == 0 else ""), "en", "ab"[k % 2], 0) for k in range(120)]
+    rows += [(200, rows[3][1], "en", "a", 0), (201, None, "en", None, 0), (202, rows[5][1].replace("\n", " tail\n"), "en", "a", 0), (None, "nobody knows me at all", "en", "b", 0), (203, "", "en", "a", 0)]
+    words = prose(60).split()
+    rows += [(204 + k, " ".join([*words[:30], "abc"[k] * 6, *words[30:]]), "en", "b", 0) for k in range(3)] + [(207, "long " * 9_000, "en", "a", 0)]
+    clash = {"score": F.lit(1), "gone": F.lit("g"), "of_doc": F.lit(2), "of_words": F.lit(3), "of_left": F.lit(4), "rep": F.lit("r"), "row": F.lit(5), "words": F.lit("w"), "size": F.lit(6)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).withColumns(clash)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} <= set(range(33)) and 30 not in {r.doc_id for r in out} and len(out) > 20
-    assert len(corpus_pipeline.STAGES) == 5
+    spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    held = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = held.collect()
+        stage(spark, held, str(tmp_path)).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        after = out.collect()
+        assert n == 4 or out.columns == docs.columns
+        texts = {r.doc_id: r.text for r in after} if n < 4 else {}
+        if name == "toxicity":
+            assert set(texts) == {r.doc_id for r in before if "scum" not in (r.text or "")}
+        elif name == "line_dedup":
+            seen: dict = {}
+            want = {}
+            for r in sorted(before, key=lambda r: (r.doc_id is None, r.doc_id)):
+                lines_, kept = (r.text or "").split("\n"), []
+                for x in lines_:
+                    plain = x.strip().lower()
+                    near = [y for y in seen if abs(len(y) - len(plain)) <= 2 and min(len(y), len(plain)) >= lines.LEAST_CHARS and edits(y, plain) <= 2]
+                    if r.doc_id is None or not plain or not (plain in seen or near):
+                        kept.append(x)
+                    seen.setdefault(plain, r.doc_id)
+                if len(kept) == len(lines_):
+                    want[r.doc_id] = r.text
+                elif "".join(kept).strip():
+                    want[r.doc_id] = "\n".join(kept)
+            assert texts == want and len(texts) < len(before)
+        elif name == "near_dedup":
+            sets = {r.doc_id: shingles(r.text) for r in before if r.doc_id is not None}
+            low = parts(sets, [(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+            assert set(texts) == {d for d in low if low[d] == d} | {None} and len(texts) < len(before)
+        elif name == "mixing":
+            size = lambda rs: Counter((r.source, len((r.text or "").split())) for r in rs)
+            of = lambda rs, s: sum(k * c for (x, k), c in size(rs).items() if x == s)
+            sources = ["a", "b", None]
+            whole = [of(before, s) for s in sources]
+            for s, target in zip(sources, mixing.water_fill(whole, [5, 2, 1], 1.5, 2), strict=True):
+                assert of(after, s) == int(target)
+            full = {r.doc_id: (r.text or "").split() for r in before}
+            assert all(r.text.split() == full[r.doc_id][: len(r.text.split())] and r.n_chars == len(r.text) for r in after)
+        else:
+            library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+            told = lambda t: (len(library.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest())
+            assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in after) == Counter((r.doc_id, *told(r.text or "")) for r in before)
+        held = out
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
