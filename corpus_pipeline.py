@@ -4,8 +4,9 @@ toxicity: documents that score 0.5 or more go. line_dedup: repeated lines go, an
 left. near_dedup: one document of each group of near duplicates stays. mixing: documents are repeated, cut or left out
 so that sources meet their target weights. byte_bpe: tokens of what is left, and digests of the round trip.
 
-Nulls, empty texts, repeated rows, empty tables and further columns have the results that each operator defines; all
-stages but the last return the columns of their input.
+Nulls, empty texts, repeated rows, empty tables and further columns, whatever their names, have the results that each
+operator defines; all stages but the last return the columns of their input. A row without doc_id goes through all
+stages: it has no lines and no near duplicates there, and is mixed like others.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates; rows without a doc_id stay."""
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("byte_bpe", encode),
 ]
-#: The classifier and the tokens are beyond SQL; the tests compare the stages with brute force.
+#: The classifier and the tokens are beyond SQL; the tests compare each stage with brute force on what it was given.
 ORACLE_SQL = None
 
 
