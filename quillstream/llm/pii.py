@@ -7,8 +7,8 @@ look-alikes. A text is read in overlapping windows; each is decoded by Viterbi,
 over the whole text: a span counts where its window sees it farthest from an edge, touching spans of a kind from two
 windows merge, and a span that overlaps a base span or an earlier added one is dropped.
 
-Every window of every text is read. A window in which staying outside is best at each character, whatever the moves
-between tags add, has no span and needs no Viterbi.
+Every window of every text is read. A window in which no stretch of tags can be better than staying outside, by an upper
+bound of the stretches, has no span and needs no Viterbi.
 
 Defined cases: a null text is an empty one without spans; texts are read whole; repeated rows give repeated results;
 other columns are ignored.
@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm.shared import mapped, texts_of
@@ -150,12 +150,12 @@ def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Tagger:
-    """BiLSTM-CRF with forward and backward passes written out; ``weights`` is a dict of float32 arrays."""
+    """BiLSTM-CRF with forward and backward passes written out; ``weights`` is a dict of float32 arrays.
+
+    Gates are hard sigmoids, x + 1/2 held between 0 and 1; cells take x / (1 + |x|) for the hyperbolic tangent. Both are
+    a few cheap operations on whole arrays, where exponentials would be most of the reading.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         self.w = weights
@@ -167,7 +167,7 @@ class Tagger:
         w = {"embed": scale(CLASSES, EMBED) * 3}
         # the two directions lie side by side, so that a step takes both
         w |= {"in": np.stack([scale(EMBED, 4 * HIDDEN) for _ in "fb"]), "re": np.stack([scale(HIDDEN, 4 * HIDDEN) for _ in "fb"]), "bias": np.zeros((2, 4 * HIDDEN), np.float32)}
-        w["bias"][:, HIDDEN : 2 * HIDDEN] = 1
+        w["bias"][:, HIDDEN : 2 * HIDDEN] = 0.4
         w |= {"out": scale(2 * HIDDEN, TAGS), "out_bias": np.zeros(TAGS, np.float32), "move": np.zeros((TAGS, TAGS), np.float32)}
         return cls(w)
 
@@ -182,46 +182,48 @@ class Tagger:
         for t in range(len(x)):
             z = gates_in[place[t]]
             z += s @ w["re"]
-            i_f_o = _sigmoid(z[:, :, : 3 * h])
-            g = np.tanh(z[:, :, 3 * h :])
+            i_f_o = np.clip(z[:, :, : 3 * h] + np.float32(0.5), 0, 1)
+            open_ = ((i_f_o > 0) & (i_f_o < 1)).astype(np.float32)
+            flat = 1 / (1 + np.abs(z[:, :, 3 * h :]))
+            g = z[:, :, 3 * h :] * flat
             i, f, o = i_f_o[:, :, :h], i_f_o[:, :, h : 2 * h], i_f_o[:, :, 2 * h :]
             last_c, last_s = c, s
             c = f * c + i * g
-            tc = np.tanh(c)
+            flat_c = 1 / (1 + np.abs(c))
+            tc = c * flat_c
             s = states[t] = o * tc
-            tape.append((i, f, o, g, tc, last_c, last_s))
+            tape.append((i, f, o, g, tc, last_c, last_s, open_, flat, flat_c))
         return states, tape
 
     def _states(self, x: np.ndarray, d: int) -> np.ndarray:
-        """The states of ``_lstm`` as (time, feature, row): gates lie apart in memory taken once, by exp alone.
+        """The states of ``_lstm`` as (time, feature, row): gates lie apart in memory taken once.
 
-        tanh(x) is 2 / (1 + exp(-2x)) - 1. One product a step takes the last state, the character and the bias.
+        One product a step takes the last state, the character and the bias.
         """
         w, h = self.w, HIDDEN
-        minus = np.array([-1] * (3 * h) + [-2] * h, np.float32)
-        all_in = np.ascontiguousarray((np.concatenate([w["re"][d], w["in"][d], w["bias"][d][None]]) * minus).T)
+        half = np.array([0.5] * (3 * h) + [0] * h, np.float32)
+        all_in = np.ascontiguousarray(np.concatenate([w["re"][d], w["in"][d], (w["bias"][d] + half)[None]]).T)
         letters = np.ascontiguousarray(w["embed"].T)
         n = x.shape[1]
         fed, z = np.ones((h + EMBED + 1, n), np.float32), np.empty((4 * h, n), np.float32)
         states, c, a = np.empty((len(x), h, n), np.float32), np.zeros((h, n), np.float32), np.empty((h, n), np.float32)
         fed[:h] = 0
-        i, f, o, g = (z[k * h : (k + 1) * h] for k in range(4))
-        with np.errstate(over="ignore"):
-            for t in range(len(x)):
-                np.take(letters, x[t], 1, out=fed[h : h + EMBED], mode="clip")
-                np.matmul(all_in, fed, out=z)
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                g *= 2
-                g -= 1
-                c *= f
-                c += np.multiply(i, g, out=a)
-                np.exp(np.multiply(c, -2, out=a), out=a)
-                a += 1
-                np.divide(2, a, out=a)
-                a -= 1
-                fed[:h] = np.multiply(o, a, out=states[t])
+        gates, g = z[: 3 * h], z[3 * h :]
+        i, f, o = (z[k * h : (k + 1) * h] for k in range(3))
+        for t in range(len(x)):
+            np.take(letters, x[t], 1, out=fed[h : h + EMBED], mode="clip")
+            np.matmul(all_in, fed, out=z)
+            np.minimum(np.maximum(gates, 0, out=gates), 1, out=gates)
+            np.abs(g, out=a)
+            a += 1
+            g /= a
+            c *= f
+            g *= i
+            c += g
+            np.abs(c, out=a)
+            a += 1
+            np.divide(c, a, out=a)
+            fed[:h] = np.multiply(o, a, out=states[t])
         return states
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
@@ -242,14 +244,34 @@ class Tagger:
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
         """Best tags (rows, time)."""
-        emit = self.emissions(x)
-        gain = max(0.0, float(self.w["move"].max() - self.w["move"][0, 0]))  # the most that a move is better than staying outside
-        more = np.flatnonzero((emit[:, 1:].max(1) + gain >= emit[:, 0]).any(0))
-        tags = np.zeros(x.shape, np.int8)
-        if len(more):
-            tags[more] = self._best_paths(np.ascontiguousarray(emit[:, :, more]))
+        tags, rows, kept = np.zeros(x.shape, np.int8), [], []
+        for at in range(0, len(x), BLOCK):
+            emit = self.emissions(x[at : at + BLOCK])
+            more = np.flatnonzero(self._can_leave(emit))
+            rows.append(more + at), kept.append(emit[:, :, more])
+        more = np.concatenate(rows)
+        emits = np.concatenate(kept, 2)
+        for at in range(0, len(more), BLOCK):
+            tags[more[at : at + BLOCK]] = self._best_paths(np.ascontiguousarray(emits[:, :, at : at + BLOCK]))
         return tags
 
+    def _can_leave(self, emit: np.ndarray) -> np.ndarray:
+        """Rows in which a stretch of other tags may be better than staying outside; false only where none can be.
+
+        Bounds each stretch from above by its best tag at every step, whatever that tag follows, its first move and its last.
+        """
+        gain = self.w["move"] - self.w["move"][0, 0]
+        above = emit[:, 1:] - emit[:, :1]
+        begin, go_on = (above + gain[0, 1:, None]).max(1), (above + gain[1:, 1:].max(0)[:, None]).max(1)
+        leave = gain[1:, 0].max()
+        run = above[0].max(0)
+        best = run + leave
+        for t in range(1, len(emit)):
+            run += go_on[t]
+            np.maximum(run, begin[t], out=run)
+            np.maximum(best, run + leave, out=best)
+        return np.maximum(best, run) >= -1e-3
+
     def _best_paths(self, emit: np.ndarray) -> np.ndarray:
         move = self.w["move"][:, :, None]
         best = np.empty_like(emit)
@@ -299,10 +321,11 @@ class Tagger:
         ds_next, dc = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
         back = np.ascontiguousarray(self.w["re"].transpose(0, 2, 1))
         for t in range(steps - 1, -1, -1):
-            i, f, o, gg, tc, last_c, _ = tape[t]
+            i, f, o, gg, tc, last_c, _, open_, flat, flat_c = tape[t]
             s_bar = ds[t] + ds_next
-            dc = dc + s_bar * o * (1 - tc * tc)
-            np.concatenate([dc * gg * i * (1 - i), dc * last_c * f * (1 - f), s_bar * tc * o * (1 - o), dc * i * (1 - gg * gg)], 2, out=dz[t])
+            dc = dc + s_bar * o * flat_c * flat_c
+            np.concatenate([dc * gg, dc * last_c, s_bar * tc, dc * i * flat * flat], 2, out=dz[t])
+            dz[t, :, :, : 3 * HIDDEN] *= open_
             ds_next, dc = dz[t] @ back, dc * f
         for d in range(2):
             own = dz[:, d].reshape(-1, 4 * HIDDEN)
@@ -314,7 +337,6 @@ class Tagger:
         return float((log_z - gold).sum() * scale), g
 
 
-@lru_cache(maxsize=2)
 def train(windows: int = TRAINED, epochs: int = 12, seed: int = 5, batch: int = 96, rate: float = 0.03) -> Tagger:
     """Fit by Adam on ``windows`` labelled windows; the same arguments give the same weights."""
     x, y = labelled_windows(windows)
@@ -375,9 +397,15 @@ def tagged_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, i
     met: dict[bytes, int] = {}
     same = np.array([met.setdefault(w.tobytes(), len(met)) for w in windows], np.int64)
     firsts = np.unique(same, return_index=True)[1]
-    runs: list[list[tuple[int, int, int]]] = []
-    for at in range(0, len(firsts), BLOCK):
-        runs += _runs(model.viterbi(windows[firsts[at : at + BLOCK]]))
+    runs: list[list[tuple[int, int, int]]] = [[] for _ in firsts]
+    # the last window of a text is shorter: those of like length are read together, and no farther than they reach
+    lengths = np.minimum(np.repeat(np.array([len(t) for t in texts], np.int64), counts) - offs, WINDOW)[firsts]
+    order = np.argsort(lengths, kind="stable")
+    for at in range(0, len(order), 8 * BLOCK):
+        block = order[at : at + 8 * BLOCK]
+        found = _runs(model.viterbi(np.ascontiguousarray(windows[firsts[block], : lengths[block[-1]]])))
+        for k, own in zip(block.tolist(), found, strict=True):
+            runs[k] = own
     for row, off, k in zip(rows.tolist(), offs.tolist(), same.tolist(), strict=True):
         if runs[k]:
             for kind, s, e in runs[k]:
@@ -415,13 +443,29 @@ def find(texts: list[str], model: Tagger) -> list[tuple[list[tuple[int, int, int
     return out
 
 
+_fitted: dict[int, dict[str, np.ndarray]] = {}
+
+
+def fitted(spark: SparkSession, windows: int = TRAINED) -> dict[str, np.ndarray]:
+    """The weights of ``train(windows)``, fitted in one task and kept in this process; some 10 KB."""
+    if windows not in _fitted:
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if any([batch.num_rows for batch in batches]):
+                w = train(windows).w
+                yield pa.RecordBatch.from_arrays([pa.array(list(w)), pa.array([list(v.shape) for v in w.values()], pa.list_(pa.int32())), pa.array([v.ravel().tolist() for v in w.values()], pa.list_(pa.float32()))], names=["name", "shape", "weights"])
+
+        rows = spark.range(0, 1, 1, 1).mapInArrow(fit, "name string, shape array<int>, weights array<float>").collect()
+        _fitted[windows] = {r.name: np.array(r.weights, np.float32).reshape(r.shape) for r in rows}
+    return _fitted[windows]
+
+
 def detect(docs: DataFrame, windows: int = TRAINED) -> DataFrame:
     """Spans of every whole text: doc_id, base and added as arrays of (kind, start, stop) in code points, stop exclusive.
 
-    ``windows`` bounds the labelled windows that the tagger is fitted on, once, by the driver; its weights (some 20 KB)
-    go with the tasks.
+    ``windows`` bounds the labelled windows that the tagger is fitted on, once, in a task; its weights go with the others.
     """
-    weights = train(windows).w
+    weights = fitted(docs.sparkSession, windows)
     kind = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(kind)), ("added", pa.list_(kind))])
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.shared import exists, mapped, scratch_path
+from quillstream.llm.shared import exists, mapped, saved, scratch_path
 from quillstream.llm.token_counts import first_in_task
 
 #: Name of the rules below; a change of them takes another name, under which every blob is scanned again.
@@ -71,15 +71,15 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: str = RULES) ->
         unseen = unseen.join(seen, "blob", "left_anti")
 
     def make():
-        met, opener = set(), zstandard.ZstdDecompressor()
+        opener, last = zstandard.ZstdDecompressor(), [None]
         kind = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
         schema = pa.schema([("blob", pa.string()), ("rules", pa.string()), ("findings", pa.list_(kind))])
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             blobs, found = [], []
             for blob, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if blob not in met:
-                    met.add(blob)
+                if blob != last[0]:  # equal blobs come one after the other
+                    last[0] = blob
                     raw = opener.decompress(packed)
                     blobs.append(blob)
                     found.append([{"kind": k, "start": s, "stop": e} for k, s, e in find(raw.decode(), raw)])
@@ -87,9 +87,11 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: str = RULES) ->
 
         return step
 
-    mapped(unseen.repartition("blob"), make, LEDGER_SCHEMA, "packed").write.mode("append").parquet(ledger_path)
+    mapped(unseen.repartition("blob").sortWithinPartitions("blob"), make, LEDGER_SCHEMA, "packed").write.mode("append").parquet(ledger_path)
     ledger = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path).where(F.col("rules") == rules)
-    ledger = ledger.dropDuplicates(["blob"]).select("blob", "findings")
+    ledger = ledger.select("blob", "findings")
+    if kept:  # runs at the same time may have scanned a blob twice; written, so that the join stays one whose hot keys Spark splits
+        ledger = saved(ledger.dropDuplicates(["blob"]), "ledger")
     return named.select("doc_id", "blob").join(ledger, "blob").select("doc_id", "blob", "findings")
 
 

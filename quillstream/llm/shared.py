@@ -7,6 +7,7 @@ a session on a cluster without it gets an error.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -102,14 +103,22 @@ def texts_of(array: pa.Array) -> list[str]:
 
 
 def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, column: str) -> DataFrame:
-    """``mapInArrow`` over slices bounded by bytes of ``column``; ``make`` builds the per-task function."""
+    """``mapInArrow`` over slices bounded by bytes of ``column``; ``make`` builds the per-task function.
+
+    Where ``make`` turns the collector of cycles off, it is on again after the task: workers serve other tasks too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for piece in pieces(batches, column):
-            out = step(piece)
-            if out is not None and out.num_rows:
-                yield out
+        collects = gc.isenabled()
+        try:
+            step = make()
+            for piece in pieces(batches, column):
+                out = step(piece)
+                if out is not None and out.num_rows:
+                    yield out
+        finally:
+            if collects:
+                gc.enable()
 
     return df.mapInArrow(run, schema)
 

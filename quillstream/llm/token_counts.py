@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.shared import exists, mapped, scratch_path, texts_of
+from quillstream.llm.shared import exists, mapped, saved, scratch_path, texts_of
 
 #: Remembered words in a task; the memory is emptied when full.
 MEMORY = 400_000
@@ -123,24 +123,26 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     def make():
         gc.disable()  # the memory holds no cycles
-        counter, met = counter_of(tokenizer_path, version), set()
+        counter, last = counter_of(tokenizer_path, version), [None]
         schema = pa.schema([("content", pa.string()), ("tokenizer", pa.string()), ("n_tokens", pa.int64())])
         opener = zstandard.ZstdDecompressor()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             new = {}
             for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if k not in met:
-                    met.add(k)
+                if k != last[0]:  # equal digests come one after the other
+                    last[0] = k
                     new[k] = opener.decompress(p).decode()
             got = counter.counts(list(new.values()))
             return pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array([version] * len(new), pa.string()), pa.array(got, pa.int64())], schema=schema)
 
         return step
 
-    counted = mapped(misses.repartition("content"), make, CACHE_SCHEMA, "packed")
+    counted = mapped(misses.repartition("content").sortWithinPartitions("content"), make, CACHE_SCHEMA, "packed")
     counted.write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    cache = cache.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    cache = cache.select("content", "n_tokens")
+    if kept:  # runs at the same time may have counted a text twice; written, so that the join stays one whose hot keys Spark splits
+        cache = saved(cache.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     rows = named.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "content")
     return rows.join(cache, "content").select("doc_id", "n_bytes", "n_tokens")

@@ -146,9 +146,12 @@ def test_pii_gradients():
         assert abs((losses[0] - losses[1]) / 0.02 - g[name][at]) < 0.1 * abs(g[name][at]) + 1e-3
 
 
-def test_pii_held_out_accuracy():
+def test_pii_held_out_accuracy(spark):
     x, y = pii.labelled_windows(400, seed=99)
-    tags = pii.train().viterbi(x)
+    model = pii.Tagger(pii.fitted(spark))
+    tags = model.viterbi(x)
+    emit = model.emissions(x)
+    assert (tags == model._best_paths(emit)).all()  # the bound leaves out no window with a span
     assert (tags == y).mean() > 0.98
     found, told = ({(row, *x) for row, runs in enumerate(pii._runs(t)) for x in runs} for t in (tags, y))
     whole = lambda spans: {x for x in spans if x[2] > 0 and x[3] < pii.LEARNT}  # noqa: E731  spans that a window's edge cuts can't be told
@@ -168,21 +171,21 @@ def test_pii_spelt_out_addresses_without_marks(spark):
     assert got == {0: {address}, 1: {"jane at example . com"}, 2: {address}, 3: set()}
 
 
-def test_pii_every_window_is_decoded():
+def test_pii_every_window_is_decoded(spark):
     class Asked(pii.Tagger):
         def viterbi(self, x):
             self.rows = len(x)
             return super().viterbi(x)
 
-    model = Asked(pii.train().w)
+    model = Asked(pii.fitted(spark))
     text = "".join(chr(97 + k % 23) + " " * (k % 7 == 0) for k in range(1000))
     pii.tagged_spans([text], model)
     assert model.rows == -(-len(text) // pii.STEP)
 
 
-def test_pii_best_paths():
+def test_pii_best_paths(spark):
     rng = np.random.default_rng(4)
-    model = pii.train()
+    model = pii.Tagger(pii.fitted(spark))
     x = rng.integers(0, pii.CLASSES, (3, 12)).astype(np.int16)
     emit, move = model.scores(x)[0], model.w["move"]
     assert np.allclose(emit, model.emissions(x).transpose(0, 2, 1), atol=1e-4)
