@@ -100,7 +100,7 @@ def followable(title: Column) -> Column:
     """Up to three names and two places of a title; of those alike but for case the first, 3 to 49 characters long."""
     title = F.coalesce(title, F.lit(""))
     found = F.concat(F.slice(F.regexp_extract_all(title, F.lit(NAMES), 0), 1, 3), F.slice(F.regexp_extract_all(title, F.lit(FOLLOWED_PLACES), 0), 1, 2))
-    fits = F.filter(F.transform(found, F.trim), lambda k: F.length(k).between(3, 49))
+    fits = F.filter(F.transform(found, lambda x: F.trim(x)), lambda k: F.length(k).between(3, 49))
     return F.filter(fits, lambda k, at: F.array_position(F.transform(fits, F.lower), F.lower(k)) == at + 1)
 
 

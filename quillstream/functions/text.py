@@ -63,8 +63,8 @@ def url_key(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Host without a leading www."""
-    return F.regexp_replace(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1), F.lit("")), r"^www\.", "")
+    """Host in lower case, without user and leading www."""
+    return F.regexp_replace(F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))), r"^www\.", "")
 
 
 def article_id(guid: Column, url: Column) -> Column:

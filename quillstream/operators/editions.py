@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.text import ascii_bounds, scorer_title
 from quillstream.operators.dedup import similar_pairs
+from quillstream.operators.rounds import dropped_by_pairs
 
 # Places whose difference tells two stories apart, over lower-cased titles.
 PLACES = (
@@ -80,11 +81,9 @@ def near_title_survivors(df: DataFrame, id_col: str, order_col: str, section: st
         met = met.where(~conflicting(F.col(f"a_f{k}"), F.col(f"b_f{k}")))
     a_first = F.struct("a_ord", "a_id") < F.struct("b_ord", "b_id")
     first, second = (lambda x: F.when(a_first, F.col(f"a{x}")).otherwise(F.col(f"b{x}"))), (lambda x: F.when(a_first, F.col(f"b{x}")).otherwise(F.col(f"a{x}")))
-    pair = F.struct(first("_ord").alias("i"), first("_id").alias("x"), second("_ord").alias("j"), second("_id").alias("y"), (second("_rank") > first("_rank")).alias("second_wins"))
-    folded = met.groupBy(F.col("a_section").alias("_section")).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    none = F.slice(F.transform("pairs", lambda p: p["x"]), 1, 0)
-    drop = lambda gone, p: F.when(F.array_contains(gone, p["x"]) | F.array_contains(gone, p["y"]), gone).otherwise(F.array_append(gone, F.when(p["second_wins"], p["x"]).otherwise(p["y"])))
-    gone = folded.select(F.explode(F.aggregate("pairs", none, drop)).alias("_gone"))
+    place = F.struct(first("_ord").alias("i"), first("_id").alias("x"), second("_ord").alias("j"), second("_id").alias("y"))
+    loser = F.when(second("_rank") > first("_rank"), first("_id")).otherwise(second("_id"))
+    gone = dropped_by_pairs(met.select(place.alias("place"), first("_id").alias("x"), second("_id").alias("y"), loser.alias("loser"))).withColumnRenamed("gone", "_gone")
     return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 

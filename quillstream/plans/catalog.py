@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.plans import article_queries, edition_queries
+from quillstream.plans import article_queries, edition_queries, gate_queries
 
-QUERIES = article_queries.QUERIES | edition_queries.QUERIES
-ORACLE_SQL = article_queries.SQL | edition_queries.SQL
+QUERIES = article_queries.QUERIES | edition_queries.QUERIES | gate_queries.QUERIES
+ORACLE_SQL = article_queries.SQL | edition_queries.SQL | gate_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

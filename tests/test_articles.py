@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import deals, text
-from quillstream.operators import dedup, health, rules, selection
+from quillstream.operators import dedup, health, rounds, rules, selection
 from quillstream.sources import articles, sinks
 from quillstream.streaming import ingest
 
@@ -59,6 +59,28 @@ def test_greedy_is_not_drop_duplicates(spark):
     assert {r.id for r in got.collect()} == {"A", "C", "D"}
 
 
+def test_rounds_match_one_pass_in_order(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(k, [rng.choice("abcdefghij") + str(rng.randint(0, 3)) if rng.random() < 0.9 else None for _ in range(rng.randint(0, 4))], rng.choice("pq")) for k in range(120)]
+    seen, want = set(), set()
+    for k, keys, part in rows:
+        mine = {(part, x) for x in keys if x}
+        if not mine & seen:
+            want.add(k)
+            seen |= mine
+    df = spark.createDataFrame(rows, "id int, keys array<string>, place string").repartition(3)
+    assert {r.id for r in dedup.greedy_first_wins(df, "id", "id", F.col("keys"), F.col("place")).collect()} == want
+    pairs = [(x, y, rng.choice((x, y))) for x in range(60) for y in range(x + 1, 60) if rng.random() < 0.05]
+    gone = set()
+    for x, y, loser in pairs:
+        if not {x, y} & gone:
+            gone.add(loser)
+    df = spark.createDataFrame(pairs, "x int, y int, loser int").withColumn("place", F.struct("x", "y")).repartition(3)
+    assert sorted(r.gone for r in rounds.dropped_by_pairs(df).collect()) == sorted(gone)
+
+
 def test_similar_pairs_match_brute_force(spark):
     import random
 
