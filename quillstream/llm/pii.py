@@ -87,9 +87,9 @@ TAGS = 1 + 2 * len(KINDS)
 CLASSES, OTHER_LETTER, OTHER, PADDING = 98, 95, 96, 97
 #: A mail address by its signs, in every spelling of the labelled forms.
 _SPELT = re.compile(r"[^\s@]+(?:\s?@\s?|\s?[\[(]at[\])]\s?|\sat\s)[^\s@]+?(?:(?:\.|\s\.\s|\s?[\[(]dot[\])]\s?|\sdot\s)[^\s@.]+)+", re.IGNORECASE)
-HIDDEN, EMBED = 12, 10
+HIDDEN, EMBED = 10, 8
 #: Labelled windows that the tagger is fitted on.
-TRAINED = 6000
+TRAINED = 8000
 #: Windows read at once.
 BLOCK = 512
 
@@ -337,7 +337,7 @@ class Tagger:
         return float((log_z - gold).sum() * scale), g
 
 
-def train(windows: int = TRAINED, epochs: int = 12, seed: int = 5, batch: int = 96, rate: float = 0.03) -> Tagger:
+def train(windows: int = TRAINED, epochs: int = 14, seed: int = 5, batch: int = 96, rate: float = 0.03) -> Tagger:
     """Fit by Adam on ``windows`` labelled windows; the same arguments give the same weights."""
     x, y = labelled_windows(windows)
     model, rng = Tagger.fresh(seed), np.random.default_rng(seed)
