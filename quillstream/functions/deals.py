@@ -22,44 +22,69 @@ EVENTS = [
 ]
 # Words that approve a project whatever its size.
 APPROVAL_WORDS = ["approved", "approves", "approval", "zoning", "rezoning", "entitlement", "permits", "planning board", "commission"]
-COMPLETED = r"(?i)\b(acquires?|acquired|sells?|sold|buys?|bought|purchas(?:es?|ed)|leased|signs?\s+(?:a\s+)?lease|inks?\s+(?:a\s+)?lease|finances?|financed|refinances?|closes?\s+(?:on|the\s+deal|deal)|closed|trades?|traded)\b"
+
+
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _number(c: Column) -> Column:
     return F.nullif(F.replace(c, F.lit(","), F.lit("")), F.lit("")).cast("double")
 
 
-def _area(upper: Column) -> Column:
-    """Square feet of the first size, not rounded; null for none."""
-    unit = F.regexp_extract(upper, AREA, 2)
-    return _number(F.regexp_extract(upper, AREA, 1)) * F.when(unit == "M", 1e6).when(unit == "K", 1e3).otherwise(1.0)
+def _found(text: Column, *patterns: str) -> Column:
+    """Struct m0, m1, ...: what each pattern finds in the upper-cased text. Numbers are read from these short pieces, so
+    that each pattern goes over the text once.
+    """
+    return _bound(F.upper(text), lambda u: F.struct(*(F.regexp_extract(u, p, 0).alias(f"m{k}") for k, p in enumerate(patterns)), u.rlike("BILLION|B ").alias("billions")))
+
+
+def _area(found: Column) -> Column:
+    """Square feet of a size that was found, not rounded; null for none."""
+    unit = F.regexp_extract(found, AREA, 2)
+    return _number(F.regexp_extract(found, AREA, 1)) * F.when(unit == "M", 1e6).when(unit == "K", 1e3).otherwise(1.0)
+
+
+def _rounded(area: Column) -> Column:
+    return F.round(area).cast("long")
+
+
+def _millions(found: Column, spelt: Column) -> Column:
+    said, written = _number(F.regexp_extract(found, MILLIONS, 1)), _number(F.regexp_extract(spelt, SPELT_OUT, 1))
+    return F.when(said.isNotNull() & (said != 0), said).when(written >= 1e7, written / 1e6).otherwise(said)
 
 
 def size_sf(text: Column) -> Column:
     """Square feet of the first size in a text."""
-    return F.round(_area(F.upper(text))).cast("long")
+    return _rounded(_area(F.regexp_extract(F.upper(text), AREA, 0)))
 
 
 def price_millions(text: Column) -> Column:
     """Millions of dollars: the first amount said in millions, or else one written out of 10 million or more."""
-    upper = F.upper(text)
-    said, written = _number(F.regexp_extract(upper, MILLIONS, 1)), _number(F.regexp_extract(upper, SPELT_OUT, 1))
-    return F.when(said.isNotNull() & (said != 0), said).when(written >= 1e7, written / 1e6).otherwise(said)
+    return _bound(_found(text, MILLIONS, SPELT_OUT), lambda f: _millions(f["m0"], f["m1"]))
 
 
 def threshold(text: Column) -> Column:
     """Struct of meets_sf (50,000 or more), meets_dollar (10 million or more), size_sf and price_million."""
-    sf, price = size_sf(text), price_millions(text)
-    return F.struct(F.coalesce(sf >= 50_000, F.lit(False)).alias("meets_sf"), F.coalesce(price >= 10, F.lit(False)).alias("meets_dollar"), sf.alias("size_sf"), price.alias("price_million"))
+    read = _bound(_found(text, AREA, MILLIONS, SPELT_OUT), lambda f: F.struct(_rounded(_area(f["m0"])).alias("sf"), _millions(f["m1"], f["m2"]).alias("price")))
+    return _bound(read, lambda r: F.struct(F.coalesce(r["sf"] >= 50_000, F.lit(False)).alias("meets_sf"), F.coalesce(r["price"] >= 10, F.lit(False)).alias("meets_dollar"), r["sf"].alias("size_sf"), r["price"].alias("price_million")))
+
+
+def meets_threshold(text: Column) -> Column:
+    """Whether size or price meets the threshold."""
+    return _bound(threshold(text), lambda t: t["meets_sf"] | t["meets_dollar"])
 
 
 def deal_score(text: Column) -> Column:
     """0 to 6: up to three points for size and for price. Any "B " counts as billions once an amount is there."""
-    upper = F.upper(text)
-    sf, amount = _area(upper), _number(F.regexp_extract(upper, MILLIONS_OR_BILLIONS, 1))
-    by_size = F.when(sf >= 100_000, 3).when(sf >= 50_000, 2).when(sf >= 25_000, 1).otherwise(0)
-    by_price = F.when(amount.isNotNull() & upper.rlike("BILLION|B "), 3).when(amount >= 25, 2).when(amount >= 10, 1).otherwise(0)
-    return by_size + by_price
+
+    def points(r: Column) -> Column:
+        by_size = F.when(r["sf"] >= 100_000, 3).when(r["sf"] >= 50_000, 2).when(r["sf"] >= 25_000, 1).otherwise(0)
+        return by_size + F.when(r["amount"].isNotNull() & r["billions"], 3).when(r["amount"] >= 25, 2).when(r["amount"] >= 10, 1).otherwise(0)
+
+    read = _bound(_found(text, AREA, MILLIONS_OR_BILLIONS), lambda f: F.struct(_area(f["m0"]).alias("sf"), _number(F.regexp_extract(f["m1"], MILLIONS_OR_BILLIONS, 1)).alias("amount"), f["billions"].alias("billions")))
+    return _bound(read, points)
 
 
 def event_class(text: Column) -> Column:

@@ -23,9 +23,8 @@ def first_match(rules: list[tuple[str, Column]], otherwise: str | None = None) -
 
 def transaction_verdict(text: Column) -> Column:
     """accepted, or why a text is no transaction: approvals pass at any size, deals from the threshold on."""
-    met = deals.threshold(text)
     return first_match(
-        [("ACCEPTED_APPROVAL", contains_any(text, deals.APPROVAL_WORDS)), ("ACCEPTED_THRESHOLD", met["meets_sf"] | met["meets_dollar"])],
+        [("ACCEPTED_APPROVAL", contains_any(text, deals.APPROVAL_WORDS)), ("ACCEPTED_THRESHOLD", deals.meets_threshold(text))],
         "BELOW_DEAL_THRESHOLD",
     )
 

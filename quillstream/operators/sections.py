@@ -45,24 +45,23 @@ def relevant_verdict(text: Column, approved: Column, keywords: list[str] = words
 
 def transaction_verdict(text: Column, approved: Column) -> Column:
     """Deals: approvals of any size, sizes and prices from the threshold on; listings are none."""
-    met = deals.threshold(text)
     return first_match(
         [
             ("RUBRIC_REJECT", refused(approved)), ("POLITICAL_CONTENT", is_political(text)),
             ("WRONG_PROPERTY_TYPE", gates.wrong_property(text) & ~gates.strong_asset(text)), ("NOT_INDUSTRIAL", ~gates.is_industrial(text)),
             ("LISTING_EVENT_NOT_DEAL", gates.is_listing(text)), ("ACCEPTED_APPROVAL", contains_any(text, deals.APPROVAL_WORDS)),
-            ("ACCEPTED_THRESHOLD", met["meets_sf"] | met["meets_dollar"]), ("ACCEPTED_ACTION", contains_any(text, words.DEAL_ACTIONS) & (met["size_sf"] >= 50_000)),
+            ("ACCEPTED_THRESHOLD", deals.meets_threshold(text)), ("ACCEPTED_ACTION", contains_any(text, words.DEAL_ACTIONS) & (deals.size_sf(text) >= 50_000)),
         ], "BELOW_DEAL_THRESHOLD",
     )
 
 
 def availability_verdict(text: Column, approved: Column, elsewhere: Column) -> Column:
     """Space and land on the market, by listing, words or a stated size."""
-    industrial, met = gates.is_industrial(text), deals.threshold(text)
+    industrial = gates.is_industrial(text)
     return first_match(
         [
             ("RUBRIC_REJECT", refused(approved, elsewhere)), ("POLITICAL_CONTENT", is_political(text)), ("ACCEPTED_LISTING", gates.is_listing(text) & industrial),
-            ("ACCEPTED_WORDS", contains_any(text, words.AVAILABLE)), ("NOT_INDUSTRIAL", ~industrial), ("ACCEPTED_SIZE", met["meets_sf"] | (met["size_sf"] > 0)),
+            ("ACCEPTED_WORDS", contains_any(text, words.AVAILABLE)), ("NOT_INDUSTRIAL", ~industrial), ("ACCEPTED_SIZE", deals.size_sf(text) > 0),
         ], "SECTION_RULE_FAILED",
     )
 

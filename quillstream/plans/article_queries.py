@@ -28,7 +28,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_AREA_SQL = r"(\d{1,3}(?:,\d{3})*|\d+(?:\.\d+)?)\s*(K|M)?[\s-]*(?:SF|SQ\.?\s*FT|SQUARE[\s-]*(?:FEET|FOOT))"
+_AREA_SQL = deals.AREA
 _DEALS_SQL = f"""WITH {SYNTHETIC_SQL},
 m AS (SELECT *, upper(title) AS u FROM articles),
 n AS (SELECT *, CAST(nullif(replace(regexp_extract(u, '{_AREA_SQL}', 1), ',', ''), '') AS DOUBLE)
