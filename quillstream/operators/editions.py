@@ -127,14 +127,18 @@ def raw_feed(df: DataFrame, id_col: str, title: str, ts: str, order_col: str, as
 def feed_tiers(df: DataFrame, name: str, feeds: DataFrame, feed_name: str, feed_order: str, tier: str, otherwise: str = "C") -> DataFrame:
     """``df`` with _tier: that of the first feed whose name contains the row's or is contained in it.
 
-    Only distinct names meet the feeds. The configuration is broadcast when counted to be small, else it is refused, as
-    containment has no key to join on.
+    Containment has no key to join on, so distinct names meet the distinct feeds: broadcast up to BROADCAST_FEEDS, in blocks
+    of that many beyond.
     """
-    if feeds.count() > BROADCAST_FEEDS:
-        raise ValueError(f"a feed configuration has at most {BROADCAST_FEEDS} rows")
     names = df.select(F.lower(F.coalesce(F.col(name), F.lit(""))).alias("_name")).distinct()
     known = feeds.select(F.lower(feed_name).alias("_feed"), F.col(feed_order).alias("_order"), F.coalesce(F.col(tier), F.lit(otherwise)).alias("_feed_tier")).where("_feed != ''")
-    met = names.join(F.broadcast(known), F.contains("_name", "_feed") | F.contains("_feed", "_name"))
+    parts = -(-known.count() // BROADCAST_FEEDS)
+    contained = F.contains("_name", "_feed") | F.contains("_feed", "_name")
+    met = None
+    for k in range(max(parts, 1)):
+        block = known if parts <= 1 else known.where(F.pmod(F.xxhash64("_feed"), F.lit(parts)) == k)
+        found = names.join(F.broadcast(block), contained)
+        met = found if met is None else met.unionByName(found)
     first = met.groupBy("_name").agg(F.min_by("_feed_tier", F.struct("_order", "_feed")).alias("_tier"))
     return df.join(first, F.lower(F.coalesce(F.col(name), F.lit(""))) == F.col("_name"), "left").drop("_name").withColumn("_tier", F.coalesce("_tier", F.lit(otherwise)))
 
