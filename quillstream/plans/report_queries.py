@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import words
-from quillstream.operators import reports, sections
+from quillstream.operators import ranking, reports, sections
 from quillstream.operators.rounds import written
 from quillstream.plans.gate_queries import _VERDICTS, _any, _first, _has, _q, _verdicts
 from quillstream.sources.briefs import BRIEFS_SQL, REGIONS, briefs
@@ -185,3 +185,46 @@ def retention_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = reports.retained(briefs(spark, sf_dir), "pub_ts", F.lit(AS_OF).cast("date"))
     return rows.select("ord", "retention", links.stated_size(F.col("title")).alias("stated_size"), gates.says_nothing(F.col("description")).alias("says_nothing"))
+
+
+_NAMES = {"news.example.com": "The Example", "press.regional": "Regional Press"}
+_WEIGHTS = ranking.Weights([(r"brazil|chester", 30), ("canada", 25)], {"newmark": 12, "cbre": 8}, {"news.example.com": 20, "other.test": 3}, ["helicopter", "sloth"])
+_SF = r"regexp_extract(replace(regexp_extract(t, '([\d,.]+)\s*(?:million\s*)?(?:sf|sq\.?\s*f|square\s*f)', 1), ',', ''), '^\d*\.?\d*', 0)"
+_AMOUNT = r"regexp_extract(replace(regexp_extract(t, '\$([\d,.]+)\s*(?:million|m(?:il|ln)?|billion|b(?:il|ln)?)\b', 1), ',', ''), '^\d*\.?\d*', 0)"
+
+
+@_query(f"""WITH {BRIEFS_SQL}, x AS (SELECT *, {_TEXT_SQL} AS t, lower(url) AS l FROM briefs), y AS (SELECT *, TRY_CAST({_SF} AS DOUBLE) AS sf, TRY_CAST({_AMOUNT} AS DOUBLE) AS amount, date_diff('hour', pub_ts, TIMESTAMP '{AS_OF}') AS hours FROM x)
+SELECT ord, CAST(CASE WHEN contains(t, 'brazil') OR contains(t, 'chester') THEN 30 ELSE 0 END + CASE WHEN contains(t, 'canada') THEN 25 ELSE 0 END
++ CASE WHEN sf >= 500000 THEN 25 WHEN sf >= 100000 THEN 15 WHEN sf >= 50000 THEN 5 ELSE 0 END + CASE WHEN amount >= 100 THEN 25 WHEN amount >= 25 THEN 15 WHEN amount >= 10 THEN 5 ELSE 0 END
++ CASE WHEN contains(t, 'newmark') THEN 12 WHEN contains(t, 'cbre') THEN 8 ELSE 0 END + CASE WHEN contains(l, 'news.example.com') THEN 20 WHEN contains(l, 'other.test') THEN 3 ELSE 10 END
++ CASE WHEN length(description) > 50 THEN 5 ELSE 0 END + CASE WHEN hours < 12 THEN 10 WHEN hours < 24 THEN 5 ELSE 0 END - CASE WHEN contains(t, 'helicopter') OR contains(t, 'sloth') THEN 20 ELSE 0 END AS INTEGER) AS score FROM y""")
+def article_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every article."""
+    score = ranking.article_score(F.col("title"), F.col("description"), F.col("url"), F.col("pub_ts"), F.lit(AS_OF).cast("timestamp"), _WEIGHTS)
+    return briefs(spark, sf_dir).select("ord", score.cast("int").alias("score"))
+
+
+@_query(f"""WITH {BRIEFS_SQL}, x AS (SELECT ord, CASE WHEN ord % 3 = 0 THEN title || ' - The Post' WHEN ord % 3 = 1 THEN title || ' | www.news.example.com' ELSE replace(title, ' - ', ' ') END AS h, lower(url) AS l, 'Google News nj halls' AS s FROM briefs)
+SELECT ord, CASE WHEN ord % 3 = 0 THEN 'The Post' WHEN ord % 3 = 1 THEN 'The Example' WHEN contains(l, 'news.example.com') THEN 'The Example' WHEN contains(l, 'press.regional') THEN 'Regional Press' WHEN contains(h, ' | ') THEN trim(regexp_extract(h, '[^|]*$', 0)) ELSE 'NJ Halls' END AS publisher
+FROM x WHERE NOT (ord % 3 = 2 AND contains(h, ' | '))""")
+def publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The publisher of every article whose title has no bar of its own."""
+    rows = briefs(spark, sf_dir).withColumn("h", F.when(F.col("ord") % 3 == 0, F.concat("title", F.lit(" - The Post"))).when(F.col("ord") % 3 == 1, F.concat("title", F.lit(" | www.news.example.com"))).otherwise(F.replace("title", F.lit(" - "), F.lit(" "))))
+    rows = rows.where(~((F.col("ord") % 3 == 2) & F.col("h").contains(" | ")))
+    return rows.select("ord", ranking.publisher(F.col("h"), F.lit("Google News nj halls"), F.col("url"), _NAMES).alias("publisher"))
+
+
+@_query(f"""WITH {BRIEFS_SQL}, x AS (SELECT *, CASE WHEN ord % 3 > 0 THEN regexp_extract(url, '[^?]*', 0) || ord % 500 ELSE '' END AS link, lower(title) AS head FROM briefs),
+a AS (SELECT ord, row_number() OVER (PARTITION BY link ORDER BY ord) AS k FROM x WHERE link <> ''), b AS (SELECT ord, row_number() OVER (PARTITION BY head ORDER BY pub_ts DESC, ord) AS k FROM x WHERE link = '' AND head <> '')
+SELECT ord FROM a WHERE k = 1 UNION ALL SELECT ord FROM b WHERE k = 1""")
+def pipeline_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles left when links go first and titles stand in for missing ones."""
+    rows = briefs(spark, sf_dir)
+    link = F.when(F.col("ord") % 3 > 0, F.concat(F.regexp_extract("url", "[^?]*", 0), (F.col("ord") % 500).cast("string"))).otherwise("")
+    return ranking.deduplicated(rows, link, F.lower("title"), "ord", "pub_ts").select("ord")
+
+
+@_query(f"""WITH {BRIEFS_SQL} SELECT ord, CAST(list_sum(list_transform(string_split(title, ''), lambda c: unicode(c))) % 3 AS INTEGER) AS image FROM briefs""")
+def placeholder_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The placeholder image of every article."""
+    return briefs(spark, sf_dir).select("ord", ranking.placeholder_index(F.col("title"), 3).alias("image"))
