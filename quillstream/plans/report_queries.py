@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.functions import words
-from quillstream.operators import ranking, reports, sections
+from quillstream.functions import deals, words
+from quillstream.operators import ranking, reports, sections, signatures
 from quillstream.operators.rounds import written
 from quillstream.plans.gate_queries import _VERDICTS, _any, _first, _has, _q, _verdicts
 from quillstream.sources.briefs import BRIEFS_SQL, REGIONS, briefs
@@ -228,3 +228,51 @@ def pipeline_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placeholder_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The placeholder image of every article."""
     return briefs(spark, sf_dir).select("ord", ranking.placeholder_index(F.col("title"), 3).alias("image"))
+
+
+_GROUPS = [{"brazil": "south", "peru": "south", "chester": "chester"}, {"canada": "north", "westchester": "north"}]
+_STATES = {"state-ke": r"\bkenya\b", "state-eg": r"\b(?:egypt|e\.g\.)"}
+_FIRMS = ["prologis", "newmark", "cbre", "jll"]
+_MARKETS = {"peru": "peru", "chester": "chester", "westchester": "w-chester", "canada": "canada", "brazil": "brazil"}
+_DIGITS = lambda p: f"CAST(nullif(replace(regexp_extract(t, {_q(p)}, 1), ',', ''), '') AS DOUBLE)"
+_EVENT = f"CASE WHEN {_has('t', deals.PEOPLE)} AND NOT {_has('t', deals.NOT_PEOPLE)} THEN 'people' " + " ".join(f"WHEN {_has('t', p)} THEN {_q(n)}" for n, p in deals.EVENTS) + " END"
+
+
+def _place_sql(names: dict[str, str]) -> str:
+    hit = f"regexp_extract(t, {_q(r'\b(' + '|'.join(names) + r')\b')}, 1)"
+    return f"CASE {hit} " + " ".join(f"WHEN {_q(n)} THEN {_q(m)}" for n, m in names.items()) + " END"
+
+
+_SIGNED = f"""WITH {BRIEFS_SQL}, x AS (SELECT ord, title, lower(title || ' ' || coalesce(description, '')) AS t FROM briefs),
+y AS (SELECT *, coalesce(floor({_DIGITS(signatures.THOUSANDS_SF)} * 1000 + 0.5), {_DIGITS(signatures.WRITTEN_SF)}) AS sf0, floor({_DIGITS(signatures.MILLION_SF)} * 1000000 + 0.5) AS sf1,
+  coalesce(floor({_DIGITS(signatures.BILLIONS)} * 1000 + 0.5), floor({_DIGITS(signatures.MILLIONS)} + 0.5)) AS m0, floor({_DIGITS(signatures.WRITTEN_DOLLARS)} / 1000000 + 0.5) AS m1,
+  list_sort(list_distinct(list_filter([{", ".join(map(_place_sql, _GROUPS))}], lambda p: p IS NOT NULL))) AS named,
+  list_sort(list_filter([{", ".join(f"CASE WHEN {_has('t', p)} THEN {_q(n)} END" for n, p in _STATES.items())}], lambda p: p IS NOT NULL)) AS states, {_EVENT} AS event FROM x),
+z AS (SELECT *, coalesce(sf0, sf1) AS sf, coalesce(m0, m1) AS m, CASE WHEN len(named) > 0 THEN named ELSE states END AS places FROM y)"""
+_FIRM_SQL = "CASE " + " ".join(f"WHEN {_has('t', rf'\b{f}\b')} THEN {_q(f)}" for f in _FIRMS) + " END"
+_MARKET_SQL = "CASE " + " ".join(f"WHEN {_has('t', rf'\b{n}\b')} THEN {_q(_MARKETS[n])}" for n in sorted(_MARKETS, key=lambda n: -len(n))) + " END"
+
+
+@_query(f"""{_SIGNED} SELECT ord, CASE WHEN len(places) > 0 AND (sf IS NOT NULL OR m IS NOT NULL) THEN CAST(CAST(coalesce(floor(sf / 10000 + 0.5), 0) AS BIGINT) AS VARCHAR) || 'sf_' || CAST(CAST(coalesce(m, 0) AS BIGINT) AS VARCHAR) || 'm_' || array_to_string(places, '|') END AS signature,
+'entdeal_' || {_FIRM_SQL} || '_' || {_MARKET_SQL} || '_' || event AS entity_key FROM z""")
+def deal_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deal signature and the entity key of every article."""
+    rows = briefs(spark, sf_dir).select("ord", sections.text_of(F.col("title"), F.col("description")).alias("t"))
+    return rows.select("ord", signatures.deal_signature(F.col("t"), _GROUPS, _STATES).alias("signature"), signatures.entity_key(F.col("t"), _FIRMS, _MARKETS).alias("entity_key"))
+
+
+def entity_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles left when each deal of a firm in a market is told once."""
+    return signatures.entity_survivors(briefs(spark, sf_dir), "ord", "ord", sections.text_of(F.col("title"), F.col("description")), _FIRMS, _MARKETS)
+
+
+QUERIES["entity_key_dedup"] = entity_key_dedup  # a choice in order: the tests compare it with one pass
+
+
+@_query(f"""WITH {BRIEFS_SQL}, x AS (SELECT ord, lower(title) AS t, replace(regexp_replace(lower(title), '\\s+[-–—|]\\s+.*$', ''), '-', ' ') AS bare FROM briefs),
+y AS (SELECT ord, nullif(trim(regexp_extract(bare, {_q(r"\bin ([a-z][a-z .']*?)(?:\s{2,}|,| for | to |$)")}, 1)), '') AS town,
+  CASE {" ".join(f"WHEN contains(replace(t, '-', ' '), {_q(d)}) THEN {_q(d)}" for d in signatures.DESCRIPTORS)} END AS descriptor, {_EVENT} AS event FROM x),
+c AS (SELECT *, count(*) OVER (PARTITION BY town, descriptor, event) - 1 AS others FROM y WHERE town IS NOT NULL AND descriptor IS NOT NULL AND event IS NOT NULL) SELECT ord, town, descriptor, event, others FROM c WHERE others > 0""")
+def same_event_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that share town, descriptor and event with others."""
+    return signatures.same_event_flags(briefs(spark, sf_dir), "ord", "title")

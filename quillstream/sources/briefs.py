@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.operators.regions import Regions
+from quillstream.operators.rounds import written
 
 PHRASES = [
     "warehouse of 120,000 SF sold for $31 million", "developer breaks ground on industrial park", "office tower lease signed", "firm takes 12,000 sf office", "industrial heir tells his story",
@@ -35,17 +36,20 @@ def _pick(values: list[str], index: Column) -> Column:
 
 
 def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ord, title, description, summary, url, source, tags, approved, category, pub_ts."""
+    """ord, title, description, url, source, tags, approved, category, pub_ts: written and read, as articles come from a store.
+
+    Else Spark would put the making of a title in place of each use of it, and the code of a gate would grow too long.
+    """
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("pub_ts"))
     ord_ = F.col("ord")
-    one, two, here, there = _pick(PHRASES, ord_ * 7), _pick(PHRASES, ord_ * 13 + F.floor(ord_ / 64)), _pick(PLACES, ord_ * 3 + F.floor(ord_ / 32)), _pick(PLACES, ord_ * 5 + 1)
+    one, two, here, there = _pick(PHRASES, ord_ * 7 + F.floor(ord_ / 61)), _pick(PHRASES, ord_ * 13 + F.floor(ord_ / 64)), _pick(PLACES, ord_ * 3 + F.floor(ord_ / 32)), _pick(PLACES, ord_ * 5 + 1)
     title = F.when(ord_ % 4 == 0, F.concat(here, F.lit(" "), one)).when(ord_ % 4 == 1, F.concat(one, F.lit(" in "), here)).when(ord_ % 4 == 2, one).otherwise(F.concat(here, F.lit(" group buys "), there, F.lit(" "), one))
     description = F.when(ord_ % 9 == 0, F.lit(None).cast("string")).when(ord_ % 5 == 0, F.concat(two, F.lit(" near "), there)).otherwise(two)
     url = F.concat(F.lit("https://www."), _pick(HOSTS, F.floor(ord_ / 4)), _pick(PATHS, F.floor(ord_ / 32)), ord_.cast("string"))
-    return rows.select(
+    return written(rows.select(
         "ord", title.alias("title"), description.alias("description"), url.alias("url"), "source", "pub_ts", F.when(ord_ % 16 == 0, F.array(there)).alias("tags"),
         F.when(ord_ % 6 == 0, False).when(ord_ % 6 == 1, True).alias("approved"), F.when(ord_ % 2 == 0, "relevant").otherwise("transactions").alias("category"),
-    )
+    ))
 
 
 def _list(values: list[str]) -> str:
@@ -57,7 +61,7 @@ def _picked(values: list[str], index: str) -> str:
 
 
 _HERE, _THERE = _picked(PLACES, "o_orderkey * 3 + o_orderkey // 32"), _picked(PLACES, "o_orderkey * 5 + 1")
-_ONE, _TWO = _picked(PHRASES, "o_orderkey * 7"), _picked(PHRASES, "o_orderkey * 13 + o_orderkey // 64")
+_ONE, _TWO = _picked(PHRASES, "o_orderkey * 7 + o_orderkey // 61"), _picked(PHRASES, "o_orderkey * 13 + o_orderkey // 64")
 BRIEFS_SQL = f"""briefs AS (
   SELECT o_orderkey AS ord, o_orderpriority AS source, o_orderdate AS pub_ts,
          CASE o_orderkey % 4 WHEN 0 THEN {_HERE} || ' ' || {_ONE} WHEN 1 THEN {_ONE} || ' in ' || {_HERE} WHEN 2 THEN {_ONE} ELSE {_HERE} || ' group buys ' || {_THERE} || ' ' || {_ONE} END AS title,

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from quillstream.functions import text
-from quillstream.operators import dedup, health, reports
+from quillstream.operators import dedup, health, ranking, reports, signatures
 from quillstream.sources import sinks
 from quillstream.streaming import ingest
 
@@ -83,3 +83,35 @@ def test_page_filters(spark):
     ids = lambda **how: sorted(r.id for r in reports.page_filtered(df, "ts", F.lit("2024-05-02").cast("timestamp"), **how).collect())
     assert ids() == [1, 2, 4] and ids(days=30) == [1, 2] and ids(query="HALL") == [1, 2, 4] and ids(region="peru") == [1] and ids(source="t") == [4] and ids(category="deals") == [1, 2]
     assert [r.id for r in reports.items_filtered(df.withColumn("regions", F.array(F.lit("PE"))), "id", "ts", F.lit("2023-01-01").cast("timestamp"), F.lit("2025-01-01").cast("timestamp"), "PE", None, 3).collect()] == [1, 2, 3]
+
+
+def test_entity_survivors_match_one_pass(spark):
+    import random
+
+    rng = random.Random(3)
+    firms, markets = ["prologis", "jll"], {"peru": "peru", "chester": "chester", "westchester": "w"}
+    rows = [(k, f"{rng.choice(['prologis', 'jll', 'nobody'])} buys {rng.choice(['40k sf hall', '41k sf hall', '90k sf hall', 'hall'])} in {rng.choice(['peru', 'westchester'])}{rng.choice(['', ' for $20m', ' for $90m'])}") for k in range(150)]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(3)
+    keys = {r.id: (r.key, r.sf, r.m) for r in df.select("id", signatures.entity_key(F.col("t"), firms, markets).alias("key"), signatures.square_feet(F.col("t"), False).alias("sf"), signatures.millions(F.col("t"), False).alias("m")).collect()}
+    bucket = lambda x, n: None if x is None else int(x / n + 0.5)
+    kept, want = [], set()
+    for k, _ in rows:
+        key, sf, m = keys[k]
+        same = lambda o: o[0] == key and (None in (o[1], sf) or bucket(o[1], 10_000) == bucket(sf, 10_000)) and (None in (o[2], m) or bucket(o[2], 5) == bucket(m, 5))  # noqa: B023, E731
+        if key is None or not any(map(same, kept)):
+            want.add(k)
+            kept += [keys[k]] if key is not None else []
+    assert {r.id for r in signatures.entity_survivors(df, "id", "id", F.col("t"), firms, markets).collect()} == want
+
+
+def test_ranking_upkeep(spark):
+    now, before = spark.createDataFrame([(1, "a")], "id int, kind string"), spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, kind string")
+    assert sorted(map(tuple, ranking.carried_over(now, before, "id", "kind").collect())) == [(1, "a"), (3, "b")]
+    backups = spark.createDataFrame([("x.com", "n1", True), ("y.com", "n2", False), ("z.com", "n3", True)], "domain string, name string, enabled boolean")
+    scraped = spark.createDataFrame([("x.com", True, 9), ("y.com", True, 1)], "domain string, ok boolean, fetched int")
+    assert sorted((r.name, r.enabled, r.changed) for r in ranking.toggled_backups(backups, scraped, 3).collect()) == [("n1", False, True), ("n2", True, True), ("n3", True, False)]
+    store, status = ranking.point_updates(spark.createDataFrame([(1, "p"), (2, "q")], "id int, category string"), spark.createDataFrame([(1, "x", 1), (1, "y", 2), (9, "z", 3)], "id int, category string, ord int"), "id", "category")
+    assert sorted(map(tuple, store.collect())) == [(1, "y"), (2, "q")] and sorted((r.id, r.status) for r in status.collect()) == [(1, 200), (1, 200), (9, 404)]
+    titles = spark.createDataFrame([("Hall sold - WXYZ", "s", "u"), ("Hall - build.example.org", "s", "u"), ("Hall", "Google News nj halls", "u"), ("Hall", "news.google.com", "u"), ("Hall", "Own", "https://a.known.com/x"), ("Hall", None, None)], "t string, s string, u string")
+    got = [r[0] for r in titles.select(ranking.publisher(F.col("t"), F.col("s"), F.col("u"), {"known.com": "Known"})).collect()]
+    assert got == ["WXYZ", "build.example.org", "NJ Halls", "Google News", "Known", "Source"]
