@@ -162,11 +162,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     threshold = percent / 100
     signed = saved(_signatures(docs), "signatures")
     named = signed.where(F.col("words").isNotNull() & F.col("doc_id").isNotNull())
-    classes = named.groupBy("words").agg(F.min("doc_id").alias("rep"))
+    # written, so that the joins on words stay ones whose hot keys Spark splits
+    classes = saved(named.groupBy("words").agg(F.min("doc_id").alias("rep")), "classes")
     members = saved(signed.select("doc_id", "n_shingles", "words").join(classes, "words", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.col("words").isNotNull().alias("has")), "members")
     first = named.where(F.col("bands").isNotNull()).select("words", "n_shingles", "bits", "bands").join(classes, "words")
     reps = saved(first.groupBy("rep", "words").agg(F.min(F.struct("n_shingles", "bits", "bands")).alias("x")).select("rep", "x.n_shingles", *(F.col("x.bits")[k].alias(f"s{k}") for k in range(WORDS + ODD)), "x.bands"), "representatives")
-    discard(signed)
+    discard(signed, classes)
     bands = reps.select("rep", F.explode("bands").alias("key"))
     plain = reps.drop("bands")
     side = lambda s: plain.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(f"s{k}").alias(f"s{k}_{s}") for k in range(WORDS + ODD)))
