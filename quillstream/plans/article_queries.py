@@ -177,20 +177,20 @@ def sent_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.unless_listed(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", sent, "doc_id")
 
 
-@_query(f"WITH {SYNTHETIC_SQL} SELECT id, place FROM articles a WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey <= 40 AND length(p.p_brand) > 3 AND contains(a.title, p.p_brand)) AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_acctbal < 0 AND c.c_custkey = a.author_id)")
+@_query(f"WITH {SYNTHETIC_SQL} SELECT id, place FROM articles a WHERE NOT EXISTS (SELECT 1 FROM part p WHERE length(p.p_brand) > 3 AND contains(a.title, p.p_brand)) AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_acctbal < 0 AND c.c_custkey = a.author_id)")
 def exclude_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles without those of excluded authors or naming an excluded term; the terms are all distinct brands."""
     rows = synthetic(spark, sf_dir)
-    terms = _read(spark, sf_dir, "part").where("length(p_brand) > 3").select("p_brand").distinct()
+    terms = _read(spark, sf_dir, "part").where("length(p_brand) > 3")
     authors = _read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("author_id"))
-    return rows.join(authors, "author_id", "left_anti").join(F.broadcast(terms), F.contains("title", "p_brand"), "left_anti").select("id", "place")
+    return dedup.unless_containing(rows.join(authors, "author_id", "left_anti"), "title", terms, "p_brand").select("id", "place")
 
 
 @_query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE length(b.text) > 3 AND contains(d.text, b.text))")
 def exclude_contains_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without those that hold the whole text of a benchmark item."""
-    terms = _read(spark, sf_dir, "benchmark").where("length(text) > 3").select(F.col("text").alias("term")).distinct()
-    return _read(spark, sf_dir, "documents").join(terms, F.contains("text", "term"), "left_anti").select("doc_id", "source")
+    terms = _read(spark, sf_dir, "benchmark").where("length(text) > 3")
+    return dedup.unless_containing(_read(spark, sf_dir, "documents"), "text", terms, "text").select("doc_id", "source")
 
 
 @_query(f"SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(value) AS total FROM events WHERE ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOURS GROUP BY 1")

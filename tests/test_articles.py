@@ -59,6 +59,13 @@ def test_greedy_is_not_drop_duplicates(spark):
     assert {r.id for r in got.collect()} == {"A", "C", "D"}
 
 
+def test_unless_containing(spark):
+    df = spark.createDataFrame([(1, "big red hall"), (2, "blue hall"), (3, None), (4, "green")], "id int, t string")
+    terms = spark.createDataFrame([("red",), ("red",), ("een",), (None,), ("",)], "w string")
+    for most in (1, 10):
+        assert sorted(r.id for r in dedup.unless_containing(df, "t", terms, "w", most).collect()) == [2, 3]
+
+
 def test_rounds_match_one_pass_in_order(spark):
     import random
 
