@@ -567,3 +567,26 @@ def test_pipeline_stages(spark, tmp_path):
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("operator", ["pii", "secrets", "bpe", "token_counts", "toxicity"])
+def test_rows_whatever_they_hold(spark, operator):
+    """One result a row for repeated, missing and shared ids, very long texts, nulls and columns with the operators' own names."""
+    long_text = "word " * 60_000 + "call +1 555 010 1234 or mail a.b@host.org, token = abcdefgh1234"
+    rows = [(1, "a text"), (1, "a text"), (1, "another text"), (None, "a text"), (2, None), (3, ""), (4, long_text), (5, long_text)]
+    names = ["base", "added", "blob", "findings", "content", "n_tokens", "score", "packed", "rules", "doc", "words", "lang"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in names}).repartition(3)
+    weights = (toxicity.slots_of(pa.array(["word"]))[0].astype(np.int64), np.array([0.5]), 0.1)
+    run = {
+        "pii": lambda d: pii.digest_columns(pii.detect(d, windows=96)),
+        "secrets": lambda d: secrets.digest_columns(secrets.scan(d)),
+        "bpe": lambda d: bpe.encode_documents(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+        "token_counts": lambda d: token_counts.count_tokens(d, P.path("word_bpe_49k.json")),
+        "toxicity": lambda d: toxicity.score(d, weights),
+    }[operator]
+    got = [tuple(r) for r in run(docs).collect()]
+    result = lambda k: sorted({r[1:] for r in got if r[0] == k}, key=repr)
+    assert sorted((r[0] or 0) for r in got) == [0, 1, 1, 1, 2, 3, 4, 5]
+    assert result(2) == result(3) and result(4) == result(5) != result(2) and len(result(1)) <= 2 and set(result(None)) <= set(result(1))
+    none = run(docs.limit(0))
+    assert none.count() == 0 and none.columns == run(docs).columns
