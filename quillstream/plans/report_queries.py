@@ -57,7 +57,7 @@ def region_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CORE = r"regexp_replace(lower(title), '\s+[-–—]\s+[^-–—]*$', '')"
 _SCORED = f"""WITH {BRIEFS_SQL}, x AS (SELECT *, {_TEXT_SQL} AS t, {_CORE} AS core FROM briefs),
-y AS (SELECT *, CASE WHEN coalesce(list_contains(tags, 'Brazil'), false) OR {_has("t", REGIONS.target_phrase)} THEN 1.0 WHEN {_has("t", MACRO)} THEN 0.4 ELSE 0.0 END AS points,
+y AS (SELECT *, CASE WHEN coalesce(list_contains(tags, 'Brazil'), false) OR {_has("t", REGIONS.target_phrase)} THEN 1.0::DOUBLE WHEN {_has("t", MACRO)} THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS points,
              length(trim(title)) < 20 OR NOT {_has("trim(title)", r"\s")} OR {_has("lower(title)", reports.PAGE_TITLE)} AS broken,
              {_has("t", EXCLUDED)} AND NOT coalesce(approved, false) AND NOT ({_has("core", EXCLUDED)} AND {_has("core", REGIONS.target_phrase)} AND ({_has("core", reports.COMPARES)} OR {_has("t", MACRO)}) AND category = 'relevant') AS strayed,
              {_has("t", words.JUNK)} AS junk, {_has("t", reports.INDUSTRIAL_SIGNAL)} AS signal, pub_ts AS day FROM x),
