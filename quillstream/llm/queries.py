@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bpe, lattice, lines, maxscore, minhash, mixing, pii, secrets, token_counts, toxicity
+from quillstream.llm import attention, bpe, lattice, lines, maxscore, minhash, mixing, pii, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by a causal self-attention model, learnt from the training fold."""
+    return attention.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_pii": op2_pii,
@@ -78,5 +83,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_lattice": op10_lattice,
+    "op11_attention": op11_attention,
 }
 ORACLE_SQL = {"op6_mixing": mixing.ORACLE, "op7_maxscore": maxscore.ORACLE}
