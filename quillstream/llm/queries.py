@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import attention, bpe, lattice, lines, maxscore, minhash, mixing, pii, secrets, token_counts, toxicity
+from quillstream.llm import attention, bpe, lattice, lines, maxscore, minhash, mixing, pii, secrets, token_counts, toxicity, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op11_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, the commoner form of each, and the root that forms lead to."""
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_pii": op2_pii,
@@ -84,5 +89,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_lattice": op10_lattice,
     "op11_attention": op11_attention,
+    "op13_variants": op13_variants,
 }
 ORACLE_SQL = {"op6_mixing": mixing.ORACLE, "op7_maxscore": maxscore.ORACLE}
