@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import attention, bpe, lattice, lines, maxscore, minhash, mixing, pii, secrets, token_counts, toxicity, variants
+from quillstream.llm import attention, bpe, lattice, lines, maxscore, minhash, mixing, negatives, pii, secrets, token_counts, toxicity, variants
+from quillstream.llm.shared import saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,12 @@ def op11_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every 50th vector."""
+    rows = saved(negatives.labelled_vectors(_table(spark, sf_dir, "embeddings")), "vectors")
+    return negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their near words, the commoner form of each, and the root that forms lead to."""
     return variants.variants(_table(spark, sf_dir, "documents"))
@@ -89,6 +96,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_lattice": op10_lattice,
     "op11_attention": op11_attention,
+    "op12_negatives": op12_negatives,
     "op13_variants": op13_variants,
 }
-ORACLE_SQL = {"op6_mixing": mixing.ORACLE, "op7_maxscore": maxscore.ORACLE}
+ORACLE_SQL = {"op6_mixing": mixing.ORACLE, "op7_maxscore": maxscore.ORACLE, "op12_negatives": negatives.ORACLE}
