@@ -1,4 +1,7 @@
-"""Gates over the text of an article: what kind of property and event it is about. Each gives a reason or a flag."""
+"""Gates over the text of an article: what kind of property and event it is about. Each gives a reason or a flag.
+
+A gate takes a text or the questions to it (:class:`quillstream.functions.signals.Signals`).
+"""
 
 from __future__ import annotations
 
@@ -6,67 +9,68 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstream.functions import deals, words
+from quillstream.functions.signals import Signals
 from quillstream.operators.rules import contains_any, first_match
 
 #: Reasons of :func:`industrial_reason` with which an article passes.
 INDUSTRIAL_REASONS = ["CORE_ASSET", "SUPPLY_CHAIN_ASSET", "MACRO", "DEAL_WITH_PROPERTY", "LEASE_WITH_CONTEXT", "FIRM_AND_ROLE"]
 
 
-def is_detention(text: Column) -> Column:
+def is_detention(text: Column | Signals) -> Column:
     """Whether the property is used for detention; basins and ponds of a building site are not."""
-    lower = F.lower(text)
-    of_water = [lower.rlike(p) for p in words.DETENTION_OF_WATER]
-    return lower.rlike(words.DETENTION_USE) | (lower.rlike(words.DETENTION) & ~of_water[0] & ~of_water[1])
+    s = Signals.of(text)
+    of_water = [s.matches(p) for p in words.DETENTION_OF_WATER]
+    return s.matches(words.DETENTION_USE) | (s.matches(words.DETENTION) & ~of_water[0] & ~of_water[1])
 
 
-def wrong_property(text: Column) -> Column:
+def wrong_property(text: Column | Signals) -> Column:
     """Whether a deal is about another class of property, software or personnel."""
-    return F.lower(text).rlike("|".join(words.WRONG_DEALS))
+    return Signals.of(text).matches("|".join(words.WRONG_DEALS))
 
 
-def strong_asset(text: Column) -> Column:
+def strong_asset(text: Column | Signals) -> Column:
     """Whether an industrial asset is named that outweighs another class."""
-    return F.lower(text).rlike(words.STRONG_ASSET)
+    return Signals.of(text).matches(words.STRONG_ASSET)
 
 
-def is_listing(text: Column) -> Column:
+def is_listing(text: Column | Signals) -> Column:
     """Whether a property is brought to market and no deal is done."""
-    lower = F.lower(text)
-    return lower.rlike(words.LISTING) & ~lower.rlike(words.DEAL_DONE)
+    s = Signals.of(text)
+    return s.matches(words.LISTING) & ~s.matches(words.DEAL_DONE)
 
 
-def industrial_reason(text: Column) -> Column:
+def industrial_reason(text: Column | Signals) -> Column:
     """Why an article is about industrial property, one of INDUSTRIAL_REASONS, or why it isn't; the first rule that holds.
 
     Words of the first group that holds decide: where core words are there, supply chain and deal words aren't looked at.
     """
-    t = F.lower(text)
-    core_alone = t.contains("industrial") & ~contains_any(t, [w for w in words.CORE if w != "industrial"])
+    t = Signals.of(text)
+    core_alone = t.any(["industrial"]) & ~t.any([w for w in words.CORE if w != "industrial"])
     return first_match(
         [
-            ("JUNK", t.rlike(words.JUNK)),
-            ("PAGE_INDEX", t.rlike(words.PAGE_INDEX)),
+            ("JUNK", t.matches(words.JUNK)),
+            ("PAGE_INDEX", t.matches(words.PAGE_INDEX)),
             ("DETENTION", is_detention(t)),
-            ("OFFICE_LED", t.rlike(words.OFFICE_LED) & ~t.rlike(words.ASSET_NAMED)),
-            ("OTHER_PROPERTY", contains_any(t, words.NOT_INDUSTRIAL) & ~contains_any(t, words.KEPT_ANYWAY)),
-            ("INDUSTRIAL_ALONE", core_alone & ~t.rlike(words.PROPERTY_SIGNAL)),
-            ("CORE_ASSET", contains_any(t, words.CORE)),
-            ("SUPPLY_CHAIN_ASSET", contains_any(t, words.SUPPLY_CHAIN) & t.rlike(words.PHYSICAL_ASSET)),
-            ("SUPPLY_CHAIN_ALONE", contains_any(t, words.SUPPLY_CHAIN)),
-            ("MACRO", contains_any(t, words.MACRO)),
-            ("VEHICLE_AD", contains_any(t, words.DEAL_SIGNALS) & t.rlike(words.VEHICLE_AD)),
-            ("DEAL_WITH_PROPERTY", contains_any(t, words.DEAL_SIGNALS) & t.rlike(words.PROPERTY_CONTEXT)),
-            ("DEAL_ALONE", contains_any(t, words.DEAL_SIGNALS)),
-            ("LEASE_WITH_CONTEXT", contains_any(t, words.LEASE_WORDS) & (t.rlike(words.LEASE_CONTEXT) | t.rlike(words.LAND_SIGNAL))),
-            ("FIRM_AND_ROLE", contains_any(t, words.FIRMS) & contains_any(t, words.ROLES)),
+            ("OFFICE_LED", t.matches(words.OFFICE_LED) & ~t.matches(words.ASSET_NAMED)),
+            ("OTHER_PROPERTY", t.any(words.NOT_INDUSTRIAL) & ~t.any(words.KEPT_ANYWAY)),
+            ("INDUSTRIAL_ALONE", core_alone & ~t.matches(words.PROPERTY_SIGNAL)),
+            ("CORE_ASSET", t.any(words.CORE)),
+            ("SUPPLY_CHAIN_ASSET", t.any(words.SUPPLY_CHAIN) & t.matches(words.PHYSICAL_ASSET)),
+            ("SUPPLY_CHAIN_ALONE", t.any(words.SUPPLY_CHAIN)),
+            ("MACRO", t.any(words.MACRO)),
+            ("VEHICLE_AD", t.any(words.DEAL_SIGNALS) & t.matches(words.VEHICLE_AD)),
+            ("DEAL_WITH_PROPERTY", t.any(words.DEAL_SIGNALS) & t.matches(words.PROPERTY_CONTEXT)),
+            ("DEAL_ALONE", t.any(words.DEAL_SIGNALS)),
+            ("LEASE_WITH_CONTEXT", t.any(words.LEASE_WORDS) & (t.matches(words.LEASE_CONTEXT) | t.matches(words.LAND_SIGNAL))),
+            ("FIRM_AND_ROLE", t.any(words.FIRMS) & t.any(words.ROLES)),
         ],
         "NO_SIGNAL",
     )
 
 
-def is_industrial(text: Column) -> Column:
+def is_industrial(text: Column | Signals) -> Column:
     """Whether an article is about industrial property or its market."""
-    return industrial_reason(text).isin(INDUSTRIAL_REASONS)
+    return Signals.of(text).once("industrial", lambda s: industrial_reason(s).isin(INDUSTRIAL_REASONS))
 
 
 def data_centre_verdict(text: Column, in_region: Column, elsewhere: Column) -> Column:

@@ -1,6 +1,6 @@
 """Section filters of an edition: each gives accepted, with the rule that let the article in, or why it stays out.
 
-``text``: title, description and summary in one. ``approved``: the editor's or model's verdict, null for none.
+``text``: title, description and summary in one, or the questions to it. ``approved``: the editor's or model's verdict, null for none.
 ``elsewhere``: hits of other regions in the text.
 """
 
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions import deals, gates, words
-from quillstream.operators.rules import contains_any, first_match
+from quillstream.functions.signals import Signals, decided
+from quillstream.operators.rules import first_match
 
 #: What every accepted verdict begins with.
 ACCEPTED = "ACCEPTED"
@@ -28,87 +29,92 @@ def refused(approved: Column, elsewhere: Column | None = None) -> Column:
     return no if elsewhere is None else no & (elsewhere > 0)
 
 
-def is_political(text: Column) -> Column:
+def is_political(text: Column | Signals) -> Column:
     """Whether a text is about politics, conflict or accidents."""
-    return contains_any(text, words.POLITICAL)
+    return Signals.of(text).any(words.POLITICAL)
 
 
-def relevant_verdict(text: Column, approved: Column, keywords: list[str] = words.RELEVANT) -> Column:
+def relevant_verdict(text: Column | Signals, approved: Column, keywords: list[str] = words.RELEVANT) -> Column:
     """Articles on the industrial market with one of the keywords."""
     return first_match(
         [
             ("RUBRIC_REJECT", refused(approved)), ("POLITICAL_CONTENT", is_political(text)), ("NOT_INDUSTRIAL", ~gates.is_industrial(text)),
-            ("NO_RELEVANT_KEYWORDS", ~contains_any(text, keywords)),
+            ("NO_RELEVANT_KEYWORDS", ~Signals.of(text).any(keywords)),
         ], "ACCEPTED",
     )
 
 
-def transaction_verdict(text: Column, approved: Column) -> Column:
+def transaction_verdict(text: Column | Signals, approved: Column) -> Column:
     """Deals: approvals of any size, sizes and prices from the threshold on; listings are none."""
     return first_match(
         [
             ("RUBRIC_REJECT", refused(approved)), ("POLITICAL_CONTENT", is_political(text)),
             ("WRONG_PROPERTY_TYPE", gates.wrong_property(text) & ~gates.strong_asset(text)), ("NOT_INDUSTRIAL", ~gates.is_industrial(text)),
-            ("LISTING_EVENT_NOT_DEAL", gates.is_listing(text)), ("ACCEPTED_APPROVAL", contains_any(text, deals.APPROVAL_WORDS)),
-            ("ACCEPTED_THRESHOLD", deals.meets_threshold(text)), ("ACCEPTED_ACTION", contains_any(text, words.DEAL_ACTIONS) & (deals.size_sf(text) >= 50_000)),
+            ("LISTING_EVENT_NOT_DEAL", gates.is_listing(text)), ("ACCEPTED_APPROVAL", Signals.of(text).any(deals.APPROVAL_WORDS)),
+            ("ACCEPTED_THRESHOLD", Signals.of(text).once("deal", lambda s: deals.meets_threshold(s.text))), ("ACCEPTED_ACTION", Signals.of(text).any(words.DEAL_ACTIONS) & (Signals.of(text).once("size", lambda s: deals.size_sf(s.text)) >= 50_000)),
         ], "BELOW_DEAL_THRESHOLD",
     )
 
 
-def availability_verdict(text: Column, approved: Column, elsewhere: Column) -> Column:
+def availability_verdict(text: Column | Signals, approved: Column, elsewhere: Column) -> Column:
     """Space and land on the market, by listing, words or a stated size."""
     industrial = gates.is_industrial(text)
     return first_match(
         [
             ("RUBRIC_REJECT", refused(approved, elsewhere)), ("POLITICAL_CONTENT", is_political(text)), ("ACCEPTED_LISTING", gates.is_listing(text) & industrial),
-            ("ACCEPTED_WORDS", contains_any(text, words.AVAILABLE)), ("NOT_INDUSTRIAL", ~industrial), ("ACCEPTED_SIZE", deals.size_sf(text) > 0),
+            ("ACCEPTED_WORDS", Signals.of(text).any(words.AVAILABLE)), ("NOT_INDUSTRIAL", ~industrial), ("ACCEPTED_SIZE", Signals.of(text).once("size", lambda s: deals.size_sf(s.text)) > 0),
         ], "SECTION_RULE_FAILED",
     )
 
 
-def person_signal(title: Column, text: Column) -> Column:
+def person_signal(title: Column | Signals, text: Column | Signals) -> Column:
     """Whether a person is meant: a personnel verb in the title or a role in the text."""
-    return F.lower(F.coalesce(title, F.lit(""))).rlike(words.PERSON_TITLE) | contains_any(text, words.PERSON_ROLES)
+    return Signals.of(title).matches(words.PERSON_TITLE) | Signals.of(text).any(words.PERSON_ROLES)
 
 
-def people_action(title: Column, text: Column) -> Column:
+def people_action(title: Column | Signals, text: Column | Signals) -> Column:
     """A personnel action; verbs that companies share count only beside a person."""
     clear = [w for w in words.PEOPLE_ACTIONS if w not in words.OF_COMPANIES_TOO]
     shared = [w for w in words.PEOPLE_ACTIONS if w in words.OF_COMPANIES_TOO]
-    return contains_any(text, clear) | (contains_any(text, shared) & person_signal(title, text))
+    return Signals.of(text).any(clear) | (Signals.of(text).any(shared) & person_signal(title, text))
 
 
-def people_verdict(title: Column, text: Column, approved: Column, elsewhere: Column) -> Column:
+def people_verdict(title: Column | Signals, text: Column | Signals, approved: Column, elsewhere: Column) -> Column:
     """Moves of people in the industry."""
-    head = F.lower(F.coalesce(title, F.lit("")))
-    about = head.rlike(words.PEOPLE_TITLE) | head.startswith("people:") | head.startswith("people |") | contains_any(text, words.PEOPLE_BODY)
+    head = Signals.of(title)
+    about = head.matches(words.PEOPLE_TITLE) | head.text.startswith("people:") | head.text.startswith("people |") | Signals.of(text).any(words.PEOPLE_BODY)
     return first_match(
         [
-            ("RUBRIC_REJECT", refused(approved, elsewhere)), ("POLITICAL_CONTENT", is_political(text)), ("EXCLUDED_BY_LIST", contains_any(text, words.NOT_FOR_PEOPLE)),
-            ("CATEGORY_MISMATCH", ~about & contains_any(text, words.DEAL_ACTIONS)), ("NO_PEOPLE_ACTION", ~people_action(title, text)),
-            ("NOT_INDUSTRIAL", ~(contains_any(text, words.INDUSTRY_NAMES) | text.rlike(words.AGENCY_TOKEN))),
+            ("RUBRIC_REJECT", refused(approved, elsewhere)), ("POLITICAL_CONTENT", is_political(text)), ("EXCLUDED_BY_LIST", Signals.of(text).any(words.NOT_FOR_PEOPLE)),
+            ("CATEGORY_MISMATCH", ~about & Signals.of(text).any(words.DEAL_ACTIONS)), ("NO_PEOPLE_ACTION", ~people_action(title, text)),
+            ("NOT_INDUSTRIAL", ~(Signals.of(text).any(words.INDUSTRY_NAMES) | Signals.of(text).matches(words.AGENCY_TOKEN))),
         ], "ACCEPTED",
     )
 
 
-def routable_deal(text: Column, in_region: Column) -> Column:
+def routable_deal(text: Column | Signals, in_region: Column) -> Column:
     """A deal of the region that missed the cut of the transactions and may stand among the relevant articles."""
     fits = in_region & ~is_political(text) & ~(gates.wrong_property(text) & ~gates.strong_asset(text)) & gates.is_industrial(text)
-    return fits & (contains_any(text, words.DEAL_ACTIONS) | contains_any(text, deals.APPROVAL_WORDS) | deals.size_sf(text).isNotNull() | text.rlike(r"\$\s*\d"))
+    return fits & (Signals.of(text).any(words.DEAL_ACTIONS) | Signals.of(text).any(deals.APPROVAL_WORDS) | Signals.of(text).once("size", lambda s: deals.size_sf(s.text)).isNotNull() | Signals.of(text).matches(r"\$\s*\d"))
 
 
-def rescued_to_people(title: Column, text: Column, in_region: Column, approved: Column, elsewhere: Column) -> Column:
+def rescued_to_people(title: Column | Signals, text: Column | Signals, in_region: Column, approved: Column, elsewhere: Column) -> Column:
     """Whether a relevant article moves to people: a personnel verb in the title, the region and the people filter."""
-    return F.lower(F.coalesce(title, F.lit(""))).rlike(words.RESCUE_TITLE) & in_region & people_verdict(title, text, approved, elsewhere).startswith(ACCEPTED)
+    return Signals.of(title).matches(words.RESCUE_TITLE) & in_region & people_verdict(title, text, approved, elsewhere).startswith(ACCEPTED)
 
 
 def with_verdicts(articles: DataFrame, in_region: str = "in_region", elsewhere: str = "elsewhere", approved: str = "approved") -> DataFrame:
-    """Articles (title, description) with the verdict of every section: relevant, transactions, availabilities, people."""
-    text, title = text_of(F.col("title"), F.col("description")), F.col("title")
-    bound = articles.withColumn("_text", text)
-    t, yes, other = F.col("_text"), F.col(approved), F.col(elsewhere)
-    out = bound.withColumns({
-        "relevant": relevant_verdict(t, yes), "transactions": transaction_verdict(t, yes), "availabilities": availability_verdict(t, yes, other),
-        "people": people_verdict(title, t, yes, other), "routable": routable_deal(t, F.col(in_region)), "rescued": rescued_to_people(title, t, F.col(in_region), yes, other),
-    })
-    return out.drop("_text")
+    """Articles (title, description) with the verdict of every section: relevant, transactions, availabilities, people.
+
+    What the verdicts ask of a text is answered once: terms in one pass, each pattern once.
+    """
+    yes, other, here = F.col(approved), F.col(elsewhere), F.col(in_region)
+
+    def verdicts(text: Signals, head: Signals) -> dict[str, Column]:
+        people = people_verdict(head, text, yes, other)
+        return {
+            "relevant": relevant_verdict(text, yes), "transactions": transaction_verdict(text, yes), "availabilities": availability_verdict(text, yes, other), "people": people,
+            "routable": routable_deal(text, here), "rescued": rescued_to_people(head, text, here, yes, other),
+        }
+
+    return decided(articles, {"text": text_of(F.col("title"), F.col("description")), "head": F.lower(F.col("title"))}, verdicts)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions import deals, gates, links, words
+from quillstream.functions.signals import decided
 from quillstream.operators import regions, sections
 from quillstream.sources.briefs import BRIEFS_SQL, REGIONS, briefs
 
@@ -117,12 +118,11 @@ placed AS (SELECT *, CASE WHEN failure IS NOT NULL OR abroad THEN false WHEN hos
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = briefs(spark, sf_dir)
-    title, description, text = F.col("title"), F.col("description"), sections.text_of(F.col("title"), F.col("description"))
-    return rows.withColumns({
-        "text": text, "hits": regions.target_count(text, REGIONS), "elsewhere": regions.excluded_count(text, REGIONS), "failure": regions.geography_failure(title, description, REGIONS),
-        "in_region": regions.is_target_region(title, description, F.col("url"), F.col("tags"), REGIONS),
-    })
+    """Articles with what is known of their places, and whether they are set in the target."""
+    rows = regions.with_places(briefs(spark, sf_dir), REGIONS)
+    title, description = F.col("title"), F.col("description")
+    in_region = regions.is_target_region(title, description, F.col("url"), F.col("tags"), REGIONS, regions.place_of(rows))
+    return rows.withColumns({"text": sections.text_of(title, description), "in_region": in_region})
 
 
 @_query(f"""WITH {BRIEFS_SQL}, x AS (SELECT ord, lower(title || ' ' || coalesce(description, '')) AS t FROM briefs), y AS (SELECT *, {_INDUSTRIAL} AS reason FROM x)
@@ -130,9 +130,15 @@ SELECT ord, reason, reason IN {_PASSES} AS passes, {_wrong("t")} AS wrong_proper
 def industrial_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why an article is about industrial property or isn't, and the flags beside it."""
     text = sections.text_of(F.col("title"), F.col("description"))
-    rows = briefs(spark, sf_dir).select("ord", text.alias("t")).withColumn("reason", gates.industrial_reason(F.col("t")))
-    t = F.col("t")
-    return rows.select("ord", "reason", F.col("reason").isin(gates.INDUSTRIAL_REASONS).alias("passes"), gates.wrong_property(t).alias("wrong_property"), gates.strong_asset(t).alias("strong_asset"), gates.is_detention(t).alias("detention"), gates.is_listing(t).alias("listing"))
+    return gates_of(briefs(spark, sf_dir).select("ord", text.alias("t")), "t").drop("t")
+
+
+def gates_of(rows: DataFrame, text: str) -> DataFrame:
+    """Rows with the reason of the industrial gate and the flags beside it."""
+    return decided(rows, {"text": F.col(text)}, lambda text: {
+        "reason": text.once("reason", gates.industrial_reason), "passes": text.once("reason", gates.industrial_reason).isin(gates.INDUSTRIAL_REASONS), "wrong_property": gates.wrong_property(text),
+        "strong_asset": gates.strong_asset(text), "detention": gates.is_detention(text), "listing": gates.is_listing(text),
+    })
 
 
 @_query(f"""WITH {_PLACED} SELECT ord, CAST(hits AS INTEGER) AS target_hits, CAST(elsewhere AS INTEGER) AS other_hits, failure, in_region,
@@ -142,8 +148,9 @@ CASE WHEN coalesce(description, '') = '' THEN true WHEN {_any("lower(title || '
 def region_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of region words, why an article fails by geography, and the gates for target and other regions."""
     rows = _placed(spark, sf_dir)
-    described = regions.passes_with_description(F.col("title"), F.col("description"), F.col("source"), F.col("category"), REGIONS)
-    return rows.select("ord", F.col("hits").alias("target_hits"), F.col("elsewhere").alias("other_hits"), "failure", "in_region", regions.not_excluded(F.col("text"), REGIONS).alias("not_excluded"), described.alias("passes_described"))
+    place = regions.place_of(rows)
+    described = regions.passes_with_description(F.col("title"), F.col("description"), F.col("source"), F.col("category"), REGIONS, place)
+    return rows.select("ord", F.col("hits").alias("target_hits"), F.col("elsewhere").alias("other_hits"), "failure", "in_region", regions.not_excluded(F.col("text"), REGIONS, place).alias("not_excluded"), described.alias("passes_described"))
 
 
 @_query(f"""WITH {_PLACED}, x AS (SELECT *, {_BILLIONS} AS billions, {_MEGAWATTS} AS megawatts FROM placed)
