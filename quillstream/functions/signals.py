@@ -13,11 +13,21 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A word bound by ASCII letters, digits and the underscore alone; the JVM's own goes by Unicode letters.
+_BOUND = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose word bounds follow ASCII."""
+    return pattern.replace(r"\b", _BOUND)
+
+
 class Signals:
     """Questions to one text, each answered where it stands."""
 
@@ -39,7 +49,7 @@ class Signals:
 
     def matches(self, pattern: str) -> Column:
         """Whether the text matches a pattern somewhere."""
-        return self.text.rlike(pattern)
+        return self.text.rlike(ascii_bounds(pattern))
 
     def once(self, name: str, of: Callable[[Signals], Column]) -> Column:
         """A value that several rules use."""
@@ -62,7 +72,7 @@ class Collected(Signals):
 
     def _asked(self, kind: str, terms: list[str]) -> Column:
         place = self.lists.setdefault((kind, tuple(terms)), len(self.lists))
-        return F.col(f"_{self.name}_hits")[place]
+        return F.col(f"_{self.name}_hits.h{place}")
 
     def any(self, terms: list[str]) -> Column:
         return self._asked("count", terms) > 0
@@ -125,14 +135,14 @@ _built: dict[int, Automaton] = {}
 def _hits(text: Column, lists: list[tuple[str, tuple[str, ...]]]) -> Column:
     key = hash(tuple(lists))
 
-    @F.pandas_udf("array<int>")
-    def hits(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(", ".join(f"h{k} int" for k in range(len(lists))))
+    def hits(texts: pd.Series) -> pd.DataFrame:
         if key not in _built:
             if len(_built) > 8:
                 _built.clear()
             _built[key] = Automaton(lists)
         machine = _built[key]
-        return pd.Series([machine.hits(t) for t in texts])
+        return pd.DataFrame(np.array([machine.hits(t) for t in texts], np.int32).reshape(-1, machine.size), columns=[f"h{k}" for k in range(machine.size)])
 
     return hits(text)
 
@@ -147,7 +157,7 @@ def decided(df: DataFrame, texts: dict[str, Column], rules: Callable[..., dict[s
         if s.lists:
             held = held.withColumn(f"_{name}_hits", _hits(s.text, list(s.lists)))
             own.append(f"_{name}_hits")
-    held = held.withColumns({column: s.text.rlike(pattern) for s in asked.values() for pattern, column in s.patterns.items()})
+    held = held.withColumns({column: s.text.rlike(ascii_bounds(pattern)) for s in asked.values() for pattern, column in s.patterns.items()})
     own += [column for s in asked.values() for column in s.patterns.values()]
     for name, s in asked.items():
         for value, column in s.values.items():

@@ -151,3 +151,125 @@ EMPTY_TALK = [
     "without more context", "without additional details", "the article appears to", "no specific commercial real estate", "no specific deal", "no specific transaction", "is mentioned in the title",
     "mentioned in the title or description", "a general trend is implied", "trend is implied", "the title or description", "no specific real estate",
 ]
+
+# The rule engine. Sources that it takes, its keywords in order, places of the market and beyond.
+ENGINE_SOURCES = [
+    "news.google.com", "re-nj.com", "commercialsearch.com", "wsj.com", "bisnow.com", "globest.com", "naiop.org", "cpexecutive.com", "bizjournals.com", "loopnet.com", "costar.com", "lvb.com",
+    "dailyrecord.com", "njbiz.com", "connectcre.com", "credaily.com", "therealdeal.com", "freightwaves.com", "supplychaindive.com", "bloomberg.com", "reuters.com", "apnews.com", "cbre.com",
+    "jll.com", "cushwake.com", "colliers.com", "traded.co", "areadevelopment.com", "inboundlogistics.com", "naikeystone.com", "naiplatform.com", "rebusinessonline.com", "commercialcafe.com",
+    "commercialobserver.com", "rejournals.com", "dcvelocity.com", "ttnews.com", "constructiondive.com", "prologis.com", "prnewswire.com", "globenewswire.com", "businesswire.com", "connect.media",
+    "roi-nj.com", "njspotlightnews.org", "logisticsviewpoints.com", "joc.com", "retaildive.com", "sior.com",
+]
+ENGINE_INDUSTRIAL = [
+    "industrial", "warehouse", "distribution", "logistics", "fulfillment", "supply chain", "cold storage", "manufacturing", "last-mile", "last mile", "truck terminal", "cross-dock", "cross dock",
+    "flex industrial", "flex space", "ios", "industrial outdoor storage", "trailer parking", "dock doors", "loading dock", "clear height", "warehouse space", "distribution center",
+    "fulfillment center", "logistics center", "industrial park", "spec industrial", "intermodal", "drayage", "3pl", "data center",
+]
+ENGINE_INTENT = [
+    "real estate", "lease", "leasing", "cre", "acquisition", "development", "property", "commercial", "investment", "tenant", "brokerage", "site selection", "flex", "facility", "intermodal",
+    "build-to-suit", "entitlement", "zoning", "redevelopment", "clear height", "reit", "value-add", "pipeline", "opportunity zone", "supply chain", "expansion", "adaptive reuse", "irr",
+    "loan-to-value", "ltv", "valuation", "joint venture", "yield", "noi", "net operating income",
+]
+ENGINE_EXCLUDED = [
+    "residential", "apartment", "condo", "single family", "hotel", "multifamily", "homebuilder", "hospitality", "self-storage", "self storage", "office building", "office lease", "office space",
+    "class a office", "retail center", "shopping center", "strip mall", "outlet mall", "trump", "biden", "president trump", "president biden", "white house", "congress", "senate", "republican",
+    "democrat", "political", "election", "executive order", "administration", "tariff war", "trade war", "governor", "legislation", "campaign", "ballot", "voting", "gop", "supreme court", "cabinet",
+    "impeach", "partisan", "bipartisan", "shutdown", "debt ceiling", "stimulus", "government spending", "foreign policy", "military", "defense budget", "pentagon", "nato", "sanctions", "diplomatic",
+    "elon musk", "musk", "spacex", "doge", "jeff bezos", "mark zuckerberg", "zuckerberg", "bill gates", "india", "china", "uk", "europe", "asia", "mexico", "canada", "london", "beijing", "shanghai",
+    "mumbai", "delhi", "tokyo", "hong kong", "singapore", "dubai", "australia", "germany", "france", "stock price", "earnings report", "quarterly earnings", "ipo", "cryptocurrency", "bitcoin",
+    "crypto", "nft", "layoffs", "job cuts", "workforce reduction", "super bowl", "world series", "playoffs", "championship", "movie", "film", "streaming", "netflix", "disney", "black friday",
+    "cyber monday", "holiday shopping", "consumer spending",
+]
+MARKET_PLACES = [
+    "new jersey", "nj", "pennsylvania", "pa", "florida", "fl", "port newark", "elizabeth", "newark", "jersey city", "bayonne", "trenton", "camden", "princeton", "morris county", "bergen county",
+    "hudson county", "essex county", "middlesex county", "union county", "monmouth county", "somerset county", "central jersey", "north jersey", "south jersey", "shore", "philadelphia", "pittsburgh",
+    "lehigh valley", "allentown", "bethlehem", "easton", "bucks county", "montgomery county", "chester county", "delaware county", "miami", "tampa", "orlando", "jacksonville", "fort lauderdale",
+    "west palm", "palm beach", "fort myers", "naples", "south florida", "gold coast", "treasure coast", "space coast", "miami-dade", "broward", "hillsborough", "duval",
+]
+OTHER_MARKETS = [
+    "texas", "houston", "dallas", "austin", "san antonio", "fort worth", "dfw", "dallas-fort worth", "plano", "irving", "arlington", "california", "los angeles", "san francisco", "bay area",
+    "silicon valley", "san diego", "sacramento", "seattle", "portland", "denver", "phoenix", "las vegas", "salt lake", "boise", "tucson", "albuquerque", "chicago", "detroit", "minneapolis",
+    "st. louis", "kansas city", "columbus", "indianapolis", "milwaukee", "cincinnati", "cleveland", "atlanta", "nashville", "charlotte", "raleigh", "richmond", "memphis", "birmingham", "charleston",
+    "new orleans", "boston", "connecticut", "massachusetts", "baltimore", "maryland", "virginia", "washington dc", "washington, dc", "washington, d.c.", "d.c.", "el segundo", "rancho dominguez",
+    "rancho cucamonga", "perris", "hesperia", "caddo parish", "shreveport", "louisiana", "niles, il", "niles, ohio", "costa mesa", "pinellas park", "soho", "midtown manhattan", "tribeca", "suffern",
+    "westchester county", "tustin", "irvine", "anaheim", "santa ana", "long beach", "oakland", "fremont", "san jose",
+]
+ENGINE_OVERRIDES = ["github.com", "github.io"]
+ENGINE_AVAILABLE = ["for sale", "for lease", "available", "listing", "on the market", "now available", "space available"]
+ENGINE_PEOPLE = [
+    "appointed", "named", "joined", "hired", "promoted", "executive", "ceo", "president", "taps", "nabs", "welcomes", "adds", "brings on", "recruits", "partner", "vice president",
+    "managing director", "director", "chairman", "board", "leadership", "movers", "shakers",
+]
+ENGINE_BROKERS = ["nai", "cbre", "jll", "cushman", "colliers", "newmark", "marcus", "millichap", "sior", "ccim"]
+ENGINE_INVESTORS = ["investor", "buys", "buyer", "acquires", "sells", "seller", "portfolio"]
+ENGINE_DEALS = [
+    "sells", "sold", "acquires", "acquired", "lease", "leased", "leases", "sale", "transaction", "closes on", "closed deal", "signs", "signed", "deal", "tenant", "occupies", "moves into", "relocates",
+]
+ENGINE_OTHER_TRADE = ["stock", "shares", "software", "technology", "retail sales", "consumer spending", "revenue", "earnings"]
+ENGINE_PRICES = [r"\$[\d.,]+(?:million|m|billion|b|k|thousand)", r"\d+(?:\s*million|\s*billion|\s*thousand|\s*k)"]
+ENGINE_SIZES = [r"\d+(?:,\d+)*\s*(?:sf|sq\.?ft|square\s*feet|sqft)", r"\d+(?:\.\d+)?\s*(?:acre|acres)"]
+
+# The gate of the build.
+BUILD_INDUSTRIAL = [
+    "industrial", "warehouse", "logistics", "distribution", "manufacturing", "cold storage", "last-mile", "last mile", "industrial outdoor storage", "ios", "industrial land", "fulfillment",
+    "flex space", "spec industrial", "industrial park", "loading dock", "supply chain", "freight", "trucking", "shipping", "cargo", "e-commerce", "ecommerce", "automation", "robotics", "data center",
+    "cross-dock", "cross dock", "build-to-suit", "vacancy rate",
+]
+BUILD_REGIONAL = [
+    "re-nj.com", "njbiz.com", "lvb.com", "bisnow.com/new-jersey", "bisnow.com/philadelphia", "bisnow.com/south-florida", "therealdeal.com/miami",
+]
+BUILD_REGIONAL_CLOSE = ["re-nj.com", "njbiz.com", "roi-nj.com"]
+BUILD_PREFERRED = ["globest.com", "naiopnj.org", "naioppa.org", "connect.media", "bisnow.com", "re-nj.com"]
+BUILD_VIDEO = r"/videos?/|\.mp4$|video\.foxbusiness|video\.cnbc"
+BUILD_CATALOGUE = r"\s+[-–—|]\s+(?:loopnet|propertyshark|commercialsearch|crexi|traded\.co|dvids)\s*$"
+BUILD_LOW_SIGNAL = r"supplychainbrain\.com/articles|dvidshub\.net|\bdvids\.net|defense\.gov|\baf\.mil|\barmy\.mil|\bnavy\.mil"
+BUILD_TARGET = (
+    r"\b(N\.?J\.?|NEW\s+JERSEY|P\.?A\.?|PENNSYLVANIA|PHILADELPHIA|F\.?L\.?|FLORIDA|MIAMI|TAMPA|ORLANDO|JACKSONVILLE|NEWARK|JERSEY\s+CITY|EDISON|ELIZABETH|TRENTON|RAHWAY|ALLENTOWN|BETHLEHEM|"
+    r"LEHIGH\s+VALLEY|HOBOKEN|MEADOWLANDS|FORT\s+LAUDERDALE|MIAMI-DADE|BROWARD\s+COUNTY|PALM\s+BEACH|BERGEN\s+COUNTY|HUDSON\s+COUNTY|MIDDLESEX\s+COUNTY|MONMOUTH\s+COUNTY|OCEAN\s+COUNTY|"
+    r"MERCER\s+COUNTY|SOMERSET\s+COUNTY|ESSEX\s+COUNTY)\b"
+)
+BUILD_PEOPLE = r"\b(WELCOMES|JOINS|APPOINTED|PROMOTED|HIRED|NEW HIRE|TAPS|RECRUITS|ELEVATED|MARKS MILESTONE|ANNIVERSARY)\b"
+BUILD_REGIONAL_CONTEXT = r"\b(COMMERCIAL|REAL ESTATE|CRE|LEASE|SOLD|ACQUIRED|DEVELOPMENT|CONSTRUCTION|TENANT|BROKER|REIT|PORTFOLIO|TRANSACTION|SQUARE FEET|SF\b|ACRE)\b"
+BUILD_PREFERRED_CONTEXT = (
+    r"\b(COMMERCIAL REAL ESTATE|CRE|LEASE|SOLD|ACQUIRED|DEVELOPMENT|CONSTRUCTION|TENANT|REIT|PORTFOLIO|TRANSACTION|SQUARE FEET|INTEREST RATE|INFLATION|FREIGHT|SUPPLY CHAIN|CAP RATE|FOR SALE|"
+    r"FOR LEASE|ACQUISITION|DISPOSITION)\b"
+)
+BUILD_STRONG = r"\b(COMMERCIAL REAL ESTATE|CRE|REIT|CAP RATE|NOI|SQUARE FEET|MILLION SF|FOR LEASE|FOR SALE|ACQUISITION|DISPOSITION|BUILD-TO-SUIT|GROUND-UP|SPEC DEVELOPMENT)\b"
+
+# Categories given anew. Titles of index pages, and what texts and titles say.
+INDEX_PAGE = r"^\s*(tag|category|archive|topic|author)\s*:"
+ROUNDUP = r"top\s+industrial\s+leases\s+recognized\s+for\b"
+STUBS = ["industrial"]
+CRE_CONTEXT = r"\b(warehouses?|logistics|industrials?|distribution(?:\s*centers?)?|manufacturing|cold\s*storage|fulfillment|flex\s*space|commercial\s*real\s*estate|cre|reits?|portfolios?)\b"
+STILL_INDUSTRIAL = r"\b(warehouses?|industrials?|logistics|distribution|manufacturing|cold\s*storage|fulfillment)\b"
+DOLLARS = [r"\$[\d,]+", r"\d+\s*(million|m)\b"]
+SQUARE_FEET = r"\d+[,\d]*\s*(sf|sq\.?\s*ft|square\s*feet)"
+TRADED = (
+    r"\b(purchased|purchases?|acquires?d?|bought|buys?|signs?\s*lease|leases?d?|closed|closes|sale\s*of|sells|sold\s*(to|for)?|acquisition|disposition|refinanc|takes?\s*\d|snags?|nabs?|lands?|inks?|"
+    r"brokers?\s*sale|arranges?\s*sale|manages?\s*sale|secures?|scores?)"
+)
+ON_OFFER = r"\b(available|listed|for\s*lease|for\s*sale|on\s*the\s*market|ground-?up|spec|build-?to-?suit|under\s*construction|breaks\s*ground|groundbreaking|delivers|delivered)\b"
+SOME_PROPERTY = r"\b(warehouses?|industrials?|distribution|logistics|buildings?|facilit(?:y|ies)|propert(?:y|ies)|centers?|parks?|sites?|acres|square\s*feet|sf|sq\.?\s*ft|space|campus(?:es)?|complex(?:es)?|portfolios?)\b"
+MOVED = r"\b(promoted|hired|new\s*hire|joins|joined|named|appoints|appointed|taps|welcomes|recruits|elevated)\b"
+PROFILE = (
+    r"(\w+['’]s\s+\w+\s+on\s+\w|\w+\s+on\s+breaking\s+into|q\s*&\s*a\s+with|interview\s+with|in\s+conversation\s+with|women\s+of\s+influence|head\s+of\s+\w+.*answers|"
+    r"vice\s+president.*\b(answers|shares|discusses|explains))"
+)
+FIRM_NAMED = (
+    r"\b(brokerage|broker|development|developer|real estate|industrial|cre|reit|logistics|warehouse|nai|cbre|jll|cushman|colliers|newmark|prologis|blackstone|bridge industrial|locus\s*robotics|sagard|"
+    r"woodmont)\b"
+)
+LISTING_SITE = r"\bloopnet\b"
+MARKETED = (
+    r"\b(for\s*lease|for\s*sale|now\s*leasing|now\s*available|seeking\s*tenants|available\s*for\s*lease|available\s*for\s*sale|for\s*sublease|on\s*the\s*market|space\s*available|build-?to-?suit|vacant)\b"
+)
+COMPLETED = r"\b(sold|acquired|bought|purchased|leased|closed|signed|inked|secured|landed)\b"
+TITLE_MARKETED = (
+    r"\b(for\s*lease|for\s*sale|now\s*leasing|now\s*available|for\s*sublease|on\s*the\s*market|space\s*available|vacant|delivers|delivered|breaks\s*ground|groundbreaking|under\s*construction)\b"
+)
+NEW_SUPPLY = (
+    r"\b(breaks\s*ground|groundbreaking|under\s*construction|starts?\s*work|starts?\s*construction|delivers|delivered|spec\s*(industrial|warehouse|building|development)|"
+    r"plans\s*(to\s*build|construction|development|facility|warehouse|logistics|distribution)|proposed\s*(warehouse|industrial|logistics|distribution)|"
+    r"new\s*(warehouse|industrial|logistics|distribution)\s*(facility|building|center|park|development))\b"
+)
+TITLE_MOVED = r"\b(hired|appointed|promoted|named|joins|joined|taps|welcomes|hires|appoints|promotes|names)\b"
