@@ -1,7 +1,8 @@
 """Greedy choices in order as rounds of joins: what no earlier row can touch any more is decided at once.
 
-Both loops give what one pass over all rows in order gives. A round decides at least the first open row or pair of every
-connected part, so rounds grow with the longest chain of dependencies, not with the rows. Hot keys are pre-aggregated (a
+Both loops give what one pass over all rows in order gives. A round decides every open row or pair that waits for no
+other, so rounds grow with the longest chain of dependencies, not with the rows or their groups. Tables of a round are
+deleted when the next one stands. Hot keys are pre-aggregated (a
 minimum) and otherwise only joined on, so no task holds a key's rows.
 """
 
@@ -29,7 +30,21 @@ def written(df: DataFrame) -> DataFrame:
         root = f"file://{_own_folder}"
     path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _together(tables: list[DataFrame], schema: DataFrame) -> DataFrame:
+    """Tables of one schema as one scan."""
+    return schema.sparkSession.read.schema(schema.schema).parquet(*(t._written for t in tables)) if tables else schema.limit(0)
 
 
 def first_without_conflict(df: DataFrame, id_col: str, order_col: str, keys: Column) -> DataFrame:
@@ -40,32 +55,42 @@ def first_without_conflict(df: DataFrame, id_col: str, order_col: str, keys: Col
     # names that no column has: within lambdas a name of the same select would be taken for the table's own
     raw = df.select(F.col(id_col).alias("_r_id"), F.col(order_col).alias("_r_ord"), F.array_distinct(F.array_compact(keys)).alias("_r_keys"))
     begun = written(raw.select(F.col("_r_id").alias("id"), F.struct(F.col("_r_ord").alias("ord"), F.col("_r_id").alias("id")).alias("place"), F.col("_r_keys").alias("keys")))
-    kept = begun.where(F.coalesce(F.size("keys"), F.lit(0)) <= 0).select("id")
-    rows = begun.select("id", "place", F.explode("keys").alias("key"))
+    alone = begun.where(F.coalesce(F.size("keys"), F.lit(0)) <= 0).select("id")
+    rows, kept = begun.select("id", "place", F.explode("keys").alias("key")), []
+    held = None
     while rows.head(1):
         least = rows.groupBy("key").agg(F.min("place").alias("least"))
         behind = rows.join(least, "key").where(F.col("place") != F.col("least")).select("id").distinct()
         first = written(rows.join(behind, "id", "left_anti").select("id", "key"))
         hit = rows.join(first.select("key").distinct(), "key", "left_semi").select("id").distinct()
         rows = written(rows.join(hit, "id", "left_anti"))
-        kept = kept.unionByName(first.select("id").distinct())
-    return kept.withColumnRenamed("id", id_col)
+        if held is not None:
+            discard(held)
+        held = rows
+        kept.append(first)
+    found = _together(kept, begun.select("id", F.lit("").alias("key"))).select("id").distinct()
+    return alone.unionByName(found).withColumnRenamed("id", id_col)
 
 
 def dropped_by_pairs(pairs: DataFrame) -> DataFrame:
     """Ids (gone) that go when, in order, the loser of each pair goes whose two rows are both still there.
 
-    ``pairs``: place (orderable, unique), x, y (ids) and loser, one of both.
+    ``pairs``: place (orderable, unique), x, y (ids) and loser, one of both. A pair waits only for earlier ones in which one
+    of its two rows would lose. A row that goes voids its later pairs; its earlier ones still count. So a group of which one
+    row beats all others is decided in one round.
     """
     pairs = written(pairs.select("place", "x", "y", "loser"))
-    gone = pairs.select(F.col("loser").alias("gone")).limit(0)
+    gone: list[DataFrame] = []
     while pairs.head(1):
-        ends = pairs.select("place", F.explode(F.array("x", "y")).alias("end"))
-        least = ends.groupBy("end").agg(F.min("place").alias("least"))
+        least = pairs.groupBy(F.col("loser").alias("end")).agg(F.min("place").alias("least"))
         of = lambda s: least.select(F.col("end").alias(s), F.col("least").alias(f"least_{s}"))
-        ready = pairs.join(of("x"), "x").join(of("y"), "y").where((F.col("place") == F.col("least_x")) & (F.col("place") == F.col("least_y")))
-        out = written(ready.select(F.col("loser").alias("gone")))
-        gone = gone.unionByName(out)
-        left = pairs.join(out.select(F.col("gone").alias("x")), "x", "left_anti").join(out.select(F.col("gone").alias("y")), "y", "left_anti")
-        pairs = written(left)
-    return gone
+        waits = lambda s: F.coalesce(F.col(f"least_{s}") < F.col("place"), F.lit(False))
+        ready = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where(~waits("x") & ~waits("y"))
+        out = written(ready.select(F.col("loser").alias("gone"), F.col("place").alias("at")))
+        went = lambda s: out.select(F.col("gone").alias(s), F.col("at").alias(f"at_{s}"))
+        later = lambda s: F.coalesce(F.col("place") >= F.col(f"at_{s}"), F.lit(False))
+        left = written(pairs.join(went("x"), "x", "left").join(went("y"), "y", "left").where(~later("x") & ~later("y")).select("place", "x", "y", "loser"))
+        discard(pairs)
+        pairs = left
+        gone.append(out)
+    return _together(gone, pairs.select(F.col("loser").alias("gone"), F.col("place").alias("at"))).select("gone")
