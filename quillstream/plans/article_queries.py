@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions import deals, text
-from quillstream.operators import dedup, health, rules, selection
+from quillstream.functions import deals, text, words
+from quillstream.functions.signals import decided
+from quillstream.operators import dedup, health, rules, sections, selection
+from quillstream.plans.gate_queries import _INDUSTRIAL, _PASSES, _TRANSACTIONS, _any, _has, _listing, _wrong
 from quillstream.sources.articles import SYNTHETIC_SQL, synthetic
 
 AS_OF = "2024-01-15 00:00:00"
@@ -50,14 +52,16 @@ def deal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic(spark, sf_dir).select("id", deals.deal_score(F.col("title")).alias("deal_score"))
 
 
-@_query(f"""{_DEALS_SQL}, v AS (SELECT *, CASE WHEN round(area) >= 50000 OR millions >= 10 THEN 'ACCEPTED_THRESHOLD' ELSE 'BELOW_DEAL_THRESHOLD' END AS reason,
-CASE WHEN area >= 100000 THEN 3 WHEN area >= 50000 THEN 2 WHEN area >= 25000 THEN 1 ELSE 0 END + CASE WHEN millions >= 25 THEN 2 WHEN millions >= 10 THEN 1 ELSE 0 END AS deal_score FROM n),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY deal_score DESC, pub_ts DESC, ord) AS INTEGER) AS rank FROM v WHERE reason <> 'BELOW_DEAL_THRESHOLD')
+@_query(f"""{_DEALS_SQL}, v AS (SELECT *, lower(title) AS t, NULL::BOOLEAN AS approved, round(area) AS sf, millions AS price FROM n),
+w AS (SELECT *, {_any("t", words.POLITICAL)} AS political, {_INDUSTRIAL} IN {_PASSES} AS industrial, {_wrong("t")} AND NOT {_has("t", words.STRONG_ASSET)} AS wrong, {_listing("t")} AS listing FROM v),
+x AS (SELECT *, {_TRANSACTIONS} AS reason, CASE WHEN area >= 100000 THEN 3 WHEN area >= 50000 THEN 2 WHEN area >= 25000 THEN 1 ELSE 0 END + CASE WHEN millions >= 25 THEN 2 WHEN millions >= 10 THEN 1 ELSE 0 END AS deal_score FROM w),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY deal_score DESC, pub_ts DESC, ord) AS INTEGER) AS rank FROM x WHERE starts_with(reason, 'ACCEPTED'))
 SELECT source, rank, id, title, deal_score, reason FROM r WHERE rank <= 10""")
 def transaction_filter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best transactions of each source, by deal score and then date."""
-    rows = synthetic(spark, sf_dir).withColumn("reason", rules.transaction_verdict(F.col("title"))).where("reason <> 'BELOW_DEAL_THRESHOLD'")
-    scored = rows.withColumn("deal_score", deals.deal_score(F.col("title")))
+    """The ten best transactions of each source by the section's whole filter, by deal score and then date."""
+    no_verdict = F.lit(None).cast("boolean")
+    rows = decided(synthetic(spark, sf_dir), {"text": F.lower("title")}, lambda text: {"reason": sections.transaction_verdict(text, no_verdict)})
+    scored = rows.where(F.col("reason").startswith(sections.ACCEPTED)).withColumn("deal_score", deals.deal_score(F.col("title")))
     return selection.top_of_each(scored, "source", [F.desc("deal_score"), F.desc("pub_ts"), F.col("ord")], 10, "rank").select("source", "rank", "id", "title", "deal_score", "reason")
 
 
@@ -142,18 +146,13 @@ def og_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", text.meta_content(html, "og:image").alias("og_image"), text.meta_content(html, "description").alias("description"), F.nullif(F.regexp_extract(html, r"(?i)<img[^>]+src=[\"']([^\"']+)[\"']", 1), F.lit("")).alias("first_image"))
 
 
-@_query("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(coalesce(substr(html, 1, 200), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '`', '&#96;'), '/', '&#x2F;') AS escaped, CASE WHEN regexp_matches(trim(url), '(?i)^https?://[^/\\s]') THEN trim(url) ELSE '#' END AS safe FROM pages")
-def html_escaping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Escaped excerpts and safe addresses; ``html_escaping_whole`` has whole pages."""
-    return _read(spark, sf_dir, "pages").select("page_id", text.escaped_html(F.substring("html", 1, 200)).alias("escaped"), text.safe_url(F.col("url")).alias("safe"))
-
-
 @_query("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '`', '&#96;'), '/', '&#x2F;') AS escaped, CASE WHEN regexp_matches(trim(url), '(?i)^https?://[^/\\s]') THEN trim(url) ELSE '#' END AS safe FROM pages")
-def html_escaping_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def html_escaping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole page escaped, and safe addresses."""
     return _read(spark, sf_dir, "pages").select("page_id", text.escaped_html(F.col("html")).alias("escaped"), text.safe_url(F.col("url")).alias("safe"))
 
 
+QUERIES["html_escaping_whole"], SQL["html_escaping_whole"] = html_escaping, SQL["html_escaping"]  # its earlier name
 _WORDS_SQL = "list_distinct(list_filter(string_split({0}, ' '), lambda w: length(w) > 3))"
 _FIRST_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(split_part(text, chr(10), 1), '')), '\s+[-–—]\s+[^-–—]*$', ''), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
 

@@ -204,13 +204,12 @@ def article_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return briefs(spark, sf_dir).select("ord", score.cast("int").alias("score"))
 
 
-@_query(f"""WITH {BRIEFS_SQL}, x AS (SELECT ord, CASE WHEN ord % 3 = 0 THEN title || ' - The Post' WHEN ord % 3 = 1 THEN title || ' | www.news.example.com' ELSE replace(title, ' - ', ' ') END AS h, lower(url) AS l, 'Google News nj halls' AS s FROM briefs)
-SELECT ord, CASE WHEN ord % 3 = 0 THEN 'The Post' WHEN ord % 3 = 1 THEN 'The Example' WHEN contains(l, 'news.example.com') THEN 'The Example' WHEN contains(l, 'press.regional') THEN 'Regional Press' WHEN contains(h, ' | ') THEN trim(regexp_extract(h, '[^|]*$', 0)) ELSE 'NJ Halls' END AS publisher
-FROM x WHERE NOT (ord % 3 = 2 AND contains(h, ' | '))""")
+@_query(f"""WITH {BRIEFS_SQL}, x AS (SELECT ord, CASE WHEN ord % 3 = 0 THEN title || ' - The Post' WHEN ord % 3 = 1 THEN title || ' | www.news.example.com' ELSE replace(title, ' - ', ' ') END AS h, lower(url) AS l FROM briefs),
+y AS (SELECT *, trim(regexp_extract(h, '[^|]*$', 0)) AS last, CASE WHEN contains(l, 'news.example.com') THEN 'The Example' WHEN contains(l, 'press.regional') THEN 'Regional Press' ELSE 'NJ Halls' END AS told FROM x)
+SELECT ord, CASE WHEN ord % 3 = 0 THEN 'The Post' WHEN ord % 3 = 1 THEN 'The Example' WHEN contains(h, ' | ') AND regexp_matches(last, '^[A-Z]') AND length(last) BETWEEN 2 AND 60 THEN last ELSE told END AS publisher FROM y""")
 def publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The publisher of every article whose title has no bar of its own."""
+    """The publisher of every article; a last part that begins with a digit is no name."""
     rows = briefs(spark, sf_dir).withColumn("h", F.when(F.col("ord") % 3 == 0, F.concat("title", F.lit(" - The Post"))).when(F.col("ord") % 3 == 1, F.concat("title", F.lit(" | www.news.example.com"))).otherwise(F.replace("title", F.lit(" - "), F.lit(" "))))
-    rows = rows.where(~((F.col("ord") % 3 == 2) & F.col("h").contains(" | ")))
     return rows.select("ord", ranking.publisher(F.col("h"), F.lit("Google News nj halls"), F.col("url"), _NAMES).alias("publisher"))
 
 
