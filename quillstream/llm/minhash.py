@@ -156,6 +156,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return mapped(both, make, "a long, b long", "text_a")
 
 
+def _one_row_a_text(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` with each text of an id once, so that repeated rows don't multiply pairs of texts. Only ids that stand in
+    several rows are compared; mostly there are none.
+    """
+    repeated = members.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not repeated.head(1):
+        return docs
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (it is that document)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -165,6 +175,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # written, so that the joins on words stay ones whose hot keys Spark splits
     classes = saved(named.groupBy("words").agg(F.min("doc_id").alias("rep")), "classes")
     members = saved(signed.select("doc_id", "n_shingles", "words").join(classes, "words", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.col("words").isNotNull().alias("has")), "members")
+    texts = _one_row_a_text(docs, members)
     first = named.where(F.col("bands").isNotNull()).select("words", "n_shingles", "bits", "bands").join(classes, "words")
     reps = saved(first.groupBy("rep", "words").agg(F.min(F.struct("n_shingles", "bits", "bands")).alias("x")).select("rep", "x.n_shingles", *(F.col("x.bits")[k].alias(f"s{k}") for k in range(WORDS + ODD)), "x.bands"), "representatives")
     discard(signed, classes)
@@ -177,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     heads = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     tried = saved(bands.join(heads, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    sure = saved(_confirmed(tried.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b").distinct(), docs, percent).distinct(), "links")
+    sure = saved(_confirmed(tried.join(side("a"), "a").join(side("b"), "b").where(likely).select("a", "b").distinct(), texts, percent).distinct(), "links")
     # an id with several texts holds their classes together
     several = members.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a != high").drop("high")
     links = sure.unionByName(members.join(several, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct())
@@ -190,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     x = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("of_a")).join(side("a"), "a")
     y = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("of_b")).join(side("b"), "b")
     across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & likely).select("a", "b").distinct()
-    more = saved(_confirmed(across.join(tried, ["a", "b"], "left_anti"), docs, percent).distinct(), "links")
+    more = saved(_confirmed(across.join(tried, ["a", "b"], "left_anti"), texts, percent).distinct(), "links")
     components = connected_components(links.unionByName(more))
     discard(tried, rest, found, sure, more, reps)
     out = members.join(components.withColumnRenamed("node", "rep"), "rep", "left")
