@@ -123,10 +123,6 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
     out: list[dict[int, int]] = [{} for _ in capacity]
     for patterns in groups.values():
         sources = sorted({s for p in patterns for s in members[p]})
-        if len(patterns) == len(sources) == 1:
-            given = min(quota[sources[0]], copies * capacity[patterns[0]])
-            out[patterns[0]] = {sources[0]: given} if given else {}
-            continue
         place = {s: k for k, s in enumerate(sources)}
         found = _flow([capacity[p] for p in patterns], [[place[s] for s in members[p]] for p in patterns], [quota[s] for s in sources], copies)
         for p, given in zip(patterns, found, strict=True):
