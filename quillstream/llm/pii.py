@@ -374,10 +374,19 @@ def _runs(tags: np.ndarray) -> list[list[tuple[int, int, int]]]:
 
 
 def _checked(kind: int, start: int, piece: str) -> list[tuple[int, int, int]]:
-    """The spans of a kind that a tagged piece holds: a mail address has both its signs in some spelling."""
+    """The spans of a kind that a tagged piece holds: a mail address has both its signs in some spelling, an ip four parts up
+    to 255, a card passes Luhn.
+    """
     if kind == 0:
         return [(0, start + m.start(), start + m.end()) for m in _SPELT.finditer(piece)]
-    return [(kind, start, start + len(piece))] if sum("0" <= c <= "9" for c in piece) >= LEAST_DIGITS[kind] else []
+    digits = "".join(c for c in piece if "0" <= c <= "9")
+    good = len(digits) >= LEAST_DIGITS[kind]
+    if kind == 1:
+        parts = re.findall("[0-9]+", piece)
+        good &= len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    elif kind == 2:
+        good &= luhn(digits)
+    return [(kind, start, start + len(piece))] if good else []
 
 
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:

@@ -87,6 +87,18 @@ def test_minhash_of_repeated_ids(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_minhash_of_many_repeated_rows(spark, monkeypatch):
+    text = prose(60)
+    near = text + " tail"
+    compared = []
+    whole = minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, docs, percent: (compared.append(docs.count()), whole(pairs, docs, percent))[1])
+    rows = [(1, text)] * 400 + [(2, near)] * 400 + [(3, prose(50)), (None, text)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id} == {(1, 1), (2, 1), (3, 3)} and len(got) == 802
+    assert max(compared) <= 4  # one row a text: a pair of documents is one comparison
+
+
 def test_minhash_estimate(spark):
     a, b = np.arange(3000, dtype=np.uint64), np.arange(600, 3600, dtype=np.uint64)
     bits = [minhash.packed_bits(minhash.minima(mix(x))).tolist() for x in (a, b)]
@@ -158,6 +170,16 @@ def test_pii_held_out_accuracy(spark):
     assert len(whole(found) & told) >= 0.95 * len(whole(found)) and len(whole(told) & found) >= 0.95 * len(whole(told))
 
 
+def test_pii_added_spans_are_checked():
+    """A tagged number is a card only where Luhn holds, an ip only with four parts up to 255."""
+    assert pii._checked(2, 5, "4111.1111.1111.1111") == [(2, 5, 24)] and pii._checked(2, 5, "4111.1111.1111.1112") == []
+    assert pii._checked(1, 0, "192[.]168[.]0[.]1") and not pii._checked(1, 0, "192[.]168[.]0[.]256") and not pii._checked(1, 0, "1.2.3")
+    rng = random.Random(5)
+    numbers = ["".join(rng.choice("0123456789") for _ in range(16)) for _ in range(300)]
+    told = [pii._checked(2, 0, n) != [] for n in numbers]
+    assert told == [pii.luhn(n) for n in numbers]
+
+
 def test_pii_runs():
     tags = np.array([[0, 1, 2, 2, 1, 2, 0, 3, 4, 6], [2, 2, 0, 0, 0, 0, 0, 0, 8, 7]], np.int8)
     assert pii._runs(tags) == [[(0, 1, 4), (0, 4, 6), (1, 7, 9), (2, 9, 10)], [(0, 0, 2), (3, 8, 9), (3, 9, 10)]]
@@ -379,6 +401,15 @@ def test_mixing_carries_rows(spark):
     assert {r.row.of_doc: r.taken for r in mixing.mix(docs.repartition(5), F.array("source"), with_row=True).collect()} == given
 
 
+def test_flow_answers_every_group(spark, monkeypatch):
+    """Sources that share nothing go through the flow too, one group each."""
+    groups = []
+    whole = mixing._flow
+    monkeypatch.setattr(mixing, "_flow", lambda *a: (groups.append(a), whole(*a))[1])
+    docs = spark.createDataFrame([(k, "a b c d e", "en", "xyz"[k % 3], 9, "", "", "") for k in range(30)], DOCS)
+    assert mixing.digest_columns(mixing.mix(docs, F.array("source"))).count() == 30 and len(groups) == 3
+
+
 def test_flow_prefers_fresh_words():
     flow = mixing.min_cost_flow([10, 10], [[0], [0, 1]], [15, 5], 2)
     assert sum(f.get(0, 0) for f in flow) == 15 and sum(f.get(1, 0) for f in flow) == 5
