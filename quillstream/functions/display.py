@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstream.functions.deals import _bound
 from quillstream.functions.text import ascii_bounds, given, squeezed
 
 # Publishers whose names end titles.
@@ -130,10 +131,11 @@ def excerpt(description: Column, sentences: int = 2, most: int = 300) -> Column:
     """The first sentences of a description, decimal points ending none; longer ones are cut at a blank."""
     raw = F.trim(F.coalesce(description, F.lit("")))
     safe = F.regexp_replace(raw, r"(\d)\.(\d)", "$1\u0001$2")
-    cut = F.slice(F.regexp_extract_all(safe, F.lit(r"[^.!?]+[.!?]+"), 0), 1, sentences)
-    text = F.when(F.size(cut) > 0, F.trim(F.replace(F.array_join(cut, ""), F.lit("\u0001"), F.lit(".")))).otherwise(raw)
-    short = F.concat(F.regexp_replace(F.substring(text, 1, most - 3), r"\s+\S*$", ""), F.lit("..."))
-    return F.when(F.length(raw) <= 10, F.lit("")).when(F.length(text) > most, short).otherwise(text)
+    # possessive and anchored, so that a text without an end of a sentence is read once
+    cut = F.regexp_extract(safe, rf"^[.!?]*+((?:[^.!?]++[.!?]++){{1,{sentences}}})", 1)
+    text = _bound(cut, lambda c: F.when(c != "", F.trim(F.replace(c, F.lit("\u0001"), F.lit(".")))).otherwise(raw))
+    short = lambda t: F.concat(F.regexp_replace(F.substring(t, 1, most - 3), r"\s+\S*$", ""), F.lit("..."))
+    return _bound(text, lambda t: F.when(F.length(raw) <= 10, F.lit("")).when(F.length(t) > most, short(t)).otherwise(t))
 
 
 def adds_to_title(title: Column, text: Column) -> Column:
