@@ -273,3 +273,52 @@ NEW_SUPPLY = (
     r"new\s*(warehouse|industrial|logistics|distribution)\s*(facility|building|center|park|development))\b"
 )
 TITLE_MOVED = r"\b(hired|appointed|promoted|named|joins|joined|taps|welcomes|hires|appoints|promotes|names)\b"
+
+# The last gates before a send, over lower-cased text.
+FINAL_TARGET = (
+    r"\b(new jersey|nj|newark|edison|carlstadt|rahway|piscataway|parsippany|robbinsville|hamilton|monmouth|somerset|harrison|wall twp|north bergen|garwood|linden|moonachie|cranbury|"
+    r"green brook|clark|freehold|trenton|camden|woodbridge|elizabeth|paterson|lakewood|mount olive|mt olive|mt laurel|mount laurel|middlesex|essex|union county|bergen|hudson county|"
+    r"morris county|burlington county|ocean county|exit \d|meadowlands|turnpike|route 1|i-95|i-78|i-287|pennsylvania|philadelphia|philly|allentown|lehigh|morrisville|bucks county|"
+    r"montgomery county|chester county|delaware county|pittsburgh|reading|lancaster|harrisburg|carlisle|wilkes.?barre|scranton|york county|bethlehem|easton|exton|king of prussia|valley forge|"
+    r"cumberland county|berks county|florida|miami|orlando|doral|jacksonville|tampa|broward|pompano|hialeah|medley|fort lauderdale|palm beach|miami-dade|duval|hillsborough|orange county, fl|"
+    r"fort myers|ft\.?\s*myers|naples|sarasota|lakeland|ocala|st\.?\s*petersburg|saint petersburg|gainesville|tallahassee|pensacola|polk county|pasco county|lee county|collier county|alachua|"
+    r"seminole county|brevard|volusia|northeast industrial|north east industrial)\b"
+)
+FINAL_MACRO = (
+    r"\b(interest rates?|cap rates?|vacancy rates?|absorption|industrial market|warehouse market|warehouse demand|logistics market|reit|industrial reit|supply chain|freight market|e-commerce|"
+    r"automation|robotics|build-to-suit|spec development|industrial outlook|market report|quarterly report|national industrial|us industrial|u\.s\. industrial|industrial sector|"
+    r"logistics sector|warehouse sector|industrial fund|industrial portfolio|industrial real estate|warehouse real estate|big.?box|shallow.?bay|last.?mile|cold storage market)\b"
+)
+SCRUB_TARGET = (
+    r"\b(n\.?j\.?|new jersey|pennsylvania|\bpa\b|\bfl\b|florida|newark|jersey city|edison|piscataway|kearny|trenton|camden|woodbridge|middlesex|bergen|philadelphia|philly|allentown|lehigh|"
+    r"bethlehem|pittsburgh|harrisburg|lancaster|king of prussia|miami|doral|hialeah|tampa|clearwater|orlando|jacksonville|fort lauderdale|pompano|west palm|palm beach|fort myers|"
+    r"ft\.?\s*myers|naples|sarasota|lakeland)\b"
+)
+FINAL_TRUSTED = [
+    "re-nj.com", "roi-nj.com", "bisnow.com", "globest.com", "commercialsearch.com", "commercialobserver.com", "connectcre.com", "credaily.com", "supplychaindive.com", "freightwaves.com", "blog.naiop.org",
+    "commercialcafe.com", "areadevelopment.com", "rejournals.com", "ir.prologis.com", "lvb.com", "njbiz.com", "dcvelocity.com", "logisticsmgmt.com", "cpexecutive.com",
+]
+FINAL_SUFFIX = (
+    r"(?i)\s*[-–—|]\s*(CoStar|GlobeSt|MSN|Yahoo|Bisnow|CommercialSearch|REBusinessOnline|Connect CRE|The Business Journals|Commercial Observer|Supply Chain Dive|FreightWaves|Real Estate NJ|WSJ|Law360|"
+    r"LoopNet|AD HOC NEWS).*$"
+)
+SCRUB_EMPTY_TALK = [
+    "no specific commercial real estate", "is mentioned in the title", "mentioned in the title or description", "a general trend is implied", "trend is implied", "the title or description", "no specific deal",
+    "no specific transaction", "no specific real estate",
+]
+SCRUB_JUNK = r"\b(sloths?|wildlife|\bzoo\b|menagerie|animal (?:rescue|welfare|cruelty|shelter))\b"
+SCRUB_CLIP = r"^\s*(watch|video|listen|podcast|webinar|live)\b[:\s]"
+SCRUB_STUDENTS = r"\b(students?\s+(named|win|compete|awarded)|named winners?|wins?\s+.*competition|university announces|student competition)\b"
+SCRUB_CHARITY = (
+    r"\b(charit(?:y|ies|able)|humanitarian|food ?bank|toy drive|coat drive|donation drive|relief (?:effort|drive|mission|supplies)|fundrais(?:er|ing)|soup kitchen|homeless shelter|"
+    r"helping (?:venezuela|ukraine|haiti|gaza|families|victims|the poor|the needy|the community))\b"
+)
+SCRUB_NONPROFIT = r"\bnon-?profit\b"
+SCRUB_GIVING = r"\b(visit|donat|relief|charit|distribut|volunteer|drive)\b"
+
+# News of people found in other sections.
+STRONG_PEOPLE_ACTIONS = [
+    "hired", "appointed", "promoted", "joined", "named", "elevated", "tapped", "hires", "appoints", "promotes", "names", "movers", "shakers", "power broker", "rising star", "top producer", "recognized",
+    "award", "honored", "featured", "profile", "spotlight", "milestone", "anniversary", "marks milestone", "retirement", "retiring",
+]
+PEOPLE_PUFF = ["milestone", "anniversary", "retirement", "retiring", "marks milestone"]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.functions import words
-from quillstream.operators import classifiers
+from quillstream.functions import gates, words
+from quillstream.operators import classifiers, final_gates
 from quillstream.operators.classifiers import Engine
-from quillstream.plans.gate_queries import _INDUSTRIAL, _PASSES, _any, _detention, _first, _has, _listing, _q, _wrong, gates_of
+from quillstream.operators.final_gates import Markets
+from quillstream.plans.gate_queries import _CENTRE, _INDUSTRIAL, _BILLIONS, _MEGAWATTS, _PLACED, _placed, _PASSES, _any, _detention, _first, _has, _listing, _q, _wrong, gates_of
 from quillstream.sources.briefs import BRIEFS_SQL, briefs
 
 SQL: dict[str, str] = {}
@@ -154,3 +155,47 @@ def industrial_gate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The industrial gate over whole documents."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
     return gates_of(rows, "t").drop("t")
+
+
+#: Markets of the synthetic articles.
+MARKETS = Markets(target=r"\b(brazil|canada|chester)\b", macro=r"\b(interest rates?|absorption|supply chain|e-commerce|industrial portfolio|freight)\b", scrub_target=r"\b(brazil|chester)\b", trusted=["example.org", "1-urgent"], others=["peru", "kenya", "Egypt"])
+
+
+def _final_sql(m: Markets) -> str:
+    charity = f"({_has('h', words.SCRUB_CHARITY)} OR ({_has('h', words.SCRUB_NONPROFIT)} AND {_has('t', words.SCRUB_GIVING)}))"
+    final = _first(
+        [
+            ("DC_OUT_OF_REGION", "verdict = 'reject-oor'"), ("DC_OUTSIDE_RELEVANT", "verdict IN ('allow-national-scale', 'allow-unknown-location') AND section <> 'relevant'"), ("NOT_INDUSTRIAL", "NOT industrial"),
+            ("OTHER_MARKET", f"NOT target AND {_any('raw', m.others)}"), ("NO_REGION_SOURCE_OR_MACRO", f"NOT target AND NOT trusted AND NOT {_has('t', m.macro)}"), ("CATALOGUE_OUTSIDE_TARGET", "contains(h, 'loopnet') AND NOT target"),
+        ], "'PASSES'",
+    )
+    scrub = _first(
+        [
+            ("BROKEN_TITLE", f"length(h) < 20 OR {_has('h', words.PAGE_INDEX)}"), ("EMPTY_TALK", _any("d", words.SCRUB_EMPTY_TALK)), ("JUNK", _has("t", words.SCRUB_JUNK)), ("CLIP", _has("h", words.SCRUB_CLIP)),
+            ("STUDENTS", _has("h", words.SCRUB_STUDENTS)), ("CHARITY", charity), ("NOT_INDUSTRIAL", "NOT industrial"), ("OTHER_MARKET", f"{_any('t', m.others)} AND NOT {_has('t', m.scrub_target)}"),
+        ], "'PASSES'",
+    )
+    clear, shared = [w for w in words.STRONG_PEOPLE_ACTIONS if w not in words.OF_COMPANIES_TOO], [w for w in words.STRONG_PEOPLE_ACTIONS if w in words.OF_COMPANIES_TOO]
+    return f"""f AS (SELECT *, {_has("t", m.target)} AS target, {_any("l", m.trusted)} OR lower(coalesce(source, '')) IN ({", ".join(map(_q, m.trusted))}) AS trusted, {_INDUSTRIAL} IN {_PASSES} AS industrial,
+  {_has("h", words.PEOPLE_TITLE)} AS signal, {_any("t", words.PERSON_ROLES)} AS role, {_any("t", words.INDUSTRY_NAMES)} OR {_has("t", words.AGENCY_TOKEN)} AS industry FROM e),
+g AS (SELECT *, {_any("t", clear)} OR ({_any("t", shared)} AND ({_has("h", words.PERSON_TITLE)} OR role)) OR signal AS action FROM f),
+h AS (SELECT *, NOT {_any("t", words.NOT_FOR_PEOPLE)} AND ((action AND (role OR industry)) OR ({_any("t", words.PEOPLE_PUFF)} AND role)) AS found FROM g)
+SELECT id, {final} AS final_reason, {scrub} AS scrub_reason,
+  CASE section WHEN 'relevant' THEN found AND (signal OR NOT {_any("t", words.DEAL_ACTIONS)}) WHEN 'transactions' THEN found AND signal ELSE false END AS to_people FROM h"""
+
+
+@_query(f"""WITH {_PLACED}, c AS (SELECT *, {_BILLIONS} AS billions, {_MEGAWATTS} AS megawatts FROM placed),
+e AS (SELECT ord AS id, source, category AS section, {_CENTRE} AS verdict, t, lower(trim(title)) AS h, lower(coalesce(description, '')) AS d, l, title || ' ' || coalesce(description, '') AS raw FROM c), {_final_sql(MARKETS)}""")
+def last_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the final gate and the scrub before a send drop an article, and which articles are news of people."""
+    rows = _placed(spark, sf_dir)
+    verdict = gates.data_centre_verdict(F.col("text"), F.col("in_region"), F.col("elsewhere") > 0)
+    rows = rows.select(F.col("ord").alias("id"), "title", "description", F.col("url").alias("link"), "source", F.col("category").alias("section"), verdict.alias("centre"))
+    return final_gates.gated(rows, "centre", "section", MARKETS).select("id", "final_reason", "scrub_reason", "to_people")
+
+
+@_query(f"""WITH {_DOCUMENTS}, e AS (SELECT id, source, 'relevant' AS section, 'not-dc' AS verdict, t, trim(h) AS h, lower(coalesce(description, '')) AS d, l, coalesce(title, '') || ' ' || coalesce(description, '') AS raw FROM a), {_final_sql(Markets())}""")
+def last_gates_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last gates over whole documents, with the markets as they are."""
+    rows = _documents(spark, sf_dir).withColumns({"section": F.lit("relevant"), "centre": F.lit("not-dc")})
+    return final_gates.gated(rows, "centre", "section").select("id", "final_reason", "scrub_reason", "to_people")
