@@ -11,16 +11,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: str | None = None
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table below ``spark.checkpoint.dir`` and read it again; a folder of this process on a local master without it."""
+def scratch(spark: SparkSession, label: str = "round") -> str:
+    """A new path below ``spark.checkpoint.dir``; in a folder of this process on a local master without that setting."""
     global _own_folder
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.conf.get("spark.master", "")
@@ -28,9 +27,14 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own_folder = _own_folder or tempfile.mkdtemp(prefix="rounds-")
         root = f"file://{_own_folder}"
-    path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a scratch table and read it again."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path  # type: ignore[attr-defined]
     return out
 
