@@ -57,6 +57,13 @@ def without_tracking(url: Column) -> Column:
     return F.regexp_replace(bare, "[?&]$", "")
 
 
+def without_marketing(url: Column) -> Column:
+    """Address without fragment and the parameters of campaigns: utm_ and mc_ ones of any name, fbclid and gclid."""
+    bare = F.regexp_replace(url, "#.*$", "")
+    bare = F.regexp_replace(bare, r"([?&])(?:(?:utm_[^=&]*|mc_[^=&]*|fbclid|gclid)(?:=[^&]*)?(?:&|$))+", "$1")
+    return F.regexp_replace(bare, "[?&]$", "")
+
+
 def url_key(url: Column) -> Column:
     """Address for comparing: without tracking, lower case; empty for none."""
     return F.lower(without_tracking(F.coalesce(url, F.lit(""))))

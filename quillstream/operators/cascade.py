@@ -232,3 +232,35 @@ def assembled(editions: DataFrame, facts: DataFrame, reserve: DataFrame, include
     dealt = F.when(F.col("section") == "people", 0).otherwise(-F.coalesce("deal_score", F.lit(0)))
     order = Window.partitionBy("edition", "section").orderBy("last", dealt, F.when(F.col("section") == "people", F.col("stage")).otherwise(0), F.desc("ts"), "stage", "ord")
     return centre_policy(chosen).select("edition", "section", F.row_number().over(order).alias("place"), "id", "via")
+
+
+def week_in_review(assembled_: DataFrame, editions: DataFrame, facts: DataFrame, days: int = 7, most: int = 5) -> DataFrame:
+    """(edition, place, id): the best articles of the week of an edition that tell nothing that the edition tells.
+
+    By score; an article goes if the edition has it, one of its signatures, or its deal of a firm, or a better one of the week
+    has. Articles of a section that passed their gates take part.
+    """
+    editions = editions.select(F.col("edition").cast("string").alias("edition"), "as_of")
+    key = F.concat_ws("\x1f", F.col("edition"), F.col("id").cast("string"))
+    days_ = editions.withColumn("day", F.explode(F.sequence(F.to_date(F.col("as_of") - F.expr(f"INTERVAL {days} DAYS")), F.to_date("as_of"))))
+    good = facts.where(F.col("section").isin(*SECTIONS) & _yes("passes") & _yes("gate_ok") & _yes("scrub_ok"))
+    week = good.withColumn("day", F.to_date("ts")).join(days_, "day").where((F.col("ts") <= F.col("as_of")) & (F.col("ts") >= F.col("as_of") - F.expr(f"INTERVAL {days} DAYS"))).withColumn("key", key)
+    held = assembled_.select("edition", "id").distinct().join(facts, "id").withColumn("key", key)
+    line = held.select("edition", "key", "id", "score", "ts", "ord", "sigs", "entity", "sf", "price", F.lit(0).alias("turn")).unionByName(
+        _unused(week, held).select("edition", "key", "id", "score", "ts", "ord", "sigs", "entity", "sf", "price", F.lit(1).alias("turn"))
+    )
+    line = written(line)
+    place = F.struct("turn", F.when(F.col("turn") == 1, -F.col("score")).otherwise(0.0).alias("by"), (-F.unix_micros("ts")).alias("at"), "ord")
+    # the edition's own rows stay whatever they share; of the week a row stays if none before it has a signature of it
+    tied = F.transform(F.coalesce("sigs", F.array().cast("array<string>")), lambda s: F.concat_ws("\x1f", F.col("edition"), s))
+    told = line.where("turn = 0").select(F.explode(tied).alias("sig")).distinct()
+    hit = line.where("turn = 1").select("key", F.explode(tied).alias("sig")).join(told, "sig", "left_semi").select("key").distinct()
+    left = line.join(hit, "key", "left_anti")
+    kept = first_without_conflict(left.where("turn = 1").withColumn("_place", place), "key", "_place", tied).select("key")
+    left = written(left.where("turn = 0").unionByName(left.where("turn = 1").join(kept, "key", "left_semi")))
+    side = lambda s: left.where("entity IS NOT NULL").select("edition", "entity", F.col("key").alias(s), F.col("turn").alias(f"turn_{s}"), F.col("sf").alias(f"sf_{s}"), F.col("price").alias(f"price_{s}"))
+    agree = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(True))
+    pairs = side("a").join(side("b"), ["edition", "entity"]).where((F.col("a") < F.col("b")) & (F.greatest("turn_a", "turn_b") == 1) & agree("sf") & agree("price")).select("a", "b")
+    left = _without(left, dropped_by_pairs(_placed_pairs(pairs, left, place, None))).where("turn = 1")
+    best = Window.partitionBy("edition").orderBy(F.desc("score"), F.desc("ts"), "ord")
+    return left.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select("edition", "place", "id")

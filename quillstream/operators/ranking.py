@@ -83,9 +83,11 @@ def publisher(title: Column, source: Column, url: Column, known: dict[str, str])
 
 
 def placeholder_index(title: Column, images: int) -> Column:
-    """Which of ``images`` stands for a title: the sum of its character codes modulo their number (basic plane)."""
-    codes = F.transform(F.filter(F.split(F.coalesce(title, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c))
-    return (F.aggregate(codes, F.lit(0), lambda a, c: a + c) % images).cast("int")
+    """Which of ``images`` stands for a title: the sum of its UTF-16 units modulo their number."""
+    above = lambda c: 0xD800 + 0xDC00 + F.floor((c - 0x10000) / 1024) + (c - 0x10000) % 1024  # noqa: E731  both units of a pair
+    codes = F.transform(F.filter(F.split(F.coalesce(title, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    units = F.transform(codes, lambda c: F.when(c < 0x10000, c).otherwise(above(c)).cast("long"))
+    return (F.aggregate(units, F.lit(0).cast("long"), lambda a, c: a + c) % images).cast("int")
 
 
 def deduplicated(df: DataFrame, link_key: Column, title_key: Column, order_col: str, fetched: str) -> DataFrame:
@@ -96,17 +98,21 @@ def deduplicated(df: DataFrame, link_key: Column, title_key: Column, order_col:
     return linked.unionByName(titled).where("_k = 1").drop("_k", "_link", "_title")
 
 
-def carried_over(now: DataFrame, before: DataFrame, key: str, of_kind: str) -> DataFrame:
-    """``now``, and of each kind that has no row there the rows of the run before."""
-    missing = before.join(now.select(of_kind).distinct(), of_kind, "left_anti")
+def carried_over(now: DataFrame, before: DataFrame, key: str, of_kind: str, only: Column | None = None) -> DataFrame:
+    """``now``, and of each kind that has no row there the rows of the run before; of those ``only`` such (as scraped ones)."""
+    missing = (before if only is None else before.where(only)).join(now.select(of_kind).distinct(), of_kind, "left_anti")
     return now.unionByName(missing.join(now.select(key), key, "left_anti"))
 
 
 def toggled_backups(backups: DataFrame, scraped: DataFrame, least: int) -> DataFrame:
     """Backup feeds (domain, name, enabled) with enabled as it should be: off where the domain's scraper works.
 
-    ``scraped``: domain, ok, fetched.
+    ``scraped``: domain, ok, fetched; a scraper is its domain, or named by the domain's first part (bloomberg for bloomberg.com),
+    so both are joined by that part.
     """
+    part = lambda c: F.lower(F.substring_index(F.substring_index(c, " ", 1), ".", 1))
+    known = backups.select("domain", part(F.col("domain")).alias("_part")).distinct()
+    scraped = scraped.select(part(F.col("domain")).alias("_part"), "ok", "fetched").join(known, "_part")
     works = scraped.groupBy("domain").agg(F.bool_or(F.coalesce(F.col("ok") & (F.col("fetched") >= least), F.lit(False))).alias("_works"))
     out = backups.join(works, "domain", "left").withColumn("_on", ~F.coalesce("_works", F.lit(False)))
     return out.select("domain", "name", F.col("_on").alias("enabled"), (F.coalesce("enabled", F.lit(True)) != F.col("_on")).alias("changed"))

@@ -144,8 +144,11 @@ def items_filtered(df: DataFrame, order_col: str, ts: str, since: Column, until:
     return out.orderBy(order_col).limit(limit).orderBy(F.desc(ts), order_col)
 
 
-def page_filtered(df: DataFrame, ts: str, as_of: Column, days: int | None = None, query: str | None = None, region: str | None = None, category: str | None = None, source: str | None = None) -> DataFrame:
-    """What the page shows: no excluded categories, within days, with the words asked for. Columns: title, description, category, source."""
+def page_filtered(df: DataFrame, ts: str, as_of: Column, days: int | None = None, query: str | None = None, region: str | None = None, category: str | None = None, source: str | None = None, sort: str | None = None) -> DataFrame:
+    """What the page shows: no excluded categories, within days, with the words asked for, newest or oldest first if ``sort`` says so.
+
+    Columns: title, description, category, source.
+    """
     out = df.where(~F.coalesce(F.col("category"), F.lit("")).isin("not relevant", "excluded", "blacklisted"))
     if days is not None:
         out = out.where(F.col(ts) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
@@ -155,7 +158,8 @@ def page_filtered(df: DataFrame, ts: str, as_of: Column, days: int | None = None
         out = out.where(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))).contains(region.lower()))
     if category:
         out = out.where(F.col("category") == category)
-    return out.where(F.col("source") == source) if source else out
+    out = out.where(F.col("source") == source) if source else out
+    return out if sort is None else out.orderBy(F.desc_nulls_last(ts) if sort == "newest" else F.asc_nulls_first(ts))
 
 
 def topics_met(df: DataFrame, id_col: str, text: Column, topics: list[str]) -> DataFrame:
@@ -164,6 +168,17 @@ def topics_met(df: DataFrame, id_col: str, text: Column, topics: list[str]) -> D
     return df.select(F.col(id_col), met.alias("topics")).where(F.size("topics") > 0)
 
 
+def unless_ignored(df: DataFrame, id_col: str, text: Column, topics: list[str], ignored: DataFrame) -> DataFrame:
+    """Rows whose id isn't in ``ignored`` (id) and whose text holds none of the topics, a user's short list."""
+    held = F.exists(F.array(*(F.lit(t) for t in topics)), lambda t: F.contains(F.lower(text), F.lower(t))) if topics else F.lit(False)
+    return df.where(~F.coalesce(held, F.lit(False))).join(ignored.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+
+
+def within_feed(df: DataFrame, ts: str, as_of: Column, days: int = 31) -> DataFrame:
+    """Rows that the published feed keeps: of the last ``days``; rows without a time count as new."""
+    return df.where(F.coalesce(F.col(ts) >= as_of - F.expr(f"INTERVAL {days} DAYS"), F.lit(True)))
+
+
 def retained(df: DataFrame, ts: str, as_of: Column, keep_days: int = 90, archive_days: int = 180) -> DataFrame:
     """Rows with retention: keep, prune (older than ``keep_days``) or archive (older than ``archive_days``)."""
     age = F.date_diff(as_of, F.to_date(ts))

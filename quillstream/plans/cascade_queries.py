@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import deals, gates
 from quillstream.functions.text import scorer_title
-from quillstream.operators import cascade, classifiers, editions, final_gates, ranking, regions, sections, selection, signatures
+from quillstream.operators import cascade, classifiers, editions, final_gates, health, ranking, regions, reports, sections, selection, signatures, summaries
 from quillstream.operators.rounds import written
 from quillstream.plans.classifier_queries import MARKETS
 from quillstream.plans.gate_queries import _placed
@@ -58,3 +58,41 @@ def edition_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["edition_cascade"] = edition_cascade
+
+
+def edition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and letter of every assembled edition, from what it holds: coverage by its sections and their supply, freshness by
+    the steps that its items came in by, the region of its items, and penalties for what the gates find in them.
+    """
+    every, rows, stock, picked = inputs(spark, sf_dir)
+    held = written(cascade.assembled(every, rows, stock, picked))
+    month = F.date_format(F.date_trunc("month", F.col("ts")), "yyyy-MM")
+    sections_ = every.select("edition", F.explode(F.array(*map(F.lit, cascade.SECTIONS))).alias("section"))
+    filled = held.groupBy("edition", "section").agg(F.count(F.lit(1)).alias("filled"))
+    supply = rows.where("in_region").groupBy(month.alias("edition"), "section").agg(F.count(F.lit(1)).alias("supply"))
+    covered = health.coverage(sections_.join(filled, ["edition", "section"], "left").join(supply, ["edition", "section"], "left").fillna(0), "edition", "section", "filled", "supply")
+    tier = F.when(F.col("via") == "window", "tier2").when(F.col("via").isin("deep", "routed", "refill"), "tier3").when(F.col("via").isin("reserve", "thin"), "tier4").when(F.col("via") == "include", "tier5").otherwise("tier2")
+    items = held.withColumn("tier", tier).join(rows.select("id", "in_region", "not_excluded", "gate_ok", "scrub_ok", "title_key", "sigs", "ts"), "id")
+    fresh = health.tier_freshness(items, "edition", "tier").select("edition", "items", F.round("freshness", 6).alias("freshness"))
+    points = F.when(F.col("in_region"), 1.0).when(F.col("not_excluded"), 0.4).otherwise(0.0)
+    regional = items.groupBy("edition").agg(F.round(25 * F.avg(points), 6).alias("regional"))
+    sent = items.select("edition", "id", F.explode("sigs").alias("sig"))
+    before = sent.groupBy("sig").agg(F.min("edition").alias("first"))
+    repeated = sent.join(before, "sig").where(F.col("first") < F.col("edition")).select("edition", "id").distinct().withColumn("again", F.lit(True))
+    items = items.join(repeated, ["edition", "id"], "left")
+    flags = {"broken": F.length("title_key") < 12, "dup_in_send": F.lit(False), "repeat_cross_day": F.coalesce("again", F.lit(False)), "weak": ~F.col("in_region") & ~F.col("gate_ok"), "leak": ~F.col("scrub_ok")}
+    marks = reports.penalties(items, "edition", flags)
+    out = covered.join(fresh, "edition").join(regional, "edition").join(marks, "edition")
+    scored = out.withColumn("s", reports.content_score(F.col("coverage"), F.col("freshness"), F.col("regional"), F.col("points")))
+    return scored.select("edition", "items", "coverage", "freshness", "regional", *flags, F.col("points").cast("long").alias("points"), "s.score", "s.grade")
+
+
+def shown_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an edition of the shorter kind shows, with the best of its week."""
+    every, rows, stock, picked = inputs(spark, sf_dir)
+    held = written(cascade.assembled(every, rows, stock, picked))
+    week = cascade.week_in_review(held, every, rows).select("edition", F.lit("week").alias("section"), "place", "id")
+    return summaries.shown(held.select("edition", "section", "place", "id").unionByName(week), "work")
+
+
+QUERIES |= {"edition_quality": edition_quality, "shown_items": shown_items}

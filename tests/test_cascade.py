@@ -202,3 +202,31 @@ def test_cascade_of_nothing(spark):
     editions = spark.createDataFrame([("a", START)], "edition string, as_of timestamp")
     empty = cascade.assembled(editions, none, none.withColumn("rank", F.lit(1)), none.withColumn("edition", F.lit("a")))
     assert empty.collect() == []
+
+
+def test_week_in_review(spark):
+    rng = random.Random(12)
+    articles = [article(rng, k, 20) for k in range(250)]
+    editions = [(f"e{k}", START + timedelta(days=7 + k, hours=7)) for k in range(8)]
+    held = [(f"e{k}", "relevant", j + 1, i, "window") for k in range(8) for j, i in enumerate(rng.sample(range(250), 6))]
+    facts = spark.createDataFrame(articles, SCHEMA)
+    got = cascade.week_in_review(spark.createDataFrame(held, "edition string, section string, place int, id long, via string"), spark.createDataFrame(editions, "edition string, as_of timestamp"), facts)
+    rows, want = {a[0]: dict(zip(NAMES, a, strict=True)) for a in articles}, []
+    for name, as_of in editions:
+        own = [rows[h[3]] for h in held if h[0] == name]
+        sigs, deals = {s for r in own for s in r["sigs"] or []}, [r for r in own if r["entity"]]
+        week = [r for r in rows.values() if as_of - timedelta(days=7) <= r["ts"] <= as_of and r["section"] in cascade.SECTIONS and r["passes"] and r["gate_ok"] and r["scrub_ok"] and r not in own]
+        week.sort(key=lambda r: (-r["score"], -r["ts"].timestamp(), r["ord"]))
+        free = []
+        for r in week:  # signatures first, then deals, as two passes
+            if not sigs & set(r["sigs"] or []):
+                sigs |= set(r["sigs"] or [])
+                free.append(r)
+        best = []
+        for r in free:
+            same = lambda o, r=r: o["entity"] == r["entity"] and all(None in (o[c], r[c]) or o[c] == r[c] for c in ("sf", "price"))
+            if r["entity"] is None or not any(map(same, deals)):
+                deals += [r] if r["entity"] else []
+                best.append(r)
+        want += [(name, k + 1, r["id"]) for k, r in enumerate(best[:5])]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
