@@ -29,10 +29,10 @@ def spans_of(html: Column, pattern: str) -> Column:
 
 
 def page_links(pages: DataFrame, id_col: str, html_col: str, link: str = r'href="(https?://[^"]+)"', levels: str = "234", reach: int = 500, least: int = 16) -> DataFrame:
-    """(id, at, link, title): each address of a page with a title of ``least`` characters or more beside it."""
+    """(id, char_at, link, title): each address of a page with a title of ``least`` characters or more beside it."""
     read = pages.select(id_col, spans_of(F.col(html_col), link).alias("_links"), spans_of(F.col(html_col), rf"<h[{levels}][^>]*>([^<]+)</h[{levels}]>").alias("_heads"))
     each = read.select(id_col, F.explode("_links").alias("l"), "_heads")
     inside = F.filter("_heads", lambda h: (h["start"] >= F.col("l.start") - reach) & (h["stop"] <= F.col("l.start") + reach))
-    met = each.select(id_col, F.col("l.start").alias("at"), F.col("l.value").alias("link"), F.trim(F.try_element_at(inside, F.lit(1))["value"]).alias("title"))
-    first = met.groupBy(id_col, "link").agg(F.min(F.struct("at", "title")).alias("f")).select(id_col, "f.at", "link", "f.title")
+    met = each.select(id_col, F.col("l.start").alias("char_at"), F.col("l.value").alias("link"), F.trim(F.try_element_at(inside, F.lit(1))["value"]).alias("title"))
+    first = met.groupBy(id_col, "link").agg(F.min(F.struct("char_at", "title")).alias("f")).select(id_col, "f.char_at", "link", "f.title")
     return first.where(F.length("title") >= least)

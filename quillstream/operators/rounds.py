@@ -30,6 +30,12 @@ def scratch(spark: SparkSession, label: str = "round") -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan dealt to all cores where a small file would come as one partition; large tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a scratch table and read it again."""
     path = scratch(df.sparkSession)

@@ -39,9 +39,9 @@ def _places(pattern: str) -> str:
 
 @_query(f"""WITH p AS (SELECT page_id, {_places(_LINK)} AS links, {_places(_HEADING)} AS heads FROM pages),
 l AS (SELECT page_id, unnest(links) AS l, heads FROM p),
-m AS (SELECT page_id, l.start AS "at", l.value AS link, trim(list_filter(heads, lambda h: h.start >= l.start - 500 AND h.start + h.size <= l.start + 500)[1].value) AS title FROM l),
-f AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY "at") AS k FROM m)
-SELECT page_id, "at", link, title FROM f WHERE k = 1 AND length(title) >= 16""")
+m AS (SELECT page_id, l.start AS char_at, l.value AS link, trim(list_filter(heads, lambda h: h.start >= l.start - 500 AND h.start + h.size <= l.start + 500)[1].value) AS title FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY char_at) AS k FROM m)
+SELECT page_id, char_at, link, title FROM f WHERE k = 1 AND length(title) >= 16""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of all pages with the heading beside them."""
     return pages.page_links(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html", _LINK, "1-6")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import given
+from quillstream.operators.rounds import spread
 
 VERBS = ["buys", "leases", "lists", "promotes", "develops"]
 
@@ -34,6 +35,7 @@ def json_feed(spark: SparkSession, path: str) -> DataFrame:
 def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One article an order: ord, id, title, place, source, pub_ts. Scans read the named columns only."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    orders = spread(orders)
     people = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     rows = orders.join(people, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.operators.regions import Regions
-from quillstream.operators.rounds import written
+from quillstream.operators.rounds import spread, written
 
 PHRASES = [
     "warehouse of 120,000 SF sold for $31 million", "developer breaks ground on industrial park", "office tower lease signed", "firm takes 12,000 sf office", "industrial heir tells his story",
@@ -41,8 +41,7 @@ def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Else Spark would put the making of a title in place of each use of it, and the code of a gate would grow too long.
     """
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("pub_ts"))
-    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a small file comes as one partition, and what follows is work
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    rows = spread(rows)
     ord_ = F.col("ord")
     one, two, here, there = _pick(PHRASES, ord_ * 7 + F.floor(ord_ / 61)), _pick(PHRASES, ord_ * 13 + F.floor(ord_ / 64)), _pick(PLACES, ord_ * 3 + F.floor(ord_ / 32)), _pick(PLACES, ord_ * 5 + 1)
     title = F.when(ord_ % 4 == 0, F.concat(here, F.lit(" "), one)).when(ord_ % 4 == 1, F.concat(one, F.lit(" in "), here)).when(ord_ % 4 == 2, one).otherwise(F.concat(here, F.lit(" group buys "), there, F.lit(" "), one))

@@ -68,8 +68,8 @@ def test_page_links(spark):
     rng = random.Random(3)
     bits = ['<a href="https://x.org/{0}">go</a>', "<h2 class='t'>A heading of story {0}</h2>", "<h3>short {0}</h3>", "<h2>open {0} <b>bold</b></h2>", "<p>" + "text " * 30 + "</p>", "<h4>Überschrift der Nummer {0}</h4>", '<a href="/local/{0}">', '<a href="https://x.org/cut']
     rows = [(k, "".join(rng.choice(bits).format(rng.randint(0, 12)) for _ in range(rng.randint(0, 60)))) for k in range(60)] + [(90, None), (91, ""), (92, "<h2")]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id int, html string, at int, title int").repartition(3)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id int, html string, char_at int, title int").repartition(3)
     for reach in (500, 120):
-        got = sorted((r.page_id, r.at, r.link, r.title) for r in pages.page_links(df, "page_id", "html", reach=reach).collect())
+        got = sorted((r.page_id, r.char_at, r.link, r.title) for r in pages.page_links(df, "page_id", "html", reach=reach).collect())
         assert got == sorted((k, *x) for k, html in rows for x in plain_links(html, "234", reach, 16)) and got
     assert pages.page_links(df.limit(0), "page_id", "html").count() == 0
