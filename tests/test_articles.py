@@ -180,3 +180,37 @@ def test_every_brand_is_excluded(spark, tmp_path):
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text or "") > 3]
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert kept == {r.doc_id for r in docs if not any(x in (r.text or "") for x in items)} and len(kept) < len(docs)
+
+
+def test_similar_classes_take_copies_once(spark):
+    import random
+
+    rng = random.Random(14)
+    kinds = [sorted({rng.choice("abcdefgh") * 4 for _ in range(rng.randint(0, 6))}) for _ in range(40)]
+    sets = {k: rng.sample(kinds[k % 40], len(kinds[k % 40])) for k in range(3000)}
+    members, links = dedup.similar_classes(spark.createDataFrame(list(sets.items()), "id int, words array<string>"), "id", "words")
+    least = {}
+    for k, s in sets.items():
+        least.setdefault(frozenset(s), k)
+    assert {(r["class"], r.id) for r in members.collect()} == {(least[frozenset(s)], k) for k, s in sets.items() if s}
+    want = {(a, b) for x, a in least.items() for y, b in least.items() if a < b and x and y and len(x & y) >= 0.6 * len(x | y)}
+    assert {(r.a, r.b) for r in links.collect()} == want and want
+    assert links.count() < 1000  # all pairs of rows would be over a hundred thousand
+
+
+def test_dropped_by_classes_match_one_pass(spark):
+    import random
+
+    rng = random.Random(15)
+    for n, kinds, ranks in ((120, 12, 5), (150, 6, 150), (90, 40, 2)):
+        near = {(c, d) for c in range(kinds) for d in range(c) if rng.random() < 0.25}
+        near |= {(d, c) for c, d in near} | {(c, c) for c in range(kinds)}
+        rows = [(f"k{k}", rng.randrange(kinds), k, rng.randrange(ranks)) for k in range(n)]
+        gone = set()
+        for i, a in enumerate(rows):
+            for b in rows[i + 1 :]:
+                if a[0] not in gone and b[0] not in gone and (a[1], b[1]) in near:
+                    gone.add(a[0] if b[3] > a[3] else b[0])
+        df = spark.createDataFrame(rows, "key string, class int, at int, rank int").select("key", "class", F.struct("at").alias("place"), "rank")
+        got = rounds.dropped_by_classes(df, spark.createDataFrame(sorted(near), "c int, d int")).collect()
+        assert sorted(r.gone for r in got) == sorted(gone)
