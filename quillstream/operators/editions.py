@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import ascii_bounds, scorer_title
-from quillstream.operators.dedup import similar_pairs
-from quillstream.operators.rounds import dropped_by_pairs
+from quillstream.operators.dedup import linked_classes
+from quillstream.operators.rounds import dropped_by_classes, written
 
 # Places whose difference tells two stories apart, over lower-cased titles.
 PLACES = (
@@ -58,32 +58,37 @@ def conflicting(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
 
 
+def clashing(a: str, b: str) -> Column:
+    """Whether two columns of fact lists conflict in one of them."""
+    return F.exists(F.arrays_zip(a, b), lambda z: conflicting(z[a], z[b]))
+
+
+def class_name() -> Column:
+    """A name for rows that agree in within, words (sorted) and facts: none of them is nearer to others than the rest."""
+    return F.sha1(F.to_json(F.struct("within", "words", "facts")))
+
+
 def near_title_survivors(df: DataFrame, id_col: str, order_col: str, section: str, title: str, source: str, score: str) -> DataFrame:
     """Rows left when, in order, of each near-title pair of a section one goes.
 
     A pair's titles share three fifths of their longer words and conflict neither in place nor in amounts. The better
-    source stays, then the longer title, the higher score, the earlier row; a row that went takes part no more. Pairs
-    come from an inverted index over words, so only titles that share one meet; ids are unique and not null.
+    source stays, then the longer title, the higher score, the earlier row; a row that went takes part no more. Titles of
+    the same words and facts are a class; only classes meet, over words that they share; ids are unique and not null.
     """
     hit = F.lit(False)
     for name in PREFERRED:
         hit = hit | F.contains(F.lower(F.coalesce(F.col(source), F.lit(""))), F.lit(name))
     key = scorer_title(F.col(title))
-    facts = [f.alias(f"_f{k}") for k, f in enumerate(title_facts(F.col(title)))]
+    facts = title_facts(F.col(title))
     rank = F.struct(hit.cast("int"), F.length(key), F.coalesce(F.col(score).cast("double"), F.lit(0.0)))
     words = F.array_distinct(F.filter(F.split(key, " "), lambda w: F.length(w) > 3))
-    # a word is tied to its section, so that sections don't meet
-    tied = F.transform(words, lambda w: F.concat(F.coalesce(F.col(section), F.lit("")), F.lit("\x1f"), w))
-    rows = df.select(F.col(id_col).alias("_id"), F.col(section).alias("_section"), F.col(order_col).alias("_ord"), rank.alias("_rank"), tied.alias("_words"), *facts)
-    side = lambda s: rows.drop("_words").select(*(F.col(c).alias(s + c) for c in rows.columns if c != "_words"))
-    met = similar_pairs(rows, "_id", "_words").select("a", "b").join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    for k in range(len(facts)):
-        met = met.where(~conflicting(F.col(f"a_f{k}"), F.col(f"b_f{k}")))
-    a_first = F.struct("a_ord", "a_id") < F.struct("b_ord", "b_id")
-    first, second = (lambda x: F.when(a_first, F.col(f"a{x}")).otherwise(F.col(f"b{x}"))), (lambda x: F.when(a_first, F.col(f"b{x}")).otherwise(F.col(f"a{x}")))
-    place = F.struct(first("_ord").alias("i"), first("_id").alias("x"), second("_ord").alias("j"), second("_id").alias("y"))
-    loser = F.when(second("_rank") > first("_rank"), first("_id")).otherwise(second("_id"))
-    gone = dropped_by_pairs(met.select(place.alias("place"), first("_id").alias("x"), second("_id").alias("y"), loser.alias("loser"))).withColumnRenamed("gone", "_gone")
+    told = df.select(
+        F.col(id_col).alias("key"), F.struct(F.col(order_col).alias("ord"), F.col(id_col).alias("id")).alias("place"), rank.alias("rank"),
+        F.coalesce(F.col(section), F.lit("")).alias("within"), F.array_sort(words).alias("words"), F.array(*facts).alias("facts"),
+    ).where(F.size("words") > 0)
+    rows = written(told.withColumn("class", class_name()))
+    links = linked_classes(rows.select("class", "within", "words", "facts").dropDuplicates(["class"]), clashing)
+    gone = dropped_by_classes(rows, links).withColumnRenamed("gone", "_gone")
     return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
