@@ -29,9 +29,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.operators.dedup import similar_pairs
-from quillstream.operators.editions import conflicting
-from quillstream.operators.rounds import dropped_by_pairs, first_without_conflict, written
+from quillstream.functions.text import jaccard
+from quillstream.operators.dedup import linked_classes, similar_pairs
+from quillstream.operators.editions import clashing, class_name
+from quillstream.operators.rounds import dropped_by_classes, dropped_by_pairs, first_without_conflict, written
 
 SECTIONS = ["relevant", "transactions", "availabilities", "people"]
 FACTS = [
@@ -93,8 +94,50 @@ def near_pairs(rows: DataFrame) -> DataFrame:
     said = rows.select("key", tied.alias("tied"), "name_facts")
     side = lambda s: rows.select(F.col("key").alias(s), F.col("name_facts").alias(f"f_{s}"))
     met = similar_pairs(said, "key", "tied").select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    clash = F.exists(F.arrays_zip("f_a", "f_b"), lambda z: conflicting(z["f_a"], z["f_b"]))
-    return met.where(~F.coalesce(clash, F.lit(False))).select("a", "b")
+    return met.where(~F.coalesce(clashing("f_a", "f_b"), F.lit(False))).select("a", "b")
+
+
+def near_dropped(rows: DataFrame, place: Column, rank: Column) -> DataFrame:
+    """Keys (gone) that go when, in order, of each pair of :func:`near_pairs` the later one goes, or the earlier if it is worse."""
+    words = F.array_sort(F.coalesce("words", F.array().cast("array<string>")))
+    told = rows.where(F.size("words") > 0).select("key", place.alias("place"), rank.alias("rank"), F.concat_ws("\x1f", "edition", "section").alias("within"), words.alias("words"), F.col("name_facts").alias("facts"))
+    told = written(told.withColumn("class", class_name()))
+    return dropped_by_classes(told, linked_classes(told.groupBy("class").agg(*(F.first(c).alias(c) for c in ("within", "words", "facts"))), clashing))
+
+
+def first_unlike(free: DataFrame, there: DataFrame, need: DataFrame, most: int) -> DataFrame:
+    """The first rows of ``free`` in each section of an edition (by stage, then newest), ``need`` of them, that are near
+    neither to a row ``there`` nor to each other.
+
+    Of rows of the same words and facts the first stands for all: what a row before is near to is near to all of them.
+    Each turn takes the first row left of every section and drops what is near it, so rows meet one row a turn.
+    """
+    group, place = ["edition", "section"], F.struct("stage", (-F.unix_micros("ts")).alias("at"), "ord", "key")
+    rows = free.select(*group, place.alias("place"), F.array_sort(F.coalesce("words", F.array().cast("array<string>"))).alias("words"), F.col("name_facts").alias("facts"))
+    told = F.size("words") > 0
+    bare = rows.where(~told).withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("place"))).where(F.col("_k") <= most).drop("_k")
+    left = rows.where(told).groupBy(*group, "words", "facts").agg(F.min("place").alias("place")).select(*rows.columns).unionByName(bare)
+
+    def unlike(open_: DataFrame, seen: DataFrame) -> DataFrame:
+        a, b = open_.alias("a"), seen.select(*group, F.col("words").alias("w"), F.col("facts").alias("f"), F.col("place").alias("p")).alias("b")
+        near = F.coalesce(jaccard(F.col("words"), F.col("w")) >= 0.6, F.lit(False)) & ~F.coalesce(clashing("facts", "f"), F.lit(False))
+        same = (F.col("a.edition") == F.col("b.edition")) & (F.col("a.section") == F.col("b.section"))
+        return a.join(b, same & (near | (F.col("place") == F.col("p"))), "left_anti")
+
+    left = written(unlike(left.join(need.select(*group), group, "left_semi"), there.select(*group, place.alias("place"), "words", F.col("name_facts").alias("facts"))))
+    taken = []
+    for k in range(most):
+        wanted = need.where(F.col("need") > k).select(*group)
+        heads = left.join(wanted, group, "left_semi").groupBy(*group).agg(F.min_by(F.struct("place", "words", "facts"), "place").alias("h"))
+        heads = written(heads.select(*group, "h.*"))
+        taken.append(heads.select(F.col("place.key").alias("key")))
+        if k == most - 1 or not heads.head(1):
+            break
+        left = written(unlike(left, heads))
+    keys = taken[0]
+    for t in taken[1:]:
+        keys = keys.unionByName(t)
+    return free.join(keys, "key", "left_semi")
 
 
 def _placed_pairs(pairs: DataFrame, rows: DataFrame, place: Column, better: Column | None) -> DataFrame:
@@ -183,8 +226,7 @@ def assembled(editions: DataFrame, facts: DataFrame, reserve: DataFrame, include
     base = pool.where(F.col("fits") & (F.col("age") <= F.col("hours")))
     base = written(base.select("edition", "key", *(c for c in FACTS if c != "section"), F.when(moves, "people").otherwise(F.col("section")).alias("section"), moves.cast("int").alias("stage"), F.lit("window").alias("via")).select(*columns, "stage", "via"))
     rank = F.struct(_yes("preferred").cast("int"), F.length(F.coalesce("title_key", F.lit(""))))
-    alike = dropped_by_pairs(_placed_pairs(near_pairs(base), base, F.struct(F.col("stage"), -F.unix_micros("ts"), F.col("ord")), rank))
-    suppressed = written(alike.select(F.col("gone").alias("key")))
+    suppressed = written(near_dropped(base, F.struct(F.col("stage"), -F.unix_micros("ts"), F.col("ord"), F.col("key")), rank).select(F.col("gone").alias("key")))
     chosen = _unused(base, suppressed)
 
     # 5, 6
@@ -219,9 +261,10 @@ def assembled(editions: DataFrame, facts: DataFrame, reserve: DataFrame, include
     free = _unused(pool.where(F.col("fits") & _yes("gate_ok") & _yes("described_ok") & (F.coalesce("centre", F.lit("ok")) != "reject")), chosen, suppressed)
     free = free.where((F.coalesce("centre", F.lit("ok")) != "exception") | (F.col("section") == "relevant")).join(need.select("edition", "section"), ["edition", "section"], "left_semi")
     free = free.select(*columns, F.when(F.col("age") <= F.col("hours"), 7).otherwise(8).alias("stage"), F.lit("refill").alias("via"))
-    line = written(chosen.join(need.select("edition", "section"), ["edition", "section"], "left_semi").select(*free.columns).unionByName(free))
-    behind = dropped_by_pairs(_placed_pairs(near_pairs(line), line, F.struct(F.col("stage"), -F.unix_micros("ts"), F.col("ord")), None))
-    refill = _first(_without(line.where("stage >= 7"), behind), need, [F.col("stage"), *newest], max(rules.floors.values()))
+    need, free = written(need), written(free)
+    there = written(chosen.join(need.select("edition", "section"), ["edition", "section"], "left_semi"))
+    behind = dropped_by_pairs(_placed_pairs(near_pairs(there), there, F.struct(F.col("stage"), -F.unix_micros("ts"), F.col("ord")), None))
+    refill = first_unlike(free, _without(there, behind), need, max(rules.floors.values()))
     chosen = written(chosen.unionByName(refill.select(*chosen.columns)))
 
     # 16 to 19
@@ -258,6 +301,10 @@ def week_in_review(assembled_: DataFrame, editions: DataFrame, facts: DataFrame,
     left = line.join(hit, "key", "left_anti")
     kept = first_without_conflict(left.where("turn = 1").withColumn("_place", place), "key", "_place", tied).select("key")
     left = written(left.where("turn = 0").unionByName(left.where("turn = 1").join(kept, "key", "left_semi")))
+    # of the week's rows of one deal the first stands for all: who agrees with one agrees with the others
+    same = ["edition", "entity", "sf", "price"]
+    firsts = left.where("turn = 1 AND entity IS NOT NULL").groupBy(*same).agg(F.min(F.struct(place.alias("at"), "key")).alias("first")).select("first.key")
+    left = written(left.where("turn = 0 OR entity IS NULL").unionByName(left.join(firsts, "key", "left_semi")))
     side = lambda s: left.where("entity IS NOT NULL").select("edition", "entity", F.col("key").alias(s), F.col("turn").alias(f"turn_{s}"), F.col("sf").alias(f"sf_{s}"), F.col("price").alias(f"price_{s}"))
     agree = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(True))
     pairs = side("a").join(side("b"), ["edition", "entity"]).where((F.col("a") < F.col("b")) & (F.greatest("turn_a", "turn_b") == 1) & agree("sf") & agree("price")).select("a", "b")

@@ -230,3 +230,23 @@ def test_week_in_review(spark):
                 best.append(r)
         want += [(name, k + 1, r["id"]) for k, r in enumerate(best[:5])]
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_copies_of_a_title_make_no_pairs(spark, monkeypatch):
+    """Copies are dropped by class: pairs are made of a few rows, whatever the number of copies."""
+    made = []
+    whole = cascade.similar_pairs
+    from quillstream.operators import dedup
+
+    monkeypatch.setattr(dedup, "similar_pairs", lambda df, *rest: made.append(df.count()) or whole(df, *rest))
+    monkeypatch.setattr(cascade, "similar_pairs", lambda df, *rest: made.append(df.count()) or whole(df, *rest))
+    rows = spark.range(4000).select(
+        F.lit("e").alias("edition"), F.lit("relevant").alias("section"), F.concat(F.lit("k"), "id").alias("key"), F.lit(7).alias("stage"), (F.lit(START).cast("timestamp") - F.make_dt_interval(secs=F.col("id"))).alias("ts"), F.col("id").alias("ord"),
+        F.array(*(F.concat(F.lit(w), (F.col("id") % 5).cast("string")) for w in ("word", "hall", "yard"))).alias("words"), F.array(F.array().cast("array<string>")).alias("name_facts"),
+    )
+    gone = cascade.near_dropped(rows, F.struct("ord", "key"), F.struct(F.lit(0)))
+    assert sorted(r.key for r in rows.join(gone, F.col("key") == F.col("gone"), "left_anti").collect()) == [f"k{k}" for k in range(5)]
+    need = spark.createDataFrame([("e", "relevant", 3)], "edition string, section string, need int")
+    there = rows.where("ord = 5").withColumn("stage", F.lit(0))
+    assert sorted(r.key for r in cascade.first_unlike(rows, there, need, 4).collect()) == ["k1", "k2", "k3"]
+    assert made and max(made) <= 5
