@@ -35,10 +35,10 @@ def json_feed(spark: SparkSession, path: str) -> DataFrame:
 def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One article an order: ord, id, title, place, source, pub_ts. Scans read the named columns only."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    orders = spread(orders)
     people = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     rows = orders.join(people, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = spread(rows, rows=orders.count())  # after the join: a large one deals its rows by bytes
     whole = F.floor("o_totalprice").cast("long")
     verb = F.element_at(F.array(*map(F.lit, VERBS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
     kind = F.when(F.col("o_orderkey") % 2 == 0, "K SF warehouse in ").otherwise(",000 SF industrial building in ")

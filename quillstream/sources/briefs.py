@@ -47,10 +47,10 @@ def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(ord_ % 4 == 0, F.concat(here, F.lit(" "), one)).when(ord_ % 4 == 1, F.concat(one, F.lit(" in "), here)).when(ord_ % 4 == 2, one).otherwise(F.concat(here, F.lit(" group buys "), there, F.lit(" "), one))
     description = F.when(ord_ % 9 == 0, F.lit(None).cast("string")).when(ord_ % 5 == 0, F.concat(two, F.lit(" near "), there)).otherwise(two)
     url = F.concat(F.lit("https://www."), _pick(HOSTS, F.floor(ord_ / 4)), _pick(PATHS, F.floor(ord_ / 32)), ord_.cast("string"))
-    return written(rows.select(
+    return spread(written(rows.select(
         "ord", title.alias("title"), description.alias("description"), url.alias("url"), "source", "pub_ts", F.when(ord_ % 16 == 0, F.array(there)).alias("tags"),
         F.when(ord_ % 6 == 0, False).when(ord_ % 6 == 1, True).alias("approved"), F.when(ord_ % 2 == 0, "relevant").otherwise("transactions").alias("category"),
-    ))
+    )))
 
 
 def _list(values: list[str]) -> str:

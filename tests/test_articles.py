@@ -214,3 +214,11 @@ def test_dropped_by_classes_match_one_pass(spark):
         df = spark.createDataFrame(rows, "key string, class int, at int, rank int").select("key", "class", F.struct("at").alias("place"), "rank")
         got = rounds.dropped_by_classes(df, spark.createDataFrame(sorted(near), "c int, d int")).collect()
         assert sorted(r.gone for r in got) == sorted(gone)
+
+
+def test_spread_deals_tasks_by_rows(spark, tmp_path):
+    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert rounds.spread(scan, 20).rdd.getNumPartitions() == 50  # a task stays as large when the table grows
+    assert rounds.spread(scan.where("id < 10"), 20, rows=1000).rdd.getNumPartitions() == 50
+    assert rounds.spread(scan, 20).count() == 1000
