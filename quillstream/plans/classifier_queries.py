@@ -9,6 +9,7 @@ from quillstream.functions import gates, words
 from quillstream.operators import classifiers, final_gates
 from quillstream.operators.classifiers import Engine
 from quillstream.operators.final_gates import Markets
+from quillstream.operators.rounds import DOCUMENTS_A_TASK, spread
 from quillstream.plans.gate_queries import _CENTRE, _INDUSTRIAL, _BILLIONS, _MEGAWATTS, _PLACED, _placed, _PASSES, _any, _detention, _first, _has, _listing, _q, _wrong, gates_of
 from quillstream.sources.briefs import BRIEFS_SQL, briefs
 
@@ -40,7 +41,8 @@ def _briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the first line is the title, all other lines the description."""
     title = F.substring_index("text", "\n", 1)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), title.alias("title"), F.substring(F.col("text"), F.length(title) + 2, F.length("text")).alias("description"), F.lit(None).cast("string").alias("link"), "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), DOCUMENTS_A_TASK)
+    return docs.select(F.col("doc_id").alias("id"), title.alias("title"), F.substring(F.col("text"), F.length(title) + 2, F.length("text")).alias("description"), F.lit(None).cast("string").alias("link"), "source")
 
 
 _LINK = "url"
@@ -153,7 +155,8 @@ def recategorize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, reason, reason IN {_PASSES} AS passes, {_wrong("t")} AS wrong_property, {_has("t", words.STRONG_ASSET)} AS strong_asset, {_detention("t")} AS detention, {_listing("t")} AS listing FROM y""")
 def industrial_gate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The industrial gate over whole documents."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), DOCUMENTS_A_TASK)
+    rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
     return gates_of(rows, "t").drop("t")
 
 

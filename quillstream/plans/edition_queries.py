@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import display
 from quillstream.operators import editions, health
+from quillstream.operators.rounds import DOCUMENTS_A_TASK, spread
 from quillstream.sources.articles import SYNTHETIC_SQL, synthetic
 
 AS_OF = "2001-08-01 00:00:00"
@@ -37,7 +38,7 @@ _REGION_SQL = "CASE " + " ".join(f"WHEN regexp_matches(u, '{p}') THEN '{n}'" for
 SELECT doc_id, {_REGION_SQL} AS region, array_to_string(list_filter({_KEYWORDS_SQL}, lambda k: contains(l, k))[1:5], ',') AS keywords FROM t""")
 def region_and_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region and keywords of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), DOCUMENTS_A_TASK)
     return docs.select("doc_id", display.region(F.col("text")).alias("region"), F.array_join(display.keywords(F.col("text")), ",").alias("keywords"))
 
 
