@@ -271,13 +271,13 @@ def section_caps_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TIER_SQL = "CASE CAST(o_orderkey % 5 AS INTEGER) WHEN 0 THEN 'tier1' WHEN 1 THEN 'tier2' WHEN 2 THEN 'tier3' WHEN 3 THEN 'tier4' ELSE 'tier5' END"
 
 
-@_query(f"""WITH t AS (SELECT o_custkey AS edition, {_TIER_SQL} AS tier FROM orders), f AS (SELECT edition, count(*) AS items, 25 * avg(CASE tier WHEN 'tier1' THEN 1.0::DOUBLE WHEN 'tier2' THEN 0.85 WHEN 'tier3' THEN 0.5 WHEN 'tier4' THEN 0.3 ELSE 0.7 END) AS x FROM t GROUP BY 1)
-SELECT edition, items, round(x, 6) AS freshness, CASE WHEN 4 * x >= 90 THEN 'A' WHEN 4 * x >= 80 THEN 'B' WHEN 4 * x >= 70 THEN 'C' WHEN 4 * x >= 60 THEN 'D' ELSE 'F' END AS grade FROM f""")
+@_query(f"""WITH t AS (SELECT o_custkey AS edition, {_TIER_SQL} AS tier FROM orders), f AS (SELECT edition, count(*) AS items, CAST(sum(CASE tier WHEN 'tier1' THEN 100 WHEN 'tier2' THEN 85 WHEN 'tier3' THEN 50 WHEN 'tier4' THEN 30 ELSE 70 END) AS BIGINT) AS s FROM t GROUP BY 1)
+SELECT edition, items, ((2000000 * s + 4 * items) // (8 * items)) / 1e6::DOUBLE AS freshness, CASE WHEN s >= 90 * items THEN 'A' WHEN s >= 80 * items THEN 'B' WHEN s >= 70 * items THEN 'C' WHEN s >= 60 * items THEN 'D' ELSE 'F' END AS grade FROM f""")
 def freshness_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Freshness and grade of each edition (an edition is a customer's orders)."""
     tier = F.concat(F.lit("tier"), (F.col("o_orderkey") % 5 + 1).cast("string"))
     fresh = health.tier_freshness(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("edition"), tier.alias("tier")), "edition", "tier")
-    return fresh.select("edition", "items", F.round("freshness", 6).alias("freshness"), health.grade(4 * F.col("freshness")).alias("grade"))
+    return fresh.select("edition", "items", F.col("freshness_6").alias("freshness"), health.grade(4 * F.col("freshness")).alias("grade"))
 
 
 @_query("SELECT user_id, " + ", ".join(f"sum(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END)::BIGINT AS {t}" for t in ("signup", "error", "click", "view", "purchase")) + ", count(*) AS total FROM events GROUP BY 1")

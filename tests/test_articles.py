@@ -222,3 +222,13 @@ def test_spread_deals_tasks_by_rows(spark, tmp_path):
     assert rounds.spread(scan, 20).rdd.getNumPartitions() == 50  # a task stays as large when the table grows
     assert rounds.spread(scan.where("id < 10"), 20, rows=1000).rdd.getNumPartitions() == 50
     assert rounds.spread(scan, 20).count() == 1000
+
+
+def test_freshness_does_not_follow_the_order_of_rows(spark):
+    tiers = ["tier2", "tier4", "tier5", "tier1", "tier3"]
+    for n in (1, 3, 7, 20, 33):  # in doubles these sums depend on their order
+        rows = [("a", t) for t in tiers * n] + [("b", t) for t in sorted(tiers * n)] + [("c", t) for t in sorted(tiers * n, reverse=True)]
+        got = health.tier_freshness(spark.createDataFrame(rows, "edition string, tier string").repartition(3), "edition", "tier").collect()
+        assert {r.freshness for r in got} == {16.75} == {r.freshness_6 for r in got}
+    edge = health.tier_freshness(spark.createDataFrame([("a", "tier5")] * 159 + [("a", "tier2")], "edition string, tier string"), "edition", "tier").first()
+    assert edge.freshness_6 == 17.523438  # 17.5234375, half up
