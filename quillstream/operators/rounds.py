@@ -41,7 +41,8 @@ def spread(scan: DataFrame, most: int = TEXTS_A_TASK, rows: int | None = None) -
     rows of a plain scan are counted from the footers of its files; ``rows`` says how many there are elsewhere.
     """
     tasks = max(scan.sparkSession.sparkContext.defaultParallelism, -(-(scan.count() if rows is None else rows) // most))
-    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
+    # asking a join for its partitions would run it
+    return scan.repartition(tasks) if rows is not None or scan.rdd.getNumPartitions() < tasks else scan
 
 
 def written(df: DataFrame) -> DataFrame:
