@@ -621,3 +621,11 @@ def test_rows_whatever_they_hold(spark, operator):
     assert result(2) == result(3) and result(4) == result(5) != result(2) and len(result(1)) <= 2 and set(result(None)) <= set(result(1))
     none = run(docs.limit(0))
     assert none.count() == 0 and none.columns == run(docs).columns
+
+
+def test_attention_learns_from_whole_texts():
+    import inspect
+
+    from quillstream.llm import attention
+
+    assert not any(name.startswith("SLICE") for name in vars(attention)) and "% SLICE" not in inspect.getsource(attention._training_windows)
