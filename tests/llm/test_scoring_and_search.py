@@ -122,6 +122,43 @@ def test_attention_scores_each_token_once_and_sums_to_one():
     assert np.allclose(net.log_probabilities(other, targets)[-1, :-1], each[-1, :-1], atol=1e-5)
 
 
+def coded(spark, texts):
+    docs = documents(spark, texts)
+    counts = attention.saved(attention.word_counts(docs), "words")
+    coder, share = attention.coder_of(docs, counts, RANKS)
+    return attention.saved(attention._coded(docs, coder), "classes"), share
+
+
+def test_attention_takes_a_common_word_as_one_unit(spark):
+    text = "unaccountably interdenominational counterrevolutionaries"
+    texts = [(k, text) for k in range(40)] + [(90, text + " hypersensitivenesses"), (91, ""), (92, None)]
+    rows = {r.doc_id: r for r in coded(spark, texts)[0].collect()}
+    assert all(len(rows[k].classes) == 4 and not rows[k].rare for k in range(40))  # three words and the end
+    assert len(rows[90].classes) > 5 and [tuple(x) for x in rows[90].rare] == [("hypersensitivenesses", 1)]
+    assert len(rows[91].classes) == len(rows[92].classes) == 1
+
+
+def test_attention_finds_common_words_that_share_a_slot():
+    names = np.sort(np.array([5, 6, 7, 1 << 62, (1 << 62) + 1, 3 << 61], np.uint64))  # by their top bits in two slots and one
+    units = attention.Units(RANKS, np.zeros(60_000, np.uint8), np.zeros(60_000), names)
+    found, place = units.find(np.array([*names, 8, 1 << 63], np.uint64))
+    assert found.tolist() == [True] * 6 + [False] * 2 and place[:6].tolist() == list(range(6))
+
+
+def test_attention_learns_from_each_training_text_once(spark, monkeypatch):
+    rows, share = coded(spark, [(k, f"word{k} " * 100) for k in range(60)])
+    learnt = []
+    monkeypatch.setattr(attention, "_fitted", lambda part, start, parts, rate: learnt.append([r.doc_id for r in part.collect()]) or start)
+    monkeypatch.setattr(attention, "PART", 20)
+    attention.train(rows, share)
+    all_of_them = sorted(r.doc_id for r in rows.collect() if not r.held_out)
+    assert len(learnt) == 2 and all(learnt) and sorted(learnt[0] + learnt[1]) == all_of_them
+    learnt.clear()
+    monkeypatch.setattr(attention, "PART", 1 << 20)  # too few windows for a full part a round
+    attention.train(rows, share)
+    assert [sorted(x) for x in learnt] == [all_of_them] * 2
+
+
 # --- hard negatives --------------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int, norm double, rank int"
