@@ -134,3 +134,38 @@ def test_empty_tables_and_clashing_columns(spark):
 @pytest.mark.parametrize("pattern, text, there", [(r"\bsf\b", "10 sf", True), (r"\bsf\b", "ésf", True), (r"\bsf\b", "xsf", False), (r"a\b", "a", True)])
 def test_ascii_bounds(spark, pattern, text, there):
     assert spark.createDataFrame([(text,)], "t string").select(Signals(F.col("t")).matches(pattern)).first()[0] == there
+
+
+def test_patterns_are_tried_where_a_match_is_possible(spark):
+    """Every match holds one of the strings that its pattern needs, and begins with one of its first letters; the answers stay."""
+    import random
+    import re
+
+    from quillstream.functions import words
+    from quillstream.functions.signals import needed
+
+    assert needed(r"\b(sold|lists?)\b(?=x)|build\s+(to|for)") == ["build", "list", "sold"]
+    assert needed(r"\d+\s*(sf|sq\.?\s*ft)") == ["sf", "sq"] and needed(r"\$[\d,]+") == ["$"]
+    assert needed(r"(?i)sold") is None and needed(r"(sold)?") is None and needed(r"\w+|sold") is None and needed(r"x*+a") is None
+    assert ascii_bounds(r"\b(sold|lists?)\b").startswith(r"(?=[ls])(?<!\w)(") and ascii_bounds(r"\b\w+") != r"\b\w+"
+    assert "(?=[" not in ascii_bounds(r"\bsold|lists") and "(?=[" not in ascii_bounds(r"\b(sold)?\s") and "(?=[" not in ascii_bounds(r"\B(sold)")
+    patterns = [p for name, v in vars(words).items() if not name.startswith("_") for p in ([v] if isinstance(v, str) else v if isinstance(v, list | tuple) else []) if isinstance(p, str) and re.search(r"[\\\[(?*+]", p)]
+    rng = random.Random(5)
+    bits = sorted({b for p in patterns for b in re.findall(r"[A-Za-z0-9$.]{2,}", re.sub(r"\\[a-z]", " ", p))})
+    texts = [rng.choice(["", "x", "é", "_"]).join(rng.choice(bits) + rng.choice([" ", "  ", "-", "s ", "", ". "]) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    matches = 0
+    for p in patterns:
+        for t in texts:
+            if re.search(p, t, re.ASCII):
+                matches += 1
+                assert needed(p) is None or any(x in t for x in needed(p)), (p, t)
+    assert matches > 300
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string").repartition(3)
+    some = patterns[::4]
+    got = decided(df, {"t": F.col("t")}, lambda t: {f"p{k}": t.matches(p) for k, p in enumerate(some)})
+    bound = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+    plain = df.select("id", *(F.col("t").rlike(p.replace(r"\b", bound)).alias(f"p{k}") for k, p in enumerate(some)))
+    names = ["id", *(f"p{k}" for k in range(len(some)))]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
+    seen = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "hits" in seen and "CASE WHEN" in seen  # tried behind the automaton
