@@ -232,3 +232,32 @@ def test_freshness_does_not_follow_the_order_of_rows(spark):
         assert {r.freshness for r in got} == {16.75} == {r.freshness_6 for r in got}
     edge = health.tier_freshness(spark.createDataFrame([("a", "tier5")] * 159 + [("a", "tier2")], "edition string, tier string"), "edition", "tier").first()
     assert edge.freshness_6 == 17.523438  # 17.5234375, half up
+
+
+def test_all_similar_pairs_list_copies_too(spark, monkeypatch, tmp_path):
+    import random
+
+    from quillstream.plans import catalog
+
+    monkeypatch.setattr(dedup, "TOGETHER", 3)  # classes in several blocks
+    rng = random.Random(21)
+    sets = {k: rng.sample([w * 4 for w in "abcdef"], rng.randint(0, 4)) for k in range(150)}
+    got = dedup.all_similar_pairs(spark.createDataFrame(list(sets.items()), "id int, words array<string>").repartition(3), "id", "words").collect()
+    want = {}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and x and y and len({*x} & {*y}) / len({*x} | {*y}) >= 0.6:
+                want[a, b] = len({*x} & {*y}) / len({*x} | {*y})
+    assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == want
+    assert dedup.all_similar_pairs(spark.createDataFrame([], "id int, words array<string>"), "id", "words").count() == 0
+    lines = ["Large halls near harbour sold", "large harbour halls, sold near", "Large halls near harbour sold", "large halls near harbour again", "other words entirely here"]
+    spark.createDataFrame([(k, f"{x}\nbody {k}") for k, x in enumerate(lines)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = {(r.a, r.b) for r in catalog.QUERIES["near_title_jaccard"](spark, str(tmp_path)).collect()}
+    assert pairs == {(a, b) for a in range(4) for b in range(a + 1, 4)}  # every pair, not the first of a class alone
+
+
+def test_met_pairs_are_not_shuffled(spark):
+    df = spark.createDataFrame([(k, [f"word{(k * j) % 17}" for j in range(1, 8)]) for k in range(50)], "id int, words array<string>")
+    plan = dedup.similar_pairs(df, "id", "words")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]  # pairs as they are met: none of them goes to another task
+    assert "Aggregate" not in above and "Repartition" not in above and plan.count("Join") == 1
