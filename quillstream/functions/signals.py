@@ -17,6 +17,7 @@ import re._constants as kinds
 import re._parser as parser
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,7 @@ def ascii_bounds(pattern: str) -> str:
 MOST_STRINGS = 256
 
 
+@lru_cache(1024)
 def needed(pattern: str) -> list[str] | None:
     """Strings of which every match of a pattern holds one as it stands; null where none can be told."""
     try:
@@ -53,6 +55,7 @@ def needed(pattern: str) -> list[str] | None:
     return sorted(found) if found else None
 
 
+@lru_cache(1024)
 def _begins(pattern: str) -> str:
     """Letters and digits that a match begins with, if the pattern starts with a word bound and nothing else can follow it; else empty."""
     try:

@@ -104,7 +104,8 @@ def rescued_to_people(title: Column | Signals, text: Column | Signals, in_region
 
 
 def with_verdicts(articles: DataFrame, in_region: str = "in_region", elsewhere: str = "elsewhere", approved: str = "approved") -> DataFrame:
-    """Articles (title, description) with the verdict of every section: relevant, transactions, availabilities, people.
+    """Articles (title, description) with the verdict of every section: relevant, transactions, availabilities, people;
+    and routable, rescued and political.
 
     What the verdicts ask of a text is answered once: terms in one pass, each pattern once.
     """
@@ -115,6 +116,7 @@ def with_verdicts(articles: DataFrame, in_region: str = "in_region", elsewhere:
         return {
             "relevant": relevant_verdict(text, yes), "transactions": transaction_verdict(text, yes), "availabilities": availability_verdict(text, yes, other), "people": people,
             "routable": routable_deal(text, here), "rescued": rescued_to_people(head, text, here, yes, other),
+            "political": is_political(text),
         }
 
     return decided(articles, {"text": text_of(F.col("title"), F.col("description")), "head": F.lower(F.col("title"))}, verdicts)

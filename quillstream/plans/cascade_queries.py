@@ -32,7 +32,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, place = scorer_title(title), regions.place_of(rows)
     return written(rows.select(
         F.col("ord").alias("id"), F.col("ord").cast("int").alias("ord"), F.col("pub_ts").cast("timestamp").alias("ts"), "section", passes.alias("passes"), "in_region", regions.not_excluded(text, REGIONS, place).alias("not_excluded"),
-        regions.passes_with_description(title, description, F.col("source"), F.col("section"), REGIONS, place).alias("described_ok"), sections.is_political(text).alias("political"), "to_people",
+        regions.passes_with_description(title, description, F.col("source"), F.col("section"), REGIONS, place).alias("described_ok"), "political", "to_people",
         F.col("routable").alias("routable"), "rescued", F.when(F.col("verdict") == "reject-oor", "reject").when(F.col("verdict").isin(final_gates.EXCEPTIONS), "exception").otherwise("ok").alias("centre"),
         ranking.article_score(title, description, F.col("url"), F.col("pub_ts"), F.col("pub_ts"), _WEIGHTS).cast("double").alias("score"), deals.deal_score(title).alias("deal_score"),
         (F.col("final_reason") == "PASSES").alias("gate_ok"), (F.col("scrub_reason") == "PASSES").alias("scrub_ok"), F.array_compact(F.array(signatures.deal_signature(text, _GROUPS, _STATES))).alias("sigs"),

@@ -72,3 +72,13 @@ def test_links(spark):
     text = told(spark, [("a &amp;lt; <b>x</b> &lt;i&gt;y",), (None,)], "t string", links.plain_text(F.col("t")), links.stated_size(F.lit("about 12,500 sq ft")), links.stated_price(F.lit("for $3 billion")))
     assert text == [("a x y", 12500, 3e9), ("", 12500, 3e9)]
     assert told(spark, [("No details provided.",), ("A hall was sold.",)], "t string", gates.says_nothing(F.col("t"))) == [(True,), (False,)]
+
+
+def test_verdicts_tell_what_is_political(spark):
+    from quillstream.operators import sections
+
+    rows = [("Governor visits warehouse", "election", True, 0, None), ("Warehouse sold", None, True, 0, True), ("Senate votes", "", False, 1, False)]
+    df = spark.createDataFrame(rows, "title string, description string, in_region boolean, elsewhere int, approved boolean")
+    got = {r.title: r.political for r in sections.with_verdicts(df).collect()}
+    want = {r.title: r.p for r in df.select("title", sections.is_political(sections.text_of(F.col("title"), F.col("description"))).alias("p")).collect()}
+    assert got == want and len(set(want.values())) == 2
