@@ -75,8 +75,6 @@ def test_links(spark):
 
 
 def test_verdicts_tell_what_is_political(spark):
-    from quillstream.operators import sections
-
     rows = [("Governor visits warehouse", "election", True, 0, None), ("Warehouse sold", None, True, 0, True), ("Senate votes", "", False, 1, False)]
     df = spark.createDataFrame(rows, "title string, description string, in_region boolean, elsewhere int, approved boolean")
     got = {r.title: r.political for r in sections.with_verdicts(df).collect()}
